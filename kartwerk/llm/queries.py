@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id as li
+
+    docs = common.documents(spark, sf_dir)
+    held = li.held_out(F.col("doc_id"))
+    model = li.learn(docs.where(~held))
+    return li.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "proportions")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -15,6 +24,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(common.documents(spark, sf_dir), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,10 +39,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(common.documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
+        "op3_language_id": op3_language_id,
         "op6_simhash": op6_simhash,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_token_counts": op9_token_counts,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
