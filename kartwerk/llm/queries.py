@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score
+
+    return score(common.documents(spark, sf_dir), common.crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id as li
 
@@ -47,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_katz": op1_katz,
         "op3_language_id": op3_language_id,
         "op6_simhash": op6_simhash,
         "op8_substring_dedup": op8_substring_dedup,
