@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,10 +145,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES
 
-    @F.pandas_udf("struct<lang_pred: string, score: double, proportions: map<string, double>>")
-    def predict(text):
-        import pandas as pd
-
+    def predict(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             found = infer(t, shared.value, penalty)
@@ -155,6 +153,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
             out.append((top, min(1.0, found.get(top, 0.0)), found))
         return pd.DataFrame(out, columns=["lang_pred", "score", "proportions"])
 
+    predict.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+    predict = F.pandas_udf(predict, "struct<lang_pred: string, score: double, proportions: map<string, double>>")
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "proportions")]
     out = docs.select(*keep, predict(F.col("text").cast("string")).alias("_said"))
     return out.select(*keep, "_said.lang_pred", "_said.score", "_said.proportions")

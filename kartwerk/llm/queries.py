@@ -14,6 +14,12 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(common.documents(spark, sf_dir), common.crc_mod(F.col("doc_id"), 7) == 2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(common.documents(spark, sf_dir).select("doc_id", "source"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id as li
 
@@ -23,6 +29,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "proportions")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    hits = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -30,6 +44,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(common.documents(spark, sf_dir)).select("doc_id", "shard", "shard_row", "version")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -54,8 +74,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_katz": op1_katz,
+        "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
+        "op4_decontamination": op4_decontamination,
         "op6_simhash": op6_simhash,
+        "op7_sharding": op7_sharding,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
