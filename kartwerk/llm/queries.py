@@ -37,6 +37,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_classes
+
+    return line_classes(common.documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -77,6 +83,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op4_decontamination": op4_decontamination,
+        "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
         "op8_substring_dedup": op8_substring_dedup,
