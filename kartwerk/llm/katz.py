@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a block. It bounds a worker's memory; results don't depend on it.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
 #: Counts up to this one are discounted.
 K = 5
 _END, _UNKNOWN, _START = 0, 0xFFFFFFFE, 0xFFFFFFFF
@@ -41,12 +42,13 @@ _PACKET = "kind int, part int, block long, a binary, b binary, c binary, d binar
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as four planes of bytes; the high planes are mostly zero and compress away."""
-    return np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Unsigned 32-bit numbers as four planes of bytes, compressed; the high planes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -130,10 +132,15 @@ def _batch(schema: pa.Schema, *rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.binary()), ("train", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.binary()), ("train", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary()), ("slots", pa.binary()), ("counts", pa.binary())])
 _PACKET_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Sixteen bits of a word's hash, which say its partition of the vocabulary."""
+    return (hashes >> np.uint64(20)).astype(np.uint16)
+
+
 def encode(docs: DataFrame, train) -> DataFrame:
     """Blocks of docs; train is a boolean column that tells the rows to learn from."""
 
@@ -152,7 +159,8 @@ def encode(docs: DataFrame, train) -> DataFrame:
             order = np.lexsort((hashes, -everywhere))  # frequent words get small ids; place 0 is the end
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(1, len(order) + 1)
-            return _batch(_BLOCK_SCHEMA, (number, ids, np.array(lens, np.int64).tobytes(), flags.tobytes(), packed(place[flat]), np.concatenate([[_END_HASH], hashes[order]]).astype(np.uint64).tobytes(), packed(np.concatenate([[flags.sum()], counts[order]]))))
+            hashes = np.concatenate([[_END_HASH], hashes[order]]).astype(np.uint64)
+            return _batch(_BLOCK_SCHEMA, (number, ids, np.array(lens, np.int64).tobytes(), flags.tobytes(), packed(place[flat]), hashes.tobytes(), _slots(hashes).tobytes(), packed(np.concatenate([[flags.sum()], counts[order]]))))
 
         for batch in batches:
             for i, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -170,7 +178,7 @@ def encode(docs: DataFrame, train) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "block long, docs array<long>, lens binary, train binary, ids binary, hashes binary, counts binary")
+    return rows.mapInArrow(run, "block long, docs array<long>, lens binary, train binary, ids binary, hashes binary, slots binary, counts binary")
 
 
 def _vocabulary(blocks: DataFrame, parts: int) -> DataFrame:
@@ -179,7 +187,7 @@ def _vocabulary(blocks: DataFrame, parts: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             h, n = np.frombuffer(row["hashes"], np.uint64), unpacked(row["counts"])
-            part = (h >> np.uint64(20)) % np.uint64(parts)
+            part = _slots(h).astype(np.int64) % parts
             for p in np.unique(part).tolist():
                 m = part == p
                 yield _batch(_PACKET_SCHEMA, (0, p, row["block"], h[m].tobytes(), packed(n[m]), None, None))
@@ -212,14 +220,14 @@ def _vocabulary(blocks: DataFrame, parts: int) -> DataFrame:
 def _looked_up(blocks: DataFrame, vocabulary: DataFrame, parts: int, use, schema: str, more: DataFrame | None = None) -> DataFrame:
     """use(row, block) for each block with the ids and counts of its words, and packets of `more` as row["more"]."""
     said = vocabulary.where("kind = 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "a", "b"))).alias("said"))
-    rows = blocks.select("block", "docs", "lens", "train", "ids", "hashes").join(said, "block")
+    rows = blocks.select("block", "docs", "lens", "train", "ids", "slots").join(said, "block")
     if more is not None:
         got = more.where("kind = 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "a", "b", "c"))).alias("more"))
         rows = rows.join(got, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            part = ((np.frombuffer(row["hashes"], np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            part = np.frombuffer(row["slots"], np.uint16).astype(np.int64) % parts
             ids, counts = np.zeros(len(part), np.uint32), np.zeros(len(part), np.uint32)
             order = np.argsort(part, kind="stable")
             ids[order] = np.concatenate([unpacked(s["a"]) for s in row["said"]])
@@ -252,15 +260,14 @@ def _bigrams(blocks: DataFrame, vocabulary: DataFrame, uni: Unigrams, n_train: i
         for p in range(parts):
             m = order[cuts[p] : cuts[p + 1]]
             if len(m):
-                yield _batch(_PACKET_SCHEMA, (0, p, row["block"], packed(v[m]), packed(w[m]), packed(n[m]), packed(cw[m]) + packed(cv[m] > hot)))
+                yield _batch(_PACKET_SCHEMA, (0, p, row["block"], packed(v[m]), packed(w[m]), packed(n[m]), packed(np.concatenate([cw[m], cv[m] > hot]))))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "part"):
             p = group[0]["part"]
             vs, ws, ns = ([unpacked(g[c]) for g in group] for c in "abc")
-            ends = [len(x) * 4 for x in vs]
-            cw = np.concatenate([unpacked(g["d"][:e]) for g, e in zip(group, ends)])
-            is_hot = np.concatenate([unpacked(g["d"][e:]) for g, e in zip(group, ends)])
+            more = [unpacked(g["d"]).reshape(2, -1) for g in group]
+            cw, is_hot = (np.concatenate([x[i] for x in more]) for i in (0, 1))
             all_keys = (np.concatenate(vs).astype(np.uint64) << np.uint64(32)) | np.concatenate(ws).astype(np.uint64)
             keys, first, at = np.unique(all_keys, return_index=True, return_inverse=True)
             r = np.bincount(at, np.concatenate(ns), minlength=len(keys)).astype(np.int64)
@@ -297,16 +304,18 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = common.partitions(spark)
+    parts = min(2 * common.partitions(spark), 1 << 15)
     blocks = common.stored(encode(docs, ~F.coalesce(held_out, F.lit(False))), "blocks")
     vocabulary = common.stored(_vocabulary(blocks, parts), "unigrams", ["kind"])
     totals = [sum(x) for x in zip(*(np.frombuffer(r.a, np.int64).tolist() for r in vocabulary.where("kind = 1").select("a").collect()))] or [0] * (K + 4)
     uni = Unigrams(totals[: K + 2], totals[K + 2], totals[K + 3])
+    common.free_shuffles(spark)
     n_train = docs.where(~F.coalesce(held_out, F.lit(False))).count()
     hot = max(1000, uni.tokens // (8 * parts))  # so at most 8 contexts a partition are frequent
     bigrams = common.stored(_bigrams(blocks, vocabulary, uni, n_train, hot, parts), "bigrams", ["kind"])
     n = [sum(x) for x in zip(*(np.frombuffer(r.a, np.int64).tolist() for r in bigrams.where("kind = 1").select("a").collect()))] or [0] * (K + 2)
     d2 = discounts(n)
+    common.free_shuffles(spark)
     frequent: dict[int, np.ndarray] = {}
     for r in bigrams.where("kind = 3").select("a", "b", "c").toLocalIterator():
         vs = unpacked(r.a)
