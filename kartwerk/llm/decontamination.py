@@ -30,7 +30,8 @@ BLOCK = 32
 MAX_SHARD_ITEMS, MAX_SHARD_CHARS = 20_000, 20_000_000
 MIN_PASSAGE = 128
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
-RUN, ANSWER_RUN = 5, 3
+#: Words of the runs that cover a part; an edited word leaves its neighbours covered.
+RUN, ANSWER_RUN = 3, 3
 _HITS = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
 _EDGE = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
