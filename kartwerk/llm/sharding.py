@@ -22,6 +22,7 @@ TARGET_BYTES = 64 << 20
 #: Shards of one tier differ in size by less than this factor; a run has at least MIN_RUN of them.
 TIER = 4
 MIN_RUN = 2
+BROADCAST_FILES = 20_000
 #: Runs that are merged at a time, each by a job of one task.
 JOBS = 16
 
@@ -189,8 +190,9 @@ def shard(docs: DataFrame, target: int = TARGET_BYTES, path: str | None = None)
     m = store.manifest()
     if not m["shards"]:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("shard_row"), F.lit(None).cast("long").alias("version")).limit(0)
-    # One entry a file: some hundred bytes for each target's worth of data.
+    # One entry a file: some hundred bytes for each target's worth of data. Up to BROADCAST_FILES they are broadcast (under
+    # 4 MB), so that rows stay where they are read.
     numbers = spark.createDataFrame([(s["file"].split("/data/", 1)[1], i) for i, s in enumerate(m["shards"])], "__file string, shard int")
     rows = spark.read.schema(store._schema(m)).parquet(*[s["file"] for s in m["shards"]])
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1).alias("__file"), F.col("_metadata.row_index").alias("shard_row"))
-    return rows.join(numbers, "__file").select(*[F.col(f"`{c}`") for c in keep], "shard", "shard_row", F.lit(m["version"]).cast("long").alias("version"))
+    return rows.join(F.broadcast(numbers) if len(m["shards"]) <= BROADCAST_FILES else numbers, "__file").select(*[F.col(f"`{c}`") for c in keep], "shard", "shard_row", F.lit(m["version"]).cast("long").alias("version"))
