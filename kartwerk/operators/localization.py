@@ -60,7 +60,8 @@ def refine(boxes: DataFrame, density: Density, config: Config = Config()) -> Dat
     box if nothing scores above zero. The choice is made inside the row; no window is needed."""
     tried = F.transform(steps([F.col(c) for c in BOX], F.col("width"), F.col("height"), config), lambda s: F.struct(
         box_score(F.col("refinement"), density([s[c] for c in BOX]), [s[c] for c in BOX]).alias("score"), (-s["step"]).alias("order"), *[s[c].alias(f"b{c}") for c in BOX]))
-    df = boxes.withColumn("density", density([F.col(c) for c in BOX])).withColumn("best", F.array_max(tried))
+    # A generator keeps the planner from copying this expression into every later filter and column.
+    df = boxes.withColumn("density", density([F.col(c) for c in BOX])).withColumn("best", F.explode(F.array(F.array_max(tried))))
     good = F.col("best.score") > 0
     return df.select(*[c for c in df.columns if c != "best"], *[F.when(good, F.col(f"best.b{c}")).otherwise(F.col(c)).alias(f"b{c}") for c in BOX], F.when(good, F.col("best.score")).otherwise(0.0).alias("best_score"))
 
