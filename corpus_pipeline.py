@@ -20,9 +20,9 @@ from kartwerk.llm.simhash import near_duplicates
 
 #: A document goes if its leading language has less than this share of its words.
 LEAST_SHARE = 0.4
-#: Bits that may differ between fingerprints of three-word shingles, and between the 192 bits over five-word shingles
-#: that a link must pass as well: their expected distance at similarity 0.8 is 29, at 0.7 is 37.
-RADIUS, VERIFY_WORDS, VERIFY_RADIUS = 8, 5, 36
+#: Fingerprints of two-word shingles that differ in up to RADIUS bits are candidates; what decides is a distance of up to
+#: VERIFY_RADIUS over 192 further bits of five-word shingles. Its expectation is 29 (deviation 5) at similarity 0.8.
+SCREEN_WORDS, RADIUS, VERIFY_WORDS, VERIFY_RADIUS = 2, 8, 5, 38
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies; one row of each repeated id, all rows without an id."""
-    found = near_duplicates(docs, RADIUS, verify_shingle=VERIFY_WORDS, verify_radius=VERIFY_RADIUS)
+    found = near_duplicates(docs, RADIUS, SCREEN_WORDS, VERIFY_WORDS, VERIFY_RADIUS)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
