@@ -30,8 +30,8 @@ EDITS = 2
 MIN_CHARS = 20
 #: A line's id is its document's times LINES plus its number.
 LINES = 1 << 21
-#: Letters whose counts are compared before the edit distance.
-COUNTED = "etanoris"
+#: Characters whose counts are compared before the edit distance.
+COUNTED = "etanorislhducmpgbwv ,.éö|"
 
 
 def _or(*x: Column) -> Column:
@@ -98,13 +98,14 @@ def _keys(k: int) -> Column:
             for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
                 inside = (at + shift >= 0) & (at + shift + size <= n) & (length >= parts)
                 out.append(F.when(inside, entry(i, length, at + shift, size, 1)))
-    return F.filter(F.array(*out), lambda e: e.isNotNull())
+    return F.array(*out)
 
 
 def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of ids of different lines within k edits, a > b; lines has id (long) and line, each line once."""
     rows = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, k + 1))
-    keyed = rows.select("id", F.explode(_keys(k)).alias("e")).select("id", "e.key", "e.role")
+    # Nulls (probes that don't fit) go after the array is opened: a filter inside it would leave compiled code.
+    keyed = rows.select("id", F.explode(_keys(k)).alias("e")).where("e is not null").select("id", "e.key", "e.role")
     w = Window.partitionBy("key")
     keyed = keyed.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi").select("key", "id", "role").distinct()
     keyed = common.stored(keyed, "keys")
@@ -135,8 +136,8 @@ def line_classes(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) ->
     k0, k1 = F.xxhash64("line"), F.shiftleft(F.hash("line").cast("long"), 32).bitwiseXOR(F.crc32(F.col("line").cast("binary")))
     every = every.select("doc_id", "line_no", number.alias("at"), k0.alias("k0"), k1.alias("k1"), "line")
     # 128 bits name a line, so that its text travels once here and never again with its occurrences
-    lines = every.groupBy("k0", "k1").agg(F.min("at").alias("id"), F.first("line").alias("line"))
-    lines = common.stored(lines, "lines")
+    lines = common.stored(every.groupBy("k0", "k1", "line").agg(F.min("at").alias("id")), "lines")
+    common.free_shuffles(docs.sparkSession)
     links = common.stored(line_links(lines, k, min_chars), "line_links")
     label = components(links)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
