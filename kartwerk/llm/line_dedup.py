@@ -5,8 +5,8 @@ Lines within k edits share at least one of k+1 even segments of the shorter line
 1. Distinct lines, with their first occurrence as id.
 2. Each line puts its k+1 segments into an index keyed by (segment number, line length, text) and probes the indexes of
    the lengths from its own minus k to its own, at the places that are left when edits before and after the segment are
-   counted (multi-match-aware selection: 12 probes a line for k = 2). Keys that name one line only are dropped in the
-   same shuffle.
+   counted (multi-match-aware selection: 12 probes a line for k = 2, of which 3 are its own index entries and travel
+   once). Keys that name one line only are dropped in the same shuffle.
 3. The lines behind the remaining keys are joined on them. The join's condition compares lengths, then letter counts
    (k edits change them by at most 2k in sum), then the banded edit distance, so only true links leave the join.
 4. Components of the links are the classes of lines.
@@ -76,7 +76,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _keys(k: int) -> Column:
-    """Index entries (role 0) and probes (role 1) of a line of n characters."""
+    """Probes of a line of n characters: those that are its index entries too (role 1) and the others (role 0)."""
     n, out = F.col("n"), []
     parts = k + 1
 
@@ -88,16 +88,16 @@ def _keys(k: int) -> Column:
     def entry(i: int, length: Column, at: Column, size: Column, role: int) -> Column:
         return F.struct(F.xxhash64(F.lit(i), length.cast("int"), F.substring("line", (at + 1).cast("int"), size.cast("int"))).alias("key"), F.lit(role).alias("role"))
 
-    for i in range(parts):
-        at, size = segment(n, i)
-        out.append(entry(i, n, at, size, 0))
     for delta in range(k + 1):
         length = n - delta
         for i in range(parts):
             at, size = segment(length, i)
             for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
+                if delta == shift == 0:
+                    out.append(entry(i, n, at, size, 1))
+                    continue
                 inside = (at + shift >= 0) & (at + shift + size <= n) & (length >= parts)
-                out.append(F.when(inside, entry(i, length, at + shift, size, 1)))
+                out.append(F.when(inside, entry(i, length, at + shift, size, 0)))
     return F.filter(F.array(*out), lambda e: e.isNotNull())
 
 
@@ -106,14 +106,14 @@ def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) ->
     rows = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, k + 1))
     keyed = rows.select("id", F.explode(_keys(k)).alias("e")).select("id", "e.key", "e.role")
     w = Window.partitionBy("key")
-    keyed = keyed.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi").select("key", "id", "role").distinct()
-    keyed = common.stored(keyed, "keys")
+    keyed = keyed.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi")
+    keyed = common.stored(keyed.groupBy("key", "id").agg(F.max("role").alias("role")), "keys")
     counts = [(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
-    wanted = keyed.select("id").distinct()
+    wanted = keyed.select("id").distinct().hint("merge")  # it grows with the lines: never broadcast
     known = common.stored(rows.join(wanted, "id", "left_semi").select("id", "line", "n", *counts), "candidates")
     full = keyed.join(known, "id")
-    index = full.where("role = 0").drop("role")
-    probe = full.where("role = 1").drop("role")
+    index = full.where("role = 1").drop("role")
+    probe = full.drop("role")
     index = index.select("key", *[F.col(c).alias(f"{c}_b") for c in index.columns if c != "key"])
     differ = sum((F.abs(F.col(f"c{i}") - F.col(f"c{i}_b")) for i in range(len(COUNTED))), F.lit(0)) <= 2 * k
     later = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") > F.col("id_b")))
