@@ -3,7 +3,9 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all rows of docs and returns a
 DataFrame. run() writes each result as Parquet in the shared folder and reads it back as the next stage's docs.
 
-Null ids, null texts, repeated rows and empty tables are allowed; what becomes of them is said at each stage.
+Null ids, null texts, repeated rows and empty tables are allowed; what becomes of them is said at each stage. Further
+columns of the documents pass through the first four stages unchanged, whatever their names; the last one replaces those
+named as what it adds.
 """
 
 from __future__ import annotations
@@ -23,12 +25,24 @@ LEAST_SHARE = 0.4
 #: Fingerprints of two-word shingles that differ in up to RADIUS bits are candidates; what decides is a distance of up to
 #: VERIFY_RADIUS over 192 further bits of five-word shingles. Its expectation is 29 (deviation 5) at similarity 0.8.
 SCREEN_WORDS, RADIUS, VERIFY_WORDS, VERIFY_RADIUS = 2, 8, 5, 38
+#: Columns that operators read.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but those that operators read under other names, so that none clashes with an added one."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"__own_{i}") for i, c in enumerate(docs.columns)])
+
+
+def back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, from what became of aside(docs)."""
+    return out.select(*[F.col(c if c in READ else f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty texts too) and those that no language leads."""
-    said = identify(docs, learn(docs))
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    said = identify(aside(docs), learn(docs))
+    return back(said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)), docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,21 +52,21 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.limit(1).count():
-        return left.select(*docs.columns)
+        return left
     twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    return left.join(again, "doc_id", "left_anti").unionByName(twice).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold the question and the answer of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(docs, items).where(F.size("hits") == 0).select(*docs.columns)
+    return back(find_leaks(aside(docs), items).where(F.size("hits") == 0), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files in order of name, rows in order of position."""
-    mixed = mix(docs)
-    return mixed.repartitionByRange(common.partitions(spark), "position").sortWithinPartitions("position").select(*docs.columns)
+    mixed = mix(aside(docs)).repartitionByRange(common.partitions(spark), "position").sortWithinPartitions("position")
+    return back(mixed, docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
