@@ -24,6 +24,18 @@ def test_pipeline(spark, tmp_path):
     assert sum(a != b for a, b in zip(order, order[1:])) <= 6  # blocks of one source follow one another
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Further columns keep their values, also under names that operators add."""
+    rng = random.Random(13)
+    names = ["score", "hits", "slot", "position", "block", "a.b"]
+    rows = [(i, sentence(rng, 60), "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, hits string, slot string, position string, block string, `a.b` string")
+    spark.createDataFrame([(1, sentence(rng, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, docs.collect())) == rows
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
