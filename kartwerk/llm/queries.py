@@ -92,5 +92,20 @@ def queries() -> dict:
     }
 
 
+#: Every window of 50 words as text, so equality is that of the words themselves.
+_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+win AS (SELECT doc_id, p, string_agg(x, ' ') OVER f AS k, count(*) OVER f AS n FROM pos
+        WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+least AS (SELECT k, min(doc_id) AS m FROM win WHERE n = 50 GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM win JOIN least USING (k) WHERE n = 50 AND m < doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other methods (estimates, expectation-maximisation, schedules, files) have no SQL form."""
+    return {"op8_substring_dedup": _SUBSTRINGS}

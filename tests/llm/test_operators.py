@@ -304,6 +304,18 @@ def test_substrings(spark, rows, window, large, monkeypatch):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
 
 
+def test_substrings_by_sql(spark, rows, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from kartwerk.llm import queries
+
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op8_substring_dedup"]).fetchall()
+    out = queries.op8_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 def test_substrings_without_rows(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
