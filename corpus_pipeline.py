@@ -17,14 +17,16 @@ from kartwerk.llm import common
 from kartwerk.llm.decontamination import find_leaks
 from kartwerk.llm.language_id import identify, learn
 from kartwerk.llm.mixing import mix
+from kartwerk.llm.near_copies import near_copies
 from kartwerk.llm.sharding import shard
-from kartwerk.llm.simhash import near_duplicates
 
 #: A document goes if its leading language has less than this share of its words.
 LEAST_SHARE = 0.4
-#: Fingerprints of two-word shingles that differ in up to RADIUS bits are candidates; what decides is a distance of up to
-#: VERIFY_RADIUS over 192 further bits of five-word shingles. Its expectation is 29 (deviation 5) at similarity 0.8.
-SCREEN_WORDS, RADIUS, VERIFY_WORDS, VERIFY_RADIUS = 2, 8, 5, 38
+#: Near copies have this Jaccard similarity of five-word shingles at least; it is computed exactly for every link.
+SIMILARITY, SHINGLE = 0.8, 5
+#: The SimHash candidates that are confirmed first: two-word shingles within RADIUS bits, and within VERIFY_RADIUS of 192
+#: bits over five-word shingles. What they miss is found by shared shingles.
+SCREEN_WORDS, RADIUS, VERIFY_RADIUS = 2, 8, 38
 #: Columns that operators read.
 READ = ("doc_id", "text", "lang", "source")
 
@@ -47,7 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies; one row of each repeated id, all rows without an id."""
-    found = near_duplicates(docs, RADIUS, SCREEN_WORDS, VERIFY_WORDS, VERIFY_RADIUS)
+    found = near_copies(docs, SIMILARITY, SHINGLE, SCREEN_WORDS, RADIUS, VERIFY_RADIUS)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from .helpers import SCHEMA, sentence
+from .helpers import SCHEMA, components, sentence
 
 
 def test_pipeline(spark, tmp_path):
@@ -40,3 +40,25 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_exact(spark):
+    """Groups equal those of brute force over five-word shingles, for edited, appended and repetitive texts around 0.8."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(25):
+        base = sentence(rng, 120).split()
+        texts.append(" ".join(base))
+        texts += [" ".join(base) + " " + sentence(rng, n) for n in (25, 27, 29, 31, 33, 60)]  # 29 and fewer words are 0.8
+        for n in (3, 5, 6, 8):
+            copy = base[:]
+            for at in rng.sample(range(120), n):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    again = "one two three four five six " * 40
+    texts += [again + sentence(rng, 9), again + sentence(rng, 9), "Short text", "short TEXT", "short", "a b c d e f g h", "a b c d e f g h i"]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in enumerate(texts) for w in [t.lower().split()]}
+    want = components(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
