@@ -93,6 +93,20 @@ def test_schedule_deviates_less_than_a_block():
             assert abs(done[s] - (t + 1) * w / 1000) < 1
 
 
+def test_long_schedule_keeps_to_unrounded_targets():
+    """One source with a third of 6 million documents, 19 equal others and a rare one, by the exact targets."""
+    sizes = {"big": 2_000_000, **{f"s{i}": 210_526 for i in range(19)}, "rare": 300}
+    targets = {s: n**mixing.TEMPERATURE for s, n in sizes.items()} | {"rare": 2.0}
+    plan = mixing.phases(mixing.integer_weights(targets), {s: -(-n // 32) for s, n in sizes.items()})
+    slots = {s: [p["start"] + j // p["k"] * p["period"] + p["slots"][j % p["k"]] for p in ps for j in range(p["used"])] for s, ps in plan.items()}
+    assert sorted(t for x in slots.values() for t in x) == list(range(sum(-(-n // 32) for n in sizes.values())))
+    end, total = min(x[-1] for x in slots.values()), sum(targets.values())
+    for s, x in slots.items():
+        for j, t in enumerate(x):
+            if t <= end:  # the share is furthest from what is done just before and just after a block
+                assert abs(j - t * targets[s] / total) < 1 + 1e-6 and abs(j + 1 - (t + 1) * targets[s] / total) < 1 + 1e-6
+
+
 def test_mix_keeps_every_row(spark, rows):
     many = [(i % 90, "t", "en", None if i % 7 == 0 else f"s{i % 7 % 3}", 1) for i in range(300)] + [(None, None, None, "rare", None)]
     df = frame(spark, many).withColumn("slot", F.lit("clash"))
