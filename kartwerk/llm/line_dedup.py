@@ -9,6 +9,7 @@ Lines within k edits share at least one of k+1 even segments of the shorter line
    once). Keys that name one line only are dropped in the same shuffle.
 3. The lines behind the remaining keys are joined on them. The join's condition compares lengths, then letter counts
    (k edits change them by at most 2k in sum), then the banded edit distance, so only true links leave the join.
+   Lines of up to k characters have no k+1 segments: they are compared directly with all lines of up to 2k.
 4. Components of the links are the classes of lines.
 
 The edit distance is a bit-parallel automaton over the band of 2k+1 diagonals: one word of bits for each number of
@@ -26,8 +27,8 @@ from . import common
 from .simhash import components
 
 EDITS = 2
-#: Shorter lines are equal or unrelated: two edits in so few characters say nothing.
-MIN_CHARS = 20
+#: Shorter lines are equal or unrelated; 1: every line with a word is joined.
+MIN_CHARS = 1
 #: A line's id is its document's times LINES plus its number.
 LINES = 1 << 21
 #: Characters whose counts are compared before the edit distance.
@@ -103,7 +104,8 @@ def _keys(k: int) -> Column:
 
 def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of ids of different lines within k edits, a > b; lines has id (long) and line, each line once."""
-    rows = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, k + 1))
+    every = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
+    rows = every.where(F.col("n") > k)
     keyed = rows.select("id", F.explode(_keys(k)).alias("e")).select("id", "e.key", "e.role")
     w = Window.partitionBy("key")
     keyed = keyed.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi")
@@ -118,7 +120,10 @@ def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) ->
     differ = sum((F.abs(F.col(f"c{i}") - F.col(f"c{i}_b")) for i in range(len(COUNTED))), F.lit(0)) <= 2 * k
     later = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") > F.col("id_b")))
     pairs = probe.join(index, "key").where((F.col("n") - F.col("n_b") <= k) & later & differ & within_edits(F.col("line"), F.col("line_b"), k))
-    return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
+    tiny = every.where(F.col("n") <= k).toDF("id_b", "line_b", "n_b")  # as few as there are strings of k characters
+    short = every.where(F.col("n") <= 2 * k).join(F.broadcast(tiny), later & within_edits(F.col("line"), F.col("line_b"), k))
+    both = pairs.select("id", "id_b").unionByName(short.select("id", "id_b"))
+    return both.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

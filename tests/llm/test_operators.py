@@ -237,6 +237,16 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_links_of_short_lines(spark):
+    """Lines of every length are within two edits of one another or not, those of one and two characters too."""
+    rng = random.Random(10)
+    lines = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(150)} | {"The thertion.", "The, thertion.", "nineteen characters", "nineteen characters."})
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    want = {(j, i) for i, a in enumerate(lines) for j, b in enumerate(lines) if j > i and edits(a, b) <= 2}
+    got = line_dedup.line_links(df).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
