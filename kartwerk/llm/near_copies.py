@@ -7,7 +7,8 @@ themselves and none is lost:
    texts to first groups. This connects large groups without looking at all their pairs.
 2. Whatever order all shingles have, two sets of that similarity share one of their first n - ceil(similarity n) + 1
    (prefix filter). Texts of different first groups that share such a shingle are compared exactly. Shingles that a
-   sketch counts as common come last in the order, so few texts share one that is among the first.
+   sketch counts as common come last in the order, so few texts share one that is among the first; pairs that share too
+   few of the first to reach the similarity with all others are left out.
 3. Components of all links that hold are the groups.
 
 Texts of equal sets are one node, named by 64 hashed bits of the set. Texts without words are equal.
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import _mixed, components, links, majority, shingle_hashes
 
-#: Counters of the sketch, in so many chunks; one in SAMPLE texts is counted.
-COUNTERS, CHUNKS, SAMPLE = 1 << 18, 64, 4
+#: Counters of the sketch, in so many chunks.
+COUNTERS, CHUNKS = 1 << 20, 64
 #: A shingle is common if its counter exceeds the median by this and by six deviations.
-COMMON = 50
+COMMON = 8
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -64,7 +65,7 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
     """For each counter of the sketch whether the shingles that it counts are common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, (shingle_set(text.as_py() or b"", size) % np.uint64(COUNTERS)).astype(np.int64), 1)
@@ -72,11 +73,10 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "counts"])
 
     def add(key, table):
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts"))
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text")
-    sums = some.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    sums = texts.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     if not sums:
         return np.zeros(COUNTERS, bool)
     total = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(sums, key=lambda r: r.chunk)])
@@ -160,7 +160,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, screen:
     l, r = named.toDF(*[f"{c}_l" for c in named.columns]), named.toDF(*[f"{c}_r" for c in named.columns])
     fit = F.least("n_l", "n_r") * least.denominator >= F.greatest("n_l", "n_r") * least.numerator
     pairs = l.join(r, F.col("shingle_l") == F.col("shingle_r")).where((F.col("node_l") > F.col("node_r")) & (F.col("label_l") != F.col("label_r")) & fit)
-    more = confirmed(pairs.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")), texts, size, least)
+    # What two sets share is among the first shingles of both, or among the others of the one whose first end earlier.
+    pairs = pairs.groupBy(F.col("node_l").alias("a"), F.col("node_r").alias("b")).agg(F.count("*").alias("both"), F.first("n_l").alias("n_l"), F.first("n_r").alias("n_r"))
+    others = F.ceil(F.greatest("n_l", "n_r").cast("long") * least.numerator / F.lit(least.denominator)) - 1
+    pairs = pairs.where((F.col("both") + others) * (least.numerator + least.denominator) >= (F.col("n_l") + F.col("n_r")) * least.numerator)
+    more = confirmed(pairs.select("a", "b"), texts, size, least)
     label = common.stored(components(first.unionByName(more)), "labels")
     least_id = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
     group = least_id.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
