@@ -4,26 +4,38 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 # A word is a run of anything but these six ASCII characters; bytes.split() cuts at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+_own: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary folder and a cluster an error, since its executors would not see the driver's folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = "file://" + tempfile.mkdtemp(prefix="kartwerk-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-        atexit.register(delete_path, spark, where)
-    return where
+    if where is not None:
+        return where
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="kartwerk-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return "file://" + os.path.abspath(_own[app])
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -67,16 +79,37 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
+    """Drop plans that are no longer referenced, so that Spark's cleaner can remove their shuffle files."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes, compressed; the high planes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_hash(docs: DataFrame):
+    """64 bits of all columns of a row, of any type and in their order; null and absent values count too."""
+    parts = []
+    for field in docs.schema:
+        c = F.col(f"`{field.name}`")
+        plain = not isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType))
+        parts.append(F.coalesce(F.xxhash64(c), F.lit(0)) if plain else F.xxhash64(F.to_json(F.struct(c))))
+        parts.append(c.isNull())
+    return F.xxhash64(*parts)
+
+
 def words_column(text):
     """Array of words of a text column, empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")

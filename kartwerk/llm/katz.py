@@ -25,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import packed, unpacked
 
 #: Tokens of a block. It bounds a worker's memory; results don't depend on it.
 BLOCK_TOKENS = 1_500_000
@@ -41,16 +41,6 @@ _END_HASH = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line end
 _PACKET = "kind int, part int, block long, a binary, b binary, c binary, d binary"
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as four planes of bytes, compressed; the high planes are mostly zero."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(b)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-
-
 def discounts(n: list[int]) -> np.ndarray:
     """Good-Turing discount factors for counts 1..K from the counts of counts n[1..K+1] (n[0] is not used).
 

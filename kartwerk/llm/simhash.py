@@ -4,9 +4,10 @@ Fingerprints are compared exactly, tile against tile, with numpy exclusive-or an
 work far below all pairs without losing a link:
 
 * Distinct fingerprints only are compared; all documents of one fingerprint are one node.
-* A pair within the radius agrees on at least one of radius+1 bands of bits, so tiles are laid within a band value.
-  Each band value's fingerprints are cut into tiles by population count; tile pairs whose population counts differ by
-  more than the radius are skipped. A band value with many rows becomes many tile pairs, spread over the cluster.
+* A pair within the radius agrees on at least two of radius+2 parts of the bits, so tiles are laid within the values of
+  two parts: 32 bits for a radius of two, so that a value has few rows at any size and a row travels once for each pair
+  of parts. Each value's fingerprints are cut into tiles by population count; tile pairs whose population counts differ by
+  more than the radius are skipped. A value with many rows becomes many tile pairs, spread over the cluster.
 
 A tile pair returns a spanning forest of its links, never all pairs. Components come from distributed minimum-label
 propagation with checkpoints.
@@ -15,11 +16,12 @@ propagation with checkpoints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -53,35 +55,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 pseudo-random bits of each hash (the finaliser of splitmix64)."""
-    with np.errstate(over="ignore"):
-        z = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, verify_shingle: int = 0, verify_words: int = 3) -> DataFrame:
-    """doc_id, fp (64 bits as a long), extra (verify_words x 8 bytes over verify_shingle-word shingles, else empty).
-
-    A null or empty text has fingerprint zero. Only doc_id and text are read.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and fp (64 bits as a long) of every row. A null or empty text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, extra = [], []
-            for text in batch.column(1):
-                raw = text.as_py() or b""
-                fps.append(majority(shingle_hashes(raw, shingle)))
-                if verify_shingle:
-                    h = shingle_hashes(raw, verify_shingle)
-                    extra.append(np.array([majority(_mixed(h, k)) for k in range(verify_words)], np.uint64).tobytes())
-                else:
-                    extra.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(extra, pa.binary())], names=["doc_id", "fp", "extra"])
+            fps = np.array([majority(shingle_hashes(text.as_py() or b"", shingle)) for text in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, extra binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -103,7 +85,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def tile_links(left: dict, right: dict | None, radius: int, verify_radius: int) -> list[tuple[int, int]]:
+def tile_links(left: dict, right: dict | None, radius: int) -> list[tuple[int, int]]:
     """Forest over node ids of the links between two tiles, or within one (right None), by exact comparison."""
     same = right is None
     right = left if same else right
@@ -115,9 +97,6 @@ def tile_links(left: dict, right: dict | None, radius: int, verify_radius: int)
     for i in range(n):
         start = i + 1 if same else 0
         near = np.flatnonzero(np.bitwise_count(right["fp"][start:] ^ left["fp"][i]) <= radius) + start
-        if verify_radius >= 0 and len(near):
-            bits = np.bitwise_count(right["extra"][near] ^ left["extra"][i]).sum(axis=1)
-            near = near[bits <= verify_radius]
         if len(near):
             found_a.append(np.full(len(near), i))
             found_b.append(near if same else near + n)
@@ -126,24 +105,24 @@ def tile_links(left: dict, right: dict | None, radius: int, verify_radius: int)
     return [(int(ids[x]), int(ids[y])) for x, y in _forest(len(ids), np.concatenate(found_a), np.concatenate(found_b))]
 
 
-def links(nodes: DataFrame, radius: int, verify_radius: int = -1) -> DataFrame:
-    """Links (a, b) that connect all nodes within the radius; nodes has node (long), fp (long) and extra (binary)."""
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all nodes within the radius; nodes has node and fp, both long."""
     spark = nodes.sparkSession
-    n_bands = radius + 1
-    edges = [64 * i // n_bands for i in range(n_bands + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1) if b - a < 64 else F.lit(-1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    keyed = nodes.withColumn("pop", F.bit_count("fp").cast("int")).withColumn("b", F.explode(band)).select("b.band", "b.value", "node", "fp", "extra", "pop")
+    parts = radius + 2
+    edges = [64 * i // parts for i in range(parts + 1)]
+    piece = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    pairs_of_parts = list(combinations(range(parts), 2))
+    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftleft(piece[x], edges[y + 1] - edges[y]).bitwiseOR(piece[y]).alias("value")) for i, (x, y) in enumerate(pairs_of_parts)])
+    keyed = nodes.withColumn("pop", F.bit_count("fp").cast("int")).withColumn("b", F.explode(band)).select("b.band", "b.value", "node", "fp", "pop")
     # The size of each (band, value, population count) cell says which tile a row belongs to: cells are laid end to end
     # by population count and cut every TILE rows; within a cell, rows are dealt by hash to the tiles that it spans.
     cells = keyed.groupBy("band", "value", "pop").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("band", "value").orderBy("pop").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("band", "value")))
     cells = cells.select("band", "value", "pop", F.floor((F.col("upto") - F.col("n")) / TILE).alias("t0"), F.floor((F.col("upto") - 1) / TILE).alias("t1"), F.ceil(F.col("total") / TILE).alias("n_tiles"), "total").where("total > 1")
     cells = common.stored(cells, "cells")
     small = keyed.join(cells.where("n_tiles = 1").select("band", "value").distinct(), ["band", "value"], "left_semi")
-    small = small.select("band", "value", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "node", "fp", "extra", "pop")
+    small = small.select("band", "value", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "node", "fp", "pop")
     large = cells.where("n_tiles > 1")
     spans = large.select("band", "value", "n_tiles", "pop", "t0", "t1")
     big = keyed.join(spans, ["band", "value", "pop"]).withColumn("tile", F.col("t0") + F.pmod(F.xxhash64("fp", "node"), F.col("t1") - F.col("t0") + 1))
@@ -152,26 +131,24 @@ def links(nodes: DataFrame, radius: int, verify_radius: int = -1) -> DataFrame:
     r = tiles.select("band", "value", F.col("tile").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = tiles.withColumnRenamed("tile", "i").join(r, ["band", "value"]).where(f"i <= j and lo2 - hi <= {radius} and lo - hi2 <= {radius}")
     sides = pairs.select("band", "value", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("tile")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("tile")), F.struct(F.lit(1).alias("side"), F.col("j").alias("tile"))))).alias("s")).select("band", "value", "i", "j", "s.side", "s.tile")
-    big = big.join(sides, ["band", "value", "tile"]).select("band", "value", "i", "j", "side", "node", "fp", "extra", "pop")
+    big = big.join(sides, ["band", "value", "tile"]).select("band", "value", "i", "j", "side", "node", "fp", "pop")
     tasks = small.unionByName(big).repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cell(cols: list) -> list[tuple[int, int]]:
-            side, node, fp, extra, pop = cols
+            side, node, fp, pop = cols
             fp = fp.view(np.uint64)
-            if verify_radius >= 0:
-                extra = np.frombuffer(b"".join(extra.tolist()), np.uint64).reshape(len(fp), -1)
-            halves = [{"id": node[m], "fp": fp[m], "pop": pop[m], "extra": extra[m] if verify_radius >= 0 else None} for m in (side == 0, side == 1) if m.any()]
+            halves = [{"id": node[m], "fp": fp[m], "pop": pop[m]} for m in (side == 0, side == 1) if m.any()]
             if len(halves) == 1 and len(halves[0]["id"]) <= TILE:
-                return tile_links(halves[0], None, radius, verify_radius)
+                return tile_links(halves[0], None, radius)
             if len(halves) == 1:  # hashing put a few more rows than TILE here
                 h, out = halves[0], []
-                cut = [{k: (v[s : s + TILE] if v is not None else None) for k, v in h.items()} for s in range(0, len(h["id"]), TILE)]
+                cut = [{k: v[s : s + TILE] for k, v in h.items()} for s in range(0, len(h["id"]), TILE)]
                 for x in range(len(cut)):
                     for y in range(x, len(cut)):
-                        out += tile_links(cut[x], None if x == y else cut[y], radius, verify_radius)
+                        out += tile_links(cut[x], None if x == y else cut[y], radius)
                 return out
-            return tile_links(halves[0], halves[1], radius, verify_radius)
+            return tile_links(halves[0], halves[1], radius)
 
         def emit(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -180,7 +157,7 @@ def links(nodes: DataFrame, radius: int, verify_radius: int = -1) -> DataFrame:
         key = None
         out: list = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             if not len(cols[0]):
                 continue
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
@@ -203,8 +180,8 @@ def links(nodes: DataFrame, radius: int, verify_radius: int = -1) -> DataFrame:
     return common.stored(found, "links")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label: the smallest node that can be reached, for every node that an edge names.
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node that can be reached, for every node that an edge names but the smallest ones.
 
     Alternating large-star and small-star steps; each round is written to the shared folder and the number of rounds
     grows with the logarithm of the longest path.
@@ -212,12 +189,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     flat = common.stored(flat, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:  # each round lowers labels until none changes
         both = flat.select("u", "v").unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         nxt = common.stored(small, "star")
         count = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         common.drop_stored(flat)
@@ -228,19 +205,35 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return flat.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, verify_shingle: int = 0, verify_radius: int = -1) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id for every row of docs: documents whose fingerprints are linked share the smallest doc_id.
 
-    radius: the most bits that may differ. verify_shingle, verify_radius: where set, a link must also hold on further
-    192 bits over longer shingles. Null and empty texts have fingerprint zero and are linked to one another; rows with a
-    null doc_id are left out of components and keep a null component_id; repeated rows repeat in the result. Columns
-    other than doc_id and text are ignored.
+    radius: the most bits that may differ. Null and empty texts have fingerprint zero and are linked to one another; rows
+    with a null doc_id are left out of components and keep a null component_id; repeated rows repeat in the result, and
+    rows that repeat a doc_id with another text are linked by each of their fingerprints. A text of any length is one
+    fingerprint. Columns other than doc_id and text are ignored.
     """
-    fps = common.stored(fingerprints(docs, shingle, verify_shingle), "fingerprints")
-    nodes = fps.where("doc_id is not null").groupBy("fp", "extra").agg(F.min("doc_id").alias("node"))
-    nodes = common.stored(nodes, "nodes")
-    found = components(links(nodes, radius, verify_radius if verify_shingle else -1))
-    # Nodes are few against documents but grow with them, so both joins are left to the planner.
-    named = nodes.join(found, "node", "left").select("fp", "extra", F.coalesce("label", "node").alias("component_id"))
-    both = fps.join(named, ["fp", "extra"], "left")
-    return both.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    fps = common.stored(fingerprints(docs, shingle), "fingerprints")
+    nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    # One doc_id may have several fingerprints, so the fingerprint is the node.
+    nodes = common.stored(nodes.select(F.col("fp").alias("node"), "fp", "id"), "nodes")
+    label = components(links(nodes.select("node", "fp"), radius))
+    # Nodes grow with the documents: these joins are never broadcast.
+    named = nodes.join(label.hint("merge"), "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    return _named(fps, common.stored(named, "labels"))
+
+
+def _named(fps: DataFrame, named: DataFrame) -> DataFrame:
+    """component_id for each row: the smallest doc_id of its fingerprint's component, where components that share a
+    doc_id (a repeated id with several texts) are one."""
+    own = fps.where("doc_id is not null").select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc_id")
+    if own.limit(1).count():  # some doc_id has several fingerprints
+        several = fps.join(own, "doc_id").select("doc_id", F.col("fp").alias("node")).join(named.select("node", "label"), "node")
+        w = Window.partitionBy("doc_id")
+        joined = several.select(F.col("label").alias("a"), F.min("label").over(w).alias("b")).where("a <> b")
+        wider = components(joined).toDF("label", "wider")
+        named = named.join(wider, "label", "left").select("node", "id", F.coalesce("wider", "label").alias("label"))
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = named.join(least.hint("merge"), "label").select(F.col("node").alias("fp"), "component_id")
+    out = fps.join(named.hint("merge"), "fp", "left")
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
