@@ -3,13 +3,15 @@
 Two texts are linked if their sets of shingles have at least the similarity asked for. Every link is decided on the sets
 themselves and none is lost:
 
-1. SimHash links (tiled bit comparison, a spanning forest of each tile pair) are candidates; those that hold exactly join
-   texts to first groups. This connects large groups without looking at all their pairs.
-2. Whatever order all shingles have, two sets of that similarity share one of their first n - ceil(similarity n) + 1
-   (prefix filter). Texts of different first groups that share such a shingle are compared exactly. Shingles that a
-   sketch counts as common come last in the order, so few texts share one that is among the first; pairs that share too
-   few of the first to reach the similarity with all others are left out.
-3. Components of all links that hold are the groups.
+1. A sketch counts the shingles of all texts, to tell the common ones. In a second pass each text gives its SimHash and
+   its first shingles: in an order that has the common ones last, two sets of that similarity share one of their first
+   n - ceil(similarity n) + 1 (prefix filter).
+2. Links are sought in two rounds. The first takes few candidates a text: SimHash links (tiled bit comparison, a spanning
+   forest of each tile pair), and the smallest and the largest text that has the same first shingle. It joins large groups
+   without looking at all their pairs.
+3. The second round takes the texts of different first groups that share a first shingle, but for pairs that share too
+   few of them to reach the similarity with all other shingles.
+4. Candidates of both rounds are compared exactly. Components of all links that hold are the groups.
 
 Texts of equal sets are one node, named by 64 hashed bits of the set. Texts without words are equal.
 """
@@ -22,139 +24,168 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import _mixed, components, links, majority, shingle_hashes
+from .simhash import components, links, majority
+from .substring_dedup import _P1, run_hashes, word_hashes
 
-#: Counters of the sketch, in so many chunks.
-COUNTERS, CHUNKS = 1 << 20, 64
+#: Counters of the sketch, in so many chunks that are added up in so many parts first.
+COUNTERS, CHUNKS, PARTS = 1 << 20, 16, 256
 #: A shingle is common if its counter exceeds the median by this and by six deviations.
 COMMON = 8
+#: Shingles that a comparing task remembers of the texts it has seen last.
+REMEMBERED = 2_000_000
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending; one zero for a text without words."""
-    h = shingle_hashes(text, size)
-    return np.unique(h) if len(h) else np.zeros(1, np.uint64)
-
-
-def described(docs: DataFrame, screen: int, size: int, verify_words: int = 3) -> DataFrame:
-    """doc_id, key (hash of the text), node, n (different shingles), fp, extra and text for every row of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, n, fps, extra = [], [], [], []
-            for text in batch.column(2):
-                raw = text.as_py() or b""
-                h = shingle_hashes(raw, size)
-                s = np.unique(h) if len(h) else np.zeros(1, np.uint64)
-                node.append(xxhash.xxh64_intdigest(s.tobytes()))
-                n.append(len(s))
-                fps.append(majority(shingle_hashes(raw, screen)))
-                extra.append(np.array([majority(_mixed(h, k)) for k in range(verify_words)], np.uint64).tobytes())
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(node), pa.array(n, pa.int32()), long(fps), pa.array(extra, pa.binary()), batch.column(2)], names=["doc_id", "key", "node", "n", "fp", "extra", "text"])
-
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, key long, node long, n int, fp long, extra binary, text binary")
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    """64 hashed bits of each run of `size` words (fewer words: of all), A-Z in lower case; one zero without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    return run_hashes(word_hashes(words), min(size, len(words)), _P1)
 
 
 def common_counters(texts: DataFrame, size: int) -> np.ndarray:
     """For each counter of the sketch whether the shingles that it counts are common."""
+    schema = "part int, chunk int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total, held, n = np.zeros(COUNTERS, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(total, (shingle_set(text.as_py() or b"", size) % np.uint64(COUNTERS)).astype(np.int64), 1)
+                held.append(shingles(text.as_py(), size) % np.uint64(COUNTERS))
+                n += len(held[-1])
+                if n > COUNTERS:
+                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "counts"])
+            part = TaskContext.get().partitionId() % PARTS
+            yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([common.packed(np.minimum(c, 0xFFFFFFFF)) for c in np.split(total, CHUNKS)], pa.binary())], names=["part", "chunk", "counts"])
 
-    def add(key, table):
-        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTERS // CHUNKS, np.int64)
+        for x in table.column("counts"):
+            total += common.unpacked(x.as_py())
+        return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([common.packed(np.minimum(total, 0xFFFFFFFF))], pa.binary())})
 
-    sums = texts.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    sums = texts.mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).collect()
     if not sums:
         return np.zeros(COUNTERS, bool)
-    total = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(sums, key=lambda r: r.chunk)])
+    total = np.concatenate([common.unpacked(r.counts) for r in sorted(sums, key=lambda r: r.chunk)]).astype(np.int64)
     middle = float(np.median(total))
     return total > middle + max(COMMON, 6 * middle**0.5)
 
 
-def prefixes(texts: DataFrame, size: int, least: Fraction, late_counters: np.ndarray) -> DataFrame:
-    """node, n and shingle for the first shingles of each text, those of common counters last in the order."""
+def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.ndarray) -> DataFrame:
+    """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp and text.
+    By node, once a task: node, n and shingle for each of its first shingles, those of common counters last in the order.
+    """
     bits = np.packbits(late_counters).tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("text", pa.binary()), ("shingle", pa.int64())])
+
+    def of_documents(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
+        node = np.array([x[0] for x in sets], np.uint64).view(np.int64)
+        fps = np.array([majority(x[1]) for x in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), batch.column(2), pa.nulls(len(sets), pa.int64())], schema=schema)
+
+    def of_shingles(out: list) -> pa.RecordBatch:
+        lens = [len(x[2]) for x in out]
+        node = np.repeat(np.array([x[0] for x in out], np.uint64).view(np.int64), lens)
+        n = np.repeat(np.array([len(x[1]) for x in out], np.int32), lens)
+        first = np.concatenate([x[2] for x in out]).view(np.int64)
+        none = [pa.nulls(len(node), t) for t in (pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([none[0], none[0], pa.array(node), pa.array(n), none[0], none[1], pa.array(first)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        seen: set = set()
         for batch in batches:
-            nodes, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out, held = [], 0
-            for i, text in enumerate(batch.column(2)):
-                s = shingle_set(text.as_py() or b"", size)
+            sets, out, held = [], [], 0
+            for text in batch.column(2):
+                s = np.unique(shingles(text.as_py(), size))
+                node = xxhash.xxh64_intdigest(s.tobytes())
+                sets.append((node, s))
+                if node in seen:
+                    continue
+                seen.add(node)
                 last = late[(s % np.uint64(COUNTERS)).astype(np.int64)]
-                s = np.concatenate([s[~last], s[last]])
-                first = s[: len(s) - -(-least.numerator * len(s) // least.denominator) + 1]
-                out.append((np.full(len(first), nodes[i]), np.full(len(first), ns[i]), first.view(np.int64)))
+                first = np.concatenate([s[~last], s[last]])[: len(s) - -(-least.numerator * len(s) // least.denominator) + 1]
+                out.append((node, s, first))
                 held += len(first)
-                if held > 100_000:
-                    yield emit(out)
+                if held > 200_000:
+                    yield of_shingles(out)
                     out, held = [], 0
+            if sets:
+                yield of_documents(batch, sets)
             if out:
-                yield emit(out)
+                yield of_shingles(out)
 
-    def emit(out: list) -> pa.RecordBatch:
-        a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=["node", "n", "shingle"])
-
-    return texts.select("node", "n", "text").mapInArrow(run, "node long, n int, shingle long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, text binary, shingle long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: Fraction) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least the similarity."""
     pairs = common.stored(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = common.stored(texts.join(ends, "node", "left_semi").select("node", "n", "text"), "ends")
+    known = common.stored(rows.select("node", "n", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, held = None, None
+        held: dict[int, np.ndarray] = {}
+        room = 0
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal room
+            if node not in held:
+                if room > REMEMBERED:
+                    held.clear()
+                    room = 0
+                held[node] = np.unique(shingles(text.as_py(), size))
+                room += len(held[node])
+            return held[node]
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            a = batch.column(0).to_pylist()
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                if held is None or a[i] != before:
-                    before, held = a[i], shingle_set(x.as_py() or b"", size)
-                other = shingle_set(y.as_py() or b"", size)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep[i] = both * least.denominator >= least.numerator * (len(held) + len(other) - both)
+            for i, (a, b, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                one, other = of(a, x), of(b, y)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep[i] = both * least.denominator >= least.numerator * (len(one) + len(other) - both)
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep)) for j in (0, 1)], names=["a", "b"])
 
     sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    # Lengths are compared before the texts of the second side are fetched.
+    sizes = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
     fit = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
-    return common.stored(both.where(fit).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
+    both = pairs.join(sizes, "b").join(sides[0], "a").where(fit).select("a", "b", "text_a").join(sides[1], "b")
+    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, screen: int = 2, radius: int = 8, verify_radius: int = 38) -> DataFrame:
-    """doc_id, key (xxhash64 of the text), node (set of shingles) and component_id (smallest doc_id of the group) by row.
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
+    """doc_id, whole, component_id and kept for every row of docs.
 
-    similarity: least Jaccard similarity of the sets of size-word shingles of a link. screen, radius, verify_radius: the
-    SimHash candidates that come first; they change the cost, not the result. Rows without a doc_id have a null
-    component_id and stand in no group. Columns other than doc_id and text are ignored.
+    similarity: least Jaccard similarity of the sets of size-word shingles of a link. radius: bits of the SimHash
+    candidates that come first; it changes the cost, not the result. whole: a hash of all columns, which with doc_id names
+    a row; rows alike in both are one. component_id: the smallest doc_id of the group, null if none of it has an id.
+    kept: the row comes first in its group, by doc_id (null ids last) and whole.
     """
     least = Fraction(similarity).limit_denominator(1000)
-    rows = common.stored(described(docs, screen, size), "described")
-    texts = common.stored(rows.where("doc_id is not null").select("node", "n", "fp", "extra", "text").dropDuplicates(["node"]), "texts")
-    first = confirmed(links(texts.select("node", "fp", "extra"), radius, verify_radius), texts, size, least)
-    label = components(first)
-    # Shingles of one text only go first, then those of one group only.
+    table = common.stored(described(docs, size, least, common_counters(docs.select(F.col("text").cast("string").cast("binary").alias("text")), size)), "described")
+    rows = table.where("shingle is null").drop("shingle")
     w = Window.partitionBy("shingle")
-    shared = prefixes(texts, size, least, common_counters(texts, size)).withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-    shared = common.stored(shared.where("lo < hi").drop("lo", "hi"), "shared")
-    named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shared = table.where("shingle is not null").select("node", "n", "shingle").withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
+    shared = common.stored(shared.where("lo < hi").distinct(), "shared")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
+    stars = [shared.select("node", F.col(x).alias("other")).where("node <> other") for x in ("lo", "hi")]
+    stars = stars[0].unionByName(stars[1]).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    near = links(common.stored(nodes, "nodes"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    first = confirmed(near.unionByName(stars), rows, size, least)
+    label = common.stored(components(first), "labels")
+    named = shared.drop("lo", "hi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo < hi").drop("lo", "hi")
     named = common.stored(named, "named")
     l, r = named.toDF(*[f"{c}_l" for c in named.columns]), named.toDF(*[f"{c}_r" for c in named.columns])
@@ -164,12 +195,32 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, screen:
     pairs = pairs.groupBy(F.col("node_l").alias("a"), F.col("node_r").alias("b")).agg(F.count("*").alias("both"), F.first("n_l").alias("n_l"), F.first("n_r").alias("n_r"))
     others = F.ceil(F.greatest("n_l", "n_r").cast("long") * least.numerator / F.lit(least.denominator)) - 1
     pairs = pairs.where((F.col("both") + others) * (least.numerator + least.denominator) >= (F.col("n_l") + F.col("n_r")) * least.numerator)
-    more = confirmed(pairs.select("a", "b"), texts, size, least)
-    label = common.stored(components(first.unionByName(more)), "labels")
-    least_id = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
-    group = least_id.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    group = common.stored(group, "groups")
-    ids = group.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_node = group.join(ids, "label").select("node", "component_id")
-    out = rows.select("doc_id", "key", "node").join(of_node, "node", "left")
-    return out.select("doc_id", "key", "node", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    pairs = common.stored(pairs.select("a", "b"), "candidates")
+    if pairs.limit(1).count():
+        label = common.stored(components(first.unionByName(confirmed(pairs, rows, size, least))), "labels")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
+    of_node = rows.groupBy("node").agg(F.min(own).alias("own")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_node = common.stored(of_node, "groups")
+    best = of_node.groupBy("label").agg(F.min("own").alias("first"))
+    best = of_node.join(best, "label").select("node", "first")
+    out = rows.select("doc_id", "whole", "node", own.alias("own")).join(best, "node")
+    return out.select("doc_id", "whole", F.col("first.doc_id").alias("component_id"), (F.col("own") == F.col("first")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of docs that come first in their group of near copies, one row for rows alike in all columns."""
+    found = common.stored(near_copies(docs, similarity, size, radius), "near_copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.withColumn("__whole", common.row_hash(docs))
+
+    def same(other: DataFrame):
+        return named["doc_id"].cast("long").eqNullSafe(other["__id"]) & (named["__whole"] == other["__w"])
+
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("whole").alias("__w")).distinct()
+    left = named.join(gone, same(gone), "left_anti")
+    again = found.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("whole").alias("__w")).count().where("count > 1").select("__id", "__w")
+    if not again.limit(1).count():
+        return left.select(*columns)
+    again = common.stored(again, "repeated")
+    twice = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__whole"])
+    return left.join(again, same(again), "left_anti").unionByName(twice).select(*columns)

@@ -62,3 +62,15 @@ def test_near_copies_are_exact(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     kept = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id with different texts are rows of their own; of rows alike one stays; null ids come last."""
+    rng = random.Random(15)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    docs = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, d), (7, d), (2**50, d), (None, None)]
+    rows = [(i, t, "en", "s", 1) for i, t in docs]
+    want = [(1, a), (5, b), (None, c), (7, d), (None, None)]
+    for _ in range(2):
+        kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
