@@ -17,16 +17,15 @@ from kartwerk.llm import common
 from kartwerk.llm.decontamination import find_leaks
 from kartwerk.llm.language_id import identify, learn
 from kartwerk.llm.mixing import mix
-from kartwerk.llm.near_copies import near_copies
+from kartwerk.llm.near_copies import without_copies
 from kartwerk.llm.sharding import shard
 
 #: A document goes if its leading language has less than this share of its words.
 LEAST_SHARE = 0.4
 #: Near copies have this Jaccard similarity of five-word shingles at least; it is computed exactly for every link.
 SIMILARITY, SHINGLE = 0.8, 5
-#: The SimHash candidates that are confirmed first: two-word shingles within RADIUS bits, and within VERIFY_RADIUS of 192
-#: bits over five-word shingles. What they miss is found by shared shingles.
-SCREEN_WORDS, RADIUS, VERIFY_RADIUS = 2, 8, 38
+#: Bits within which SimHash links are candidates that are confirmed first; the others are found by shared shingles.
+RADIUS = 3
 #: Columns that operators read.
 READ = ("doc_id", "text", "lang", "source")
 
@@ -48,15 +47,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies; one row of each repeated id, all rows without an id."""
-    found = near_copies(docs, SIMILARITY, SHINGLE, SCREEN_WORDS, RADIUS, VERIFY_RADIUS)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return left
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(twice).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keeps one row of each group of near copies: the smallest doc_id, null ids last. Rows that share an id but not
+    their text are rows of their own; of rows alike in all columns one stays."""
+    return without_copies(docs, SIMILARITY, SHINGLE, RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
