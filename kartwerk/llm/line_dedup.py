@@ -18,6 +18,7 @@ errors, one step a character, whatever the line's length.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +28,9 @@ from . import common
 from .simhash import components
 
 EDITS = 2
-#: Shorter lines are equal or unrelated; 1: every line with a word is joined.
-MIN_CHARS = 1
-#: A line's id is its document's times LINES plus its number.
-LINES = 1 << 21
+#: A line's place in the table is one number: doc_id, then so many digits for its row among those of that id and for its
+#: number in the text. A null id counts as NO_ID, beyond all others.
+ROW_DIGITS, LINE_DIGITS, NO_ID = 8, 10, 9_999_999_999_999_999_999
 #: Characters whose counts are compared before the edit distance.
 COUNTED = "etanorislhducmpgbwv ,.éö|"
 
@@ -69,13 +69,25 @@ def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
     return close & F.element_at(F.transform(F.array(F.struct(chars(a).alias("x"), chars(b).alias("y"))), run), 1)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line for each line with a word."""
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text, which tells rows of one id apart) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(10**ROW_DIGITS)).alias("row"), text.alias("text"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no (from 0) and line for each line with a word."""
+    rows = named_rows(docs).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.translate("line", common.SPACES, "") != "")
 
 
+def _place() -> Column:
+    """The place of a line as one decimal, in order of doc_id, row and line_no."""
+    whole = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(NO_ID))).cast("decimal(19,0)")
+    rest = (F.col("row") * 10**LINE_DIGITS + F.col("line_no")).cast("decimal(18,0)")
+    return (whole * F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS))) + rest).cast("decimal(38,0)")
+
+
 def _keys(k: int) -> Column:
     """Probes of a line of n characters: those that are its index entries too (role 1) and the others (role 0)."""
     n, out = F.col("n"), []
@@ -102,9 +114,10 @@ def _keys(k: int) -> Column:
     return F.filter(F.array(*out), lambda e: e.isNotNull())
 
 
-def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within k edits, a > b; lines has id (long) and line, each line once."""
-    every = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
+def line_links(lines: DataFrame, k: int = EDITS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines within k edits, a > b, with their places first_a and first_b; lines has id
+    (long), line and first, each line once."""
+    every = lines.select("id", "first", "line", F.char_length("line").alias("n"))
     rows = every.where(F.col("n") > k)
     keyed = rows.select("id", F.explode(_keys(k)).alias("e")).select("id", "e.key", "e.role")
     w = Window.partitionBy("key")
@@ -112,7 +125,7 @@ def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) ->
     keyed = common.stored(keyed.groupBy("key", "id").agg(F.max("role").alias("role")), "keys")
     counts = [(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
     wanted = keyed.select("id").distinct().hint("merge")  # it grows with the lines: never broadcast
-    known = common.stored(rows.join(wanted, "id", "left_semi").select("id", "line", "n", *counts), "candidates")
+    known = common.stored(rows.join(wanted, "id", "left_semi").select("id", "first", "line", "n", *counts), "candidates")
     full = keyed.join(known, "id")
     index = full.where("role = 1").drop("role")
     probe = full.drop("role")
@@ -120,32 +133,52 @@ def line_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) ->
     differ = sum((F.abs(F.col(f"c{i}") - F.col(f"c{i}_b")) for i in range(len(COUNTED))), F.lit(0)) <= 2 * k
     later = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") > F.col("id_b")))
     pairs = probe.join(index, "key").where((F.col("n") - F.col("n_b") <= k) & later & differ & within_edits(F.col("line"), F.col("line_b"), k))
-    tiny = every.where(F.col("n") <= k).toDF("id_b", "line_b", "n_b")  # as few as there are strings of k characters
+    tiny = every.where(F.col("n") <= k).toDF("id_b", "first_b", "line_b", "n_b")  # as few as there are strings of k characters
     short = every.where(F.col("n") <= 2 * k).join(F.broadcast(tiny), later & within_edits(F.col("line"), F.col("line_b"), k))
-    both = pairs.select("id", "id_b").unionByName(short.select("id", "id_b"))
-    return both.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
+    columns = ["id", "first", "id_b", "first_b"]
+    both = pairs.select(*columns).unionByName(short.select(*columns))
+    up = F.col("id") > F.col("id_b")
+    pick = lambda yes, no, name: F.when(up, F.col(yes)).otherwise(F.col(no)).alias(name)
+    return both.select(pick("id", "id_b", "a"), pick("id_b", "id", "b"), pick("first", "first_b", "first_a"), pick("first_b", "first", "first_b")).distinct()
 
 
-def line_classes(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, line_id, class_id, n_links, kept for each line with a word.
+def line_classes(docs: DataFrame, k: int = EDITS) -> DataFrame:
+    """doc_id, line_no, class_doc_id, class_row, class_line_no, n_links, kept for each line with a word.
 
-    line_id: doc_id * LINES + line_no of the first equal line. class_id: the smallest line_id reachable over links of at
-    most k edits (lines under min_chars characters: equality only). n_links: different lines linked to this one. kept:
-    this is the first line of its class. Null texts have no lines; rows without a doc_id are passed over; rows that
-    repeat a doc_id keep their lines apart only where these differ in number or text. Other columns are ignored.
-    A line number of LINES or more is an error.
+    A class is all lines that links of at most k edits connect, named by the place of its first line: its doc_id (null
+    ids last), row (a hash of the text) and line_no. n_links: different lines linked to this one. kept: this is the first
+    line of its class. Null and empty texts have no lines. Rows that repeat a doc_id with another text are rows of their
+    own, in order of their hash; of rows alike in both only one keeps a line. A text may have any number of lines. Other
+    columns are ignored; an empty table gives an empty result.
     """
     every = lines_of(docs)
-    number = F.when(F.col("line_no") < LINES, F.col("doc_id") * LINES + F.col("line_no")).otherwise(F.raise_error(F.lit("too many lines in a document")).cast("long"))
     k0, k1 = F.xxhash64("line"), F.shiftleft(F.hash("line").cast("long"), 32).bitwiseXOR(F.crc32(F.col("line").cast("binary")))
-    every = every.select("doc_id", "line_no", number.alias("at"), k0.alias("k0"), k1.alias("k1"), "line")
+    every = every.select("doc_id", "row", "line_no", k0.alias("k0"), k1.alias("k1"), "line")
     # 128 bits name a line, so that its text travels once here and never again with its occurrences
-    lines = common.stored(every.groupBy("k0", "k1", "line").agg(F.min("at").alias("id")), "lines")
-    common.free_shuffles(docs.sparkSession)
-    links = common.stored(line_links(lines, k, min_chars), "line_links")
-    label = components(links)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = lines.select("k0", "k1", "id").join(ends, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("k0", "k1", F.col("id").alias("line_id"), F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = every.select("doc_id", "line_no", "at", "k0", "k1").join(named, ["k0", "k1"])
-    return out.select("doc_id", "line_no", "line_id", "class_id", "n_links", (F.col("at") == F.col("class_id")).alias("kept"))
+    lines = every.withColumn("at", _place()).groupBy("k0", "k1", "line").agg(F.min("at").alias("first"))
+    lines = common.stored(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
+    links = common.stored(line_links(lines, k), "line_links")
+    ends = links.select(F.col("a").alias("node"), F.col("first_a").alias("first")).unionByName(links.select(F.col("b").alias("node"), F.col("first_b").alias("first")))
+    ends = ends.groupBy("node").agg(F.count("*").alias("n_links"), F.min("first").alias("first")).join(components(links).hint("merge"), "node", "left")
+    ends = common.stored(ends.withColumn("label", F.coalesce("label", "node")), "linked")
+    classes = ends.join(ends.groupBy("label").agg(F.min("first").alias("class_at")), "label").select(F.col("node").alias("id"), "n_links", "class_at")
+    named = lines.select("k0", "k1", "id", "first").join(classes.hint("merge"), "id", "left")
+    named = named.select("k0", "k1", F.coalesce("class_at", "first").alias("class_at"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = every.select("doc_id", "row", "line_no", "k0", "k1").join(named, ["k0", "k1"]).drop("k0", "k1")
+    out = out.withColumn("kept", _place() == F.col("class_at"))
+    # Rows alike in id and text: only one of them keeps lines.
+    again = named_rows(docs).groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("row").alias("r"))
+    if again.limit(1).count():
+        again = common.stored(again, "repeated")
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))
+        number = F.row_number().over(Window.partitionBy("doc_id", "row", "line_no").orderBy("class_at"))
+        twice = out.join(again, same, "left_semi").withColumn("kept", F.col("kept") & (number == 1))
+        out = out.join(again, same, "left_anti").unionByName(twice)
+    rest = F.pmod(F.col("class_at"), F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS))))
+    whole = ((F.col("class_at") - rest) / F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS)))).cast("decimal(19,0)")
+    names = [
+        F.when(whole != F.lit(Decimal(NO_ID)), whole).cast("long").alias("class_doc_id"),
+        F.floor(rest / 10**LINE_DIGITS).cast("long").alias("class_row"),
+        F.pmod(rest, F.lit(Decimal(10**LINE_DIGITS))).cast("int").alias("class_line_no"),
+    ]
+    return out.select("doc_id", "line_no", *names, "n_links", "kept")
