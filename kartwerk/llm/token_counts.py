@@ -3,39 +3,40 @@
 A text's token count is the sum over its pre-tokens of the pieces that the merge table makes of each; pieces are
 counted once per distinct pre-token and joined to per-document pre-token frequencies.
 
-* Pre-tokens seen in several documents of one flush are looked up in the worker's memo (filled once per pre-token).
-* All others travel as (pre-token, document, frequency), are sorted by pre-token, counted once and summed by document.
-
-Both ways give the same counts, so a very frequent pre-token never makes a large group and the shuffle carries the
-rare ones only.
+1. Blocks: some thousand documents each, with a dictionary of their own. A block is a sparse matrix (document,
+   pre-token, frequency) in packed columns; beside it stand its distinct pre-tokens, one row each.
+2. The distinct pre-tokens of all blocks are counted, each once, wherever it came from.
+3. The counts are joined to the blocks' pre-tokens, go back to their block as one vector, and the block's documents are
+   the product of matrix and vector.
+
+A frequent pre-token is one row a block, so no key has more rows than there are blocks. Rows keep their place in the
+block, so the ids of documents take part in no join: repeated and null ids give a row of the result each.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pre-tokens in at least so many documents of one flush are counted in place. It moves work, never results.
-LOCAL_DOCS = 3
-#: Characters that a flush gathers, so memory is bounded whatever the batch size.
-FLUSH_CHARS = 24_000_000
-#: Entries of a worker's memo before it starts anew.
-MEMO_ENTRIES = 400_000
+#: Characters that a block gathers (one document more at most), so memory is bounded whatever the batch size.
+BLOCK_CHARS = 24_000_000
+#: Pre-tokens that are counted by one call of the library.
+BATCH = 50_000
 
 # Texts of these characters only: composed Latin letters, ASCII and Latin-1 signs. Their NFC form is themselves and
 # lower-casing is one to one, so Python's rules and the library's agree.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
-_ROWS = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("freq", pa.int64()), ("n_bytes", pa.int64())])
+_ROWS = pa.schema([("block", pa.int64()), ("piece", pa.string()), ("place", pa.int32()), ("docs", pa.list_(pa.int64())), ("fixed", pa.binary()), ("sizes", pa.binary()), ("lens", pa.binary()), ("places", pa.binary()), ("freqs", pa.binary())])
 _cache: dict = {}
 
 
@@ -58,7 +59,6 @@ class PieceCounter:
         self.split = regex.compile(steps[0]["pattern"]["Regex"].replace("\\s", " "))
         bare = dict(spec, normalizer=None, added_tokens=[], post_processor=None)
         self.pieces = Tokenizer.from_str(json.dumps(bare))
-        self.memo: dict[str, int] = {}
 
     def chunks(self, text: str) -> tuple[list[str], list[str], int]:
         """White-space separated chunks still to be split, pre-tokens found already, the number of special tokens."""
@@ -73,11 +73,6 @@ class PieceCounter:
                 done += [self._raw(p) for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
         return chunks, done, len(parts) - 1
 
-    def pretokens(self, text: str) -> tuple[list[str], int]:
-        """All pre-tokens of a text, and the number of special tokens in it."""
-        chunks, done, specials = self.chunks(text)
-        return [p for c in chunks for p in self.split.findall(c)] + done, specials
-
     def _raw(self, piece: str) -> str:
         """The text behind a byte-level piece."""
         if "bytes" not in self.__dict__:
@@ -90,13 +85,6 @@ class PieceCounter:
         """Pieces of each pre-token."""
         return [len(e) for e in self.pieces.encode_batch(pretokens, add_special_tokens=False)]
 
-    def remembered(self, pretokens: list[str]) -> dict[str, int]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        new = [p for p in pretokens if p not in self.memo]
-        self.memo.update(zip(new, self.count(new)))
-        return self.memo
-
 
 def _counter(path: str) -> PieceCounter:
     import os
@@ -107,88 +95,106 @@ def _counter(path: str) -> PieceCounter:
     return _cache[path]
 
 
-def _flush(counter: PieceCounter, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-    in_docs: Counter = Counter()
-    bags, totals, sizes = [], [], []
-    for text in texts:
-        text = text or ""
-        chunks, done, specials = counter.chunks(text)
-        bag = Counter(chunks)
-        bag.update((p,) for p in done)  # a tuple is a pre-token already
-        in_docs.update(bag.keys())
-        bags.append(bag)
-        totals.append(specials)
-        sizes.append(len(text.encode("utf-8")))
-    find = counter.split.findall
-    split = {c: list(c) if isinstance(c, tuple) else find(c) for c in in_docs}
-    seen: Counter = Counter()
-    for c, pieces in split.items():
-        for p in pieces:
-            seen[p] += in_docs[c]
-    memo = counter.remembered([p for p, n in seen.items() if n >= LOCAL_DOCS])
-    fixed, travels = {}, {}
-    for c, pieces in split.items():
-        fixed[c] = sum(memo[p] for p in pieces if seen[p] >= LOCAL_DOCS)
-        if far := [p for p in pieces if seen[p] < LOCAL_DOCS]:
-            travels[c] = far
-    rare, owner, freq = [], [], []
-    for i, bag in enumerate(bags):
-        total = 0
-        for c, n in bag.items():
-            total += fixed[c] * n
-            if c in travels:
-                for p in travels[c]:
-                    rare.append(p)
-                    owner.append(ids[i])
-                    freq.append(n)
-        totals[i] += total
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64())], schema=_ROWS)
-    for a in range(0, len(rare), 200_000):
-        b = a + 200_000
-        yield pa.RecordBatch.from_arrays([pa.array(rare[a:b], pa.string()), pa.array(owner[a:b], pa.int64()), pa.array(freq[a:b], pa.int64()), pa.array([0] * len(rare[a:b]), pa.int64())], schema=_ROWS)
+class _Block:
+    """Documents that are gathered into one matrix."""
+
+    def __init__(self, counter: PieceCounter, number: int):
+        self.counter, self.number = counter, number
+        self.names: dict = {}  # chunks to be split, and pre-tokens as tuples of one
+        self.ids: list = []
+        self.fixed: list[int] = []
+        self.sizes: list[int] = []
+        self.parts: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        chunks, done, specials = self.counter.chunks(text)
+        names = self.names
+        place = [names.setdefault(c, len(names)) for c in chunks]
+        place += [names.setdefault((p,), len(names)) for p in done]
+        self.parts.append(np.array(place, np.int64))
+        self.ids.append(doc_id)
+        self.fixed.append(specials)
+        self.sizes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
+        self.chars += len(text)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The matrix, then the pre-tokens of its columns."""
+        find, pretokens, of, counts = self.counter.split.findall, {}, [], []
+        for c in self.names:
+            pieces = c if isinstance(c, tuple) else find(c)
+            of += [pretokens.setdefault(p, len(pretokens)) for p in pieces]
+            counts.append(len(pieces))
+        of, counts = np.array(of, np.int64), np.array(counts, np.int64)
+        begin = np.cumsum(counts) - counts
+        lens = np.array([len(p) for p in self.parts], np.int64)
+        flat = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        n = counts[flat]  # pre-tokens of each chunk in the texts
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        column = of[np.repeat(begin[flat], n) + inside] if len(of) else np.zeros(0, np.int64)
+        row = np.repeat(np.repeat(np.arange(len(lens)), lens), n)
+        cells, freq = np.unique(row * max(1, len(pretokens)) + column, return_counts=True)
+        each = np.bincount(cells // max(1, len(pretokens)), minlength=len(lens))
+        columns = cells % max(1, len(pretokens))
+        yield self._batch([[None], [None], [self.ids], [np.array(self.fixed, np.int64).tobytes()], [np.array(self.sizes, np.int64).tobytes()], [common.packed(each)], [common.packed(columns)], [common.packed(freq)]])
+        names = list(pretokens)
+        for a in range(0, len(names), BATCH):
+            part = names[a : a + BATCH]
+            none = [None] * len(part)
+            yield self._batch([part, list(range(a, a + len(part))), none, none, none, none, none, none])
+
+    def _batch(self, columns: list) -> pa.RecordBatch:
+        columns = [[self.number] * len(columns[0]), *columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
+    """doc_id, n_bytes, n_tokens, over_limit: one row for every row of docs.
 
-    A null text counts as empty (no bytes, no tokens). Rows with a null doc_id share one row of the result, repeated
-    doc_ids are summed. Other columns of docs are ignored, whatever their names. An empty table gives an empty one.
+    A null text counts as empty (no bytes, no tokens). Rows with a null or a repeated doc_id have a row of their own
+    each, with the count of their own text. A text of any length is one row of a block's matrix. Other columns of docs
+    are ignored, whatever their names. An empty table gives an empty one.
     """
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer_path)
-        ids, texts, chars = [], [], 0
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, number = _counter(tokenizer_path), TaskContext.get().partitionId() << 32
+        block = _Block(counter, number)
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                chars += len(t or "")
-                if chars >= FLUSH_CHARS:
-                    yield from _flush(counter, ids, texts)
-                    ids, texts, chars = [], [], 0
-        if ids:
-            yield from _flush(counter, ids, texts)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(i, t.as_py() or "")
+                if block.chars >= BLOCK_CHARS:
+                    yield from block.rows()
+                    number += 1
+                    block = _Block(counter, number)
+        if block.ids:
+            yield from block.rows()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
-        last, last_n = None, 0  # a pre-token may run on into the next batch
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            known = {last: last_n} if last is not None else {}
-            counts = [known[n] if n in known else None for n in names]
-            counted = iter(counter.count([n for n in names if n not in known]))
-            counts = [c if c is not None else next(counted) for c in counts]
-            if names:
-                last, last_n = names[coded.indices[len(coded) - 1].as_py()], counts[coded.indices[len(coded) - 1].as_py()]
-            each = pa.array(counts, pa.int64()).take(coded.indices)
-            table = pa.table({"doc_id": batch.column(1), "n": pc.multiply(each, batch.column(2))})
-            yield from table.group_by("doc_id").aggregate([("n", "sum")]).rename_columns(["doc_id", "n"]).to_batches()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "piece string, doc_id long, freq long, n_bytes long")
-    rows = common.stored(rows, "pretokens")
-    whole = rows.where("piece is null").select("doc_id", F.col("freq").alias("n"), "n_bytes")
-    rare = rows.where("piece is not null").select("piece", "doc_id", "freq").repartition("piece").sortWithinPartitions("piece")
-    rare = rare.mapInArrow(pieces, "doc_id long, n long").select("doc_id", "n", F.lit(0).cast("long").alias("n_bytes"))
-    both = whole.unionByName(rare).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return both.withColumn("over_limit", F.col("n_tokens") > limit)
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.column(0).slice(a, BATCH)
+                yield pa.RecordBatch.from_arrays([part, pa.array(counter.count(part.to_pylist()), pa.int32())], names=["piece", "n"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, fixed, sizes, lens, places, freqs, counted = (batch.column(j)[i] for j in range(7))
+                fixed, sizes = np.frombuffer(fixed.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int64)
+                lens, places, freqs = (common.unpacked(x.as_py()).astype(np.int64) for x in (lens, places, freqs))
+                vector = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int64)
+                if counted.is_valid and len(counted.values):
+                    vector[counted.values.field("place").to_numpy()] = counted.values.field("n").to_numpy()
+                upto = np.concatenate([[0], np.cumsum(vector[places] * freqs)])
+                ends = np.cumsum(lens)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(sizes), pa.array(fixed + upto[ends] - upto[ends - lens])], names=["doc_id", "n_bytes", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(blocks, "block long, piece string, place int, docs array<long>, fixed binary, sizes binary, lens binary, places binary, freqs binary")
+    made = common.stored(made, "blocks")
+    asked = made.where("piece is not null").select("piece", "block", "place")
+    known = asked.select("piece").distinct().mapInArrow(pieces, "piece string, n int")
+    answers = asked.join(known, "piece").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("counted"))
+    matrices = made.where("docs is not null").select("block", "docs", "fixed", "sizes", "lens", "places", "freqs")
+    both = matrices.join(answers, "block", "left").select("docs", "fixed", "sizes", "lens", "places", "freqs", "counted")
+    return both.mapInArrow(sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
