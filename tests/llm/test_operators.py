@@ -121,6 +121,19 @@ def test_mix_keeps_every_row(spark, rows):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Sources beyond the largest share one task; bounded blocks; every row has a place of its own."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    many = [(i, "t", "en", f"s{min(i % 40, 9)}" if i % 40 else None, 1) for i in range(800)]
+    out = mixing.mix(frame(spark, many)).collect()
+    assert collections.Counter(r.source for r in out) == collections.Counter(m[3] for m in many)
+    assert len({r.position for r in out}) == len(many) and max(r.slot for r in out) < 16
+    given = mixing.mix(frame(spark, many), {"s1": 1.0, "s9": 3.0}, block_docs=4).collect()
+    assert len({r.position for r in given}) == len(many)
+    assert {r.source for r in sorted(given, key=lambda r: r.position)[:60]} == {"s1", "s9"}
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -144,19 +157,40 @@ def test_languages(spark):
 
 
 def test_wand_is_exact():
+    """Equal to scoring all postings, of which it scores few where most passages have nothing to do with any item."""
     rng = random.Random(4)
-    items = [(i, sentence(rng, rng.randrange(5, 40), ["a", "b", "c", "of", "to"])) for i in range(150)]
+    usual = [f"w{i}" for i in range(200)]
+    items = [(i, sentence(rng, rng.randrange(5, 25)) + " " + " ".join(rng.sample(usual, 10))) for i in range(150)]
     index = decontamination.Index(items)
-    for _ in range(60):
-        nums = np.array(index.numbers(sentence(rng, 200, ["a", "b", "c", "of", "to"]).split()))
-        own = np.unique(nums[nums >= 0])
-        full = np.zeros(len(items))
-        for t in own:
-            full[index.items[t]] += index.impacts[t]
-        for theta in (0.05, 0.2, 0.4):
-            got = dict(index.search(own.tolist(), theta))
-            assert set(got) == set(np.flatnonzero(full >= theta - 1e-9))
-            assert all(abs(full[k] - v) < 1e-9 for k, v in got.items())
+    scored = every = 0
+    for n in (0, 1, 20, 60):
+        rows = [np.unique([x for x in index.numbers((" ".join(rng.choices(usual, k=60)) + (" " + items[p][1] if p % 9 == 0 else "")).split()) if x >= 0]) for p in range(n)]
+        passage = np.concatenate([np.full(len(r), p) for p, r in enumerate(rows)] + [np.zeros(0)]).astype(np.int64)
+        number = np.concatenate([*rows, np.zeros(0)]).astype(np.int64)
+        full = np.zeros((n, len(items)))
+        ends = np.cumsum(index.n_blocks)
+        for p, r in enumerate(rows):
+            for t in r:
+                blocks = range(ends[t] - index.n_blocks[t], ends[t])
+                at = [j for b in blocks for j in range(index.block_start[b], index.block_start[b] + index.block_size[b])]
+                full[p, index.items[at]] += index.impacts[at]
+                every += len(at)
+        for theta in (0.05, 0.2, 0.5):
+            found, count = index.search(passage, number, theta)
+            assert {(p, k) for p, k, _ in found} == set(zip(*map(list, np.nonzero(full >= theta - 1e-9))))
+            assert all(abs(full[p, k] - x) < 1e-9 for p, k, x in found)
+        scored += count
+    assert 0 < scored < every / 4
+
+
+def test_passages_overlap():
+    """An item anywhere in a long text lies whole in a passage that is found."""
+    rng = random.Random(41)
+    item = sentence(rng, 60)
+    index = decontamination.Index([(7, item), (8, sentence(rng, 64))])
+    for at in (0, 63, 64, 100, 128, 999, 1000):
+        text = sentence(rng, at) + " " + item + " " + sentence(rng, 1000 - at)
+        assert [x[0] for x in decontamination.leaks(text, index, 0.9, 1.0, 1.0)] == [7]
 
 
 def test_leaks(spark):
@@ -181,7 +215,10 @@ def test_leaks_in_shards(spark, monkeypatch):
     items = [(i, sentence(rng, 25)) for i in range(10)]
     docs = frame(spark, [(i, f"{sentence(rng, 30)} {t} {sentence(rng, 30)}", "en", "s", 0) for i, t in items])
     out = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert all([h.item_id for h in r.hits] == [r.doc_id] for r in out)
+    assert len(out) == 10 and all([h.item_id for h in r.hits] == [r.doc_id] for r in out)
+    odd = frame(spark, [(None, items[3][1], "en", "s", 0), (None, None, "en", "s", 0), (4, items[5][1], "en", "s", 0), (4, "no", "en", "s", 0)] * 2)
+    out = decontamination.find_leaks(odd, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, [h.item_id for h in r.hits]) for r in out) == sorted([(-1, [3]), (-1, []), (4, [5]), (4, [])] * 2)
 
 
 # -- 5 ----------------------------------------------------------------------------------------------------------------
@@ -219,29 +256,46 @@ def test_bit_parallel_edits(spark):
 
 
 def test_line_classes(spark):
+    """Against brute force, with null, repeated and very large ids, rows alike and clashing columns."""
     rng = random.Random(9)
     base = [sentence(rng, 4) for _ in range(6)]
-    docs = [(i + 1, "\n".join(mutate(rng, rng.choice(base), rng.randrange(4)) for _ in range(4)) + "\n \nshort", "en", "s", 0) for i in range(20)] + [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (None, "x", "en", "s", 0)]
+    say = lambda: "\n".join(mutate(rng, rng.choice(base), rng.randrange(4)) for _ in range(4)) + "\n \nshort"
+    docs = [(i + 1, say(), "en", "s", 0) for i in range(14)] + [(3, say(), "en", "s", 0), (2**50, say(), "en", "s", 0), (2**50, say(), "en", "s", 0), (-5, say(), "en", "s", 0), (2**63 - 1, say(), "en", "s", 0)]
+    docs += [(None, say(), "en", "s", 0), (None, "x", "en", "s", 0), (50, None, "en", "s", 0), (51, "", "en", "s", 0), docs[4], docs[4]]
     got = line_dedup.line_classes(frame(spark, docs).withColumn("line", F.lit(1))).collect()
+    row = {r.text: r.row for r in line_dedup.named_rows(frame(spark, docs)).collect()}
     where = collections.defaultdict(list)
     for i, t, *_ in docs:
         for k, line in enumerate((t or "").split("\n")):
-            if i and words(line):
-                where[line].append(i * line_dedup.LINES + k)
+            if words(line):
+                where[line].append((i is None, i or 0, row[t or ""], k))
     ids = {min(v): line for line, v in where.items()}
-    link = lambda a, b: min(len(ids[a]), len(ids[b])) >= line_dedup.MIN_CHARS and edits(ids[a], ids[b]) <= 2
+    link = lambda a, b: edits(ids[a], ids[b]) <= 2
     label = components(ids, link)
-    want = {at: (min(v), label[min(v)], sum(link(min(v), o) for o in ids if o != min(v))) for line, v in where.items() for at in v}
-    assert {r.doc_id * line_dedup.LINES + r.line_no: (r.line_id, r.class_id, r.n_links) for r in got} == want
+    want = collections.Counter()
+    for v in where.values():
+        first = label[min(v)]
+        for at in v:
+            want[None if at[0] else at[1], at[3], None if first[0] else first[1], first[2], first[3], sum(link(min(v), o) for o in ids if o != min(v))] += 1
+    assert collections.Counter(tuple(r)[:6] for r in got) == want
     assert sum(r.kept for r in got) == len(set(label.values()))
+    assert all(r.doc_id == r.class_doc_id and r.line_no == r.class_line_no for r in got if r.kept)
     assert line_dedup.line_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_of_one_id_stay_apart(spark):
+    a, b, c = "the river stone is bright", "a silver forest was quiet", "paper letters travel far"
+    docs = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a + "x", "en", "s", 0), (3, b + "y", "en", "s", 0), (4, c, "en", "s", 0), (4, c, "en", "s", 0)]
+    got = line_dedup.line_classes(frame(spark, docs)).collect()
+    assert len(got) == 6 and len({(r.class_doc_id, r.class_row) for r in got}) == 3
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, True), (1, True), (2, False), (3, False), (4, False), (4, True)]
+
+
 def test_links_of_short_lines(spark):
     """Lines of every length are within two edits of one another or not, those of one and two characters too."""
     rng = random.Random(10)
     lines = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(150)} | {"The thertion.", "The, thertion.", "nineteen characters", "nineteen characters."})
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("first", F.col("id").cast("decimal(38,0)"))
     want = {(j, i) for i, a in enumerate(lines) for j, b in enumerate(lines) if j > i and edits(a, b) <= 2}
     got = line_dedup.line_links(df).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
@@ -297,13 +351,25 @@ def test_manifest(spark, rows, tmp_path):
         store.commit(old)  # someone else made version 2
     store.compact()
     assert len(store.manifest()["shards"]) == 1 and store.read().count() == 2 * len(rows)
-    assert store.vacuum() > 0 and store.read().count() == 2 * len(rows)
+    assert store.vacuum() == 0 and store.read(1).count() == len(rows)
+    assert store.vacuum(0) > 0 and store.read().count() == 2 * len(rows)
+
+
+def test_large_arrivals_are_cut(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "c"))
+    rng = random.Random(15)
+    store.append(spark.createDataFrame([(i, "%030x" % rng.getrandbits(120)) for i in range(4000)], "i long, x string").coalesce(1))
+    size = store.manifest()["shards"][0]["bytes"]
+    store.compact(target=size // 5, order=("i",))
+    m = store.manifest()["shards"]
+    assert 4 <= len(m) <= 6 and sum(s["rows"] for s in m) == 4000 and max(s["rows"] for s in m) < 1200
+    assert [r.i for s in m for r in spark.read.parquet(s["file"]).collect()] == list(range(4000))
 
 
 def test_runs():
     store = sharding.ShardStore(None, "")
-    sizes = [{"bytes": b} for b in (10, 11, 12, 90, 10, 10, 400, 5, 5)]
-    assert store.runs(sizes, target=100) == [[0, 1, 2], [4, 5], [7, 8]]
+    sizes = [{"bytes": b} for b in (10, 11, 12, 90, 10, 10, 400, 5, 5, 30, 20)]
+    assert store.runs(sizes, target=100) == [[0, 1, 2], [4, 5], [7, 8], [9, 10]]
 
 
 # -- 8 ----------------------------------------------------------------------------------------------------------------
@@ -347,19 +413,20 @@ def test_substrings_without_rows(spark):
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("local", [1, 3, 10**9])
-def test_token_counts(spark, rows, local, monkeypatch):
+@pytest.mark.parametrize("block", [1, 500, 24_000_000])
+def test_token_counts(spark, rows, block, monkeypatch):
+    """Equal to the library on whole texts: blocks of any size, null and repeated ids, rows alike and a long text."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_counts, "LOCAL_DOCS", local)
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", block)
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = ["a<|endoftext|>b<|startoftext|>", "J̌ É İ IT'S don't ''s 3½ ² 漢字 \x1c a b​c ΣΑΣ ǅ ß ſ", "x\x85y\x0bz", "🙂🙂 x́", "".join(map(chr, range(1, 0x250)))]
-    given = rows + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(odd)]
+    given = rows + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(odd)] + [(1, "one two", "en", "s", 0), (1, "three", "en", "s", 0), (1, "three", "en", "s", 0), (None, "a b c d", "en", "s", 0), (None, None, "en", "s", 0), (7, "long words " * 30_000, "en", "s", 0)]
     tok = Tokenizer.from_file(path)
-    want = {r[0]: (len((r[1] or "").encode()), len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in given}
+    want = collections.Counter((r[0], len((r[1] or "").encode()), len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in given)
     out = token_counts.count_tokens(frame(spark, given).withColumn("piece", F.lit(1)), path, limit=100).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in out} == want
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in out) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in out)
     assert token_counts.count_tokens(spark.createDataFrame([], SCHEMA), path).count() == 0
 
