@@ -6,12 +6,13 @@ themselves and none is lost:
 1. A sketch counts the shingles of all texts, to tell the common ones. In a second pass each text gives its SimHash and
    its first shingles: in an order that has the common ones last, two sets of that similarity share one of their first
    n - ceil(similarity n) + 1 (prefix filter).
-2. Links are sought in two rounds. The first takes few candidates a text: SimHash links (tiled bit comparison, a spanning
-   forest of each tile pair), and the smallest and the largest text that has the same first shingle. It joins large groups
+2. Links are sought in three rounds. The first takes few candidates a text: SimHash links (tiled bit comparison, a spanning
+   forest of each tile pair), and the smallest and the largest text that has the same first shingle. The second compares a
+   text of each group so found with one of the largest group that has the same first shingle. So large groups are joined
    without looking at all their pairs.
-3. The second round takes the texts of different first groups that share a first shingle, but for pairs that share too
-   few of them to reach the similarity with all other shingles.
-4. Candidates of both rounds are compared exactly. Components of all links that hold are the groups.
+3. The third round takes all texts of different groups that share a first shingle, but for pairs that share too few of
+   them to reach the similarity with all other shingles.
+4. Candidates of all rounds are compared exactly. Components of all links that hold are the groups.
 
 Texts of equal sets are one node, named by 64 hashed bits of the set. Texts without words are equal.
 """
@@ -36,6 +37,8 @@ from .substring_dedup import _P1, run_hashes, word_hashes
 COUNTERS, CHUNKS, PARTS = 1 << 20, 16, 256
 #: A shingle is common if its counter exceeds the median by this and by six deviations.
 COMMON = 8
+#: Texts of a large group that one text of another group is compared with for each shingle in common.
+TRIED = 4
 #: Shingles that a comparing task remembers of the texts it has seen last.
 REMEMBERED = 2_000_000
 
@@ -158,13 +161,28 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) ->
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep)) for j in (0, 1)], names=["a", "b"])
 
     sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    # Lengths are compared before the texts of the second side are fetched.
-    sizes = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
     fit = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
-    both = pairs.join(sizes, "b").join(sides[0], "a").where(fit).select("a", "b", "text_a").join(sides[1], "b")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(fit)
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
 
 
+def open_shingles(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """node, n, shingle and label (the node itself where it has none) for first shingles that several groups share."""
+    w = Window.partitionBy("shingle")
+    named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+    return common.stored(named.where("lo < hi").select("node", "n", "shingle", "label"), "open")
+
+
+def to_largest(named: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each shingle, a text of each group that has it with TRIED of the group that has it most."""
+    any_node = [F.min(F.struct(F.xxhash64("node", "shingle", F.lit(i)).alias("h"), "node"))["node"] for i in range(TRIED)]
+    of_group = named.groupBy("shingle", "label").agg(F.count("*").alias("size"), F.array_distinct(F.array(*any_node)).alias("x"))
+    largest = of_group.groupBy("shingle").agg(F.max(F.struct("size", "label", "x")).alias("most"))
+    pairs = of_group.join(largest, "shingle").where("label <> most.label").select(F.col("x")[0].alias("x"), F.explode("most.x").alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
     """doc_id, whole, component_id and kept for every row of docs.
 
@@ -184,10 +202,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     stars = stars[0].unionByName(stars[1]).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     near = links(common.stored(nodes, "nodes"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     first = confirmed(near.unionByName(stars), rows, size, least)
+    named = open_shingles(shared.drop("lo", "hi"), common.stored(components(first), "labels"))
+    first = first.unionByName(confirmed(to_largest(named), rows, size, least))
     label = common.stored(components(first), "labels")
-    named = shared.drop("lo", "hi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo < hi").drop("lo", "hi")
-    named = common.stored(named, "named")
+    named = open_shingles(named.drop("label"), label)
     l, r = named.toDF(*[f"{c}_l" for c in named.columns]), named.toDF(*[f"{c}_r" for c in named.columns])
     fit = F.least("n_l", "n_r") * least.denominator >= F.greatest("n_l", "n_r") * least.numerator
     pairs = l.join(r, F.col("shingle_l") == F.col("shingle_r")).where((F.col("node_l") > F.col("node_r")) & (F.col("label_l") != F.col("label_r")) & fit)
