@@ -193,8 +193,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     made = rows.mapInArrow(blocks, "block long, piece string, place int, docs array<long>, fixed binary, sizes binary, lens binary, places binary, freqs binary")
     made = common.stored(made, "blocks")
     asked = made.where("piece is not null").select("piece", "block", "place")
-    known = asked.select("piece").distinct().mapInArrow(pieces, "piece string, n int")
-    answers = asked.join(known, "piece").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("counted"))
+    # Each step is stored, so that the files of one shuffle are gone before the next.
+    known = common.stored(asked.select("piece").distinct().mapInArrow(pieces, "piece string, n int"), "pieces")
+    answers = common.stored(asked.join(known.hint("merge"), "piece").select("block", "place", "n"), "answers")
+    common.drop_stored(known)
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("counted"))
     matrices = made.where("docs is not null").select("block", "docs", "fixed", "sizes", "lens", "places", "freqs")
     both = matrices.join(answers, "block", "left").select("docs", "fixed", "sizes", "lens", "places", "freqs", "counted")
     return both.mapInArrow(sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
