@@ -28,9 +28,9 @@ from . import common
 from .simhash import components
 
 EDITS = 2
-#: A line's place in the table is one number: doc_id, then so many digits for its row among those of that id and for its
-#: number in the text. A null id counts as NO_ID, beyond all others.
-ROW_DIGITS, LINE_DIGITS, NO_ID = 8, 10, 9_999_999_999_999_999_999
+#: A line's place in the table is one number: doc_id above the least one, then so many digits for its row among those of
+#: that id and for its number in the text. A null id counts as NO_ID, beyond all others.
+ROW_DIGITS, LINE_DIGITS, LEAST_ID, NO_ID = 8, 10, 1 << 63, 1 << 64
 #: Characters whose counts are compared before the edit distance.
 COUNTED = "etanorislhducmpgbwv ,.éö|"
 
@@ -83,11 +83,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _place() -> Column:
     """The place of a line as one decimal, in order of doc_id, row and line_no."""
-    whole = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(NO_ID))).cast("decimal(19,0)")
+    whole = F.coalesce(F.col("doc_id").cast("decimal(19,0)") + F.lit(Decimal(LEAST_ID)), F.lit(Decimal(NO_ID))).cast("decimal(20,0)")
     rest = (F.col("row") * 10**LINE_DIGITS + F.col("line_no")).cast("decimal(18,0)")
     return (whole * F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS))) + rest).cast("decimal(38,0)")
 
 
+def _parts(place: Column) -> Column:
+    """The doc_id, row and line_no of a place, by its digits."""
+    digits = F.lpad(place.cast("string"), 38, "0")
+    whole, row, line = F.substring(digits, 1, 20), F.substring(digits, 21, ROW_DIGITS), F.substring(digits, 21 + ROW_DIGITS, LINE_DIGITS)
+    doc_id = F.when(whole != str(NO_ID), (whole.cast("decimal(20,0)") - F.lit(Decimal(LEAST_ID))).cast("long"))
+    return F.struct(doc_id.alias("class_doc_id"), row.cast("long").alias("class_row"), line.cast("int").alias("class_line_no"))
+
+
 def _keys(k: int) -> Column:
     """Probes of a line of n characters: those that are its index entries too (role 1) and the others (role 0)."""
     n, out = F.col("n"), []
@@ -163,22 +171,15 @@ def line_classes(docs: DataFrame, k: int = EDITS) -> DataFrame:
     ends = common.stored(ends.withColumn("label", F.coalesce("label", "node")), "linked")
     classes = ends.join(ends.groupBy("label").agg(F.min("first").alias("class_at")), "label").select(F.col("node").alias("id"), "n_links", "class_at")
     named = lines.select("k0", "k1", "id", "first").join(classes.hint("merge"), "id", "left")
-    named = named.select("k0", "k1", F.coalesce("class_at", "first").alias("class_at"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.select("k0", "k1", _parts(F.coalesce("class_at", "first")).alias("p"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).select("k0", "k1", "p.*", "n_links")
     out = every.select("doc_id", "row", "line_no", "k0", "k1").join(named, ["k0", "k1"]).drop("k0", "k1")
-    out = out.withColumn("kept", _place() == F.col("class_at"))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("row") == F.col("class_row")) & (F.col("line_no") == F.col("class_line_no")))
     # Rows alike in id and text: only one of them keeps lines.
     again = named_rows(docs).groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("row").alias("r"))
     if again.limit(1).count():
         again = common.stored(again, "repeated")
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))
-        number = F.row_number().over(Window.partitionBy("doc_id", "row", "line_no").orderBy("class_at"))
+        number = F.row_number().over(Window.partitionBy("doc_id", "row", "line_no").orderBy("class_line_no"))
         twice = out.join(again, same, "left_semi").withColumn("kept", F.col("kept") & (number == 1))
         out = out.join(again, same, "left_anti").unionByName(twice)
-    rest = F.pmod(F.col("class_at"), F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS))))
-    whole = ((F.col("class_at") - rest) / F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS)))).cast("decimal(19,0)")
-    names = [
-        F.when(whole != F.lit(Decimal(NO_ID)), whole).cast("long").alias("class_doc_id"),
-        F.floor(rest / 10**LINE_DIGITS).cast("long").alias("class_row"),
-        F.pmod(rest, F.lit(Decimal(10**LINE_DIGITS))).cast("int").alias("class_line_no"),
-    ]
-    return out.select("doc_id", "line_no", *names, "n_links", "kept")
+    return out.select("doc_id", "line_no", "class_doc_id", "class_row", "class_line_no", "n_links", "kept")
