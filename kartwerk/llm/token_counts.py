@@ -184,7 +184,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
                 lens, places, freqs = (common.unpacked(x.as_py()).astype(np.int64) for x in (lens, places, freqs))
                 vector = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int64)
                 if counted.is_valid and len(counted.values):
-                    vector[counted.values.field("place").to_numpy()] = counted.values.field("n").to_numpy()
+                    both = counted.values.to_numpy()  # place and count in one number
+                    vector[both >> 32] = both & 0xFFFFFFFF
                 upto = np.concatenate([[0], np.cumsum(vector[places] * freqs)])
                 ends = np.cumsum(lens)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(sizes), pa.array(fixed + upto[ends] - upto[ends - lens])], names=["doc_id", "n_bytes", "n_tokens"])
@@ -197,7 +198,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     known = common.stored(asked.select("piece").distinct().mapInArrow(pieces, "piece string, n int"), "pieces")
     answers = common.stored(asked.join(known.hint("merge"), "piece").select("block", "place", "n"), "answers")
     common.drop_stored(known)
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("counted"))
+    answers = answers.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("counted"))
     matrices = made.where("docs is not null").select("block", "docs", "fixed", "sizes", "lens", "places", "freqs")
     both = matrices.join(answers, "block", "left").select("docs", "fixed", "sizes", "lens", "places", "freqs", "counted")
     return both.mapInArrow(sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
