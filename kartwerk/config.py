@@ -64,10 +64,10 @@ _current: Config | None = None
 
 
 def get_config() -> Config:
-    """The current settings; OCI_DEBUG and OCI_LOG_LEVEL are read from the environment the first time."""
+    """The current settings; KARTWERK_DEBUG and KARTWERK_LOG_LEVEL are read from the environment the first time."""
     global _current
     if _current is None:
-        _current = Config(debug=os.environ.get("OCI_DEBUG", "").lower() in ("true", "1", "yes"), log_level=os.environ.get("OCI_LOG_LEVEL", "INFO"))
+        _current = Config(debug=os.environ.get("KARTWERK_DEBUG", "").lower() in ("true", "1", "yes"), log_level=os.environ.get("KARTWERK_LOG_LEVEL", "INFO"))
     return _current
 
 

@@ -66,7 +66,7 @@ def refine(boxes: DataFrame, density: Density, config: Config = Config()) -> Dat
     return df.select(*[c for c in df.columns if c != "best"], *[F.when(good, F.col(f"best.b{c}")).otherwise(F.col(c)).alias(f"b{c}") for c in BOX], F.when(good, F.col("best.score")).otherwise(0.0).alias("best_score"))
 
 
-def confidence(refined: DataFrame) -> DataFrame:
+def confidence(refined: DataFrame, config: Config = Config()) -> DataFrame:
     """Adds loc_confidence, from the density of the initial and the shape of the refined box, aspect_match and status."""
     d = F.col("density")
     box = [F.col(f"b{c}") for c in BOX]
@@ -85,7 +85,7 @@ def confidence(refined: DataFrame) -> DataFrame:
     )
     e = F.col("expected_ar")
     df = refined.withColumns({"loc_confidence": c, "aspect_match": F.greatest(F.lit(0.0), 1.0 - F.abs(ar - e) / e)})
-    return df.withColumn("loc_status", F.when(F.col("loc_confidence") >= Config().localized, "localized").otherwise("field_localization_uncertain"))
+    return df.withColumn("loc_status", F.when(F.col("loc_confidence") >= config.localized, "localized").otherwise("field_localization_uncertain"))
 
 
 def clipping_score(box: list[Column], w: Column, h: Column, edge_mean: Column) -> Column:
@@ -119,7 +119,7 @@ def card_success(localized: DataFrame) -> DataFrame:
 
 def localize(cards: DataFrame, density: Density, config: Config = Config()) -> DataFrame:
     """Proposals, refinement and confidence of all six fields; narrow, no shuffle."""
-    return confidence(refine(proposals(cards, config), density, config))
+    return confidence(refine(proposals(cards, config), density, config), config)
 
 
 __all__ = ["alternatives", "box_score", "card_success", "clipping_score", "confidence", "localize", "proposals", "refine", "steps"]

@@ -49,6 +49,6 @@ def process_images(images: DataFrame, candidates: DataFrame, config: Config = Co
     pick = scored.groupBy(*keys).agg(F.max(F.when(F.col("s.step") == 0, F.col("d"))).alias("density"), F.max(F.struct("score", (-F.col("s.step")).alias("o"), "s")).alias("best"))
     b = F.col("best.score") > 0
     refined = pick.select(*keys, "density", *[F.when(b, F.col(f"best.s.{c}")).otherwise(F.col(c)).alias(f"b{c}") for c in localization.BOX])
-    fields = localization.confidence(refined)
+    fields = localization.confidence(refined, config)
     lost = cards.where("rect_status = 'rectification_failed' or warp is null").select(F.col("image_id").alias("card_id"), F.lit(None).cast("string").alias("field_name"), "rect_status", "rect_failure")
     return fields.unionByName(lost, allowMissingColumns=True)

@@ -59,7 +59,7 @@ def test_documents(spark):
 
 
 def test_config(monkeypatch):
-    monkeypatch.setenv("OCI_DEBUG", "yes")
+    monkeypatch.setenv("KARTWERK_DEBUG", "yes")
     reset_config()
     assert get_config().debug and get_config() is get_config()
     reset_config()
