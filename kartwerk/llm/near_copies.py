@@ -163,7 +163,10 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) ->
     sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
     fit = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
     both = pairs.join(sides[0], "a").join(sides[1], "b").where(fit)
-    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
+    out = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
+    common.drop_stored(pairs)
+    common.drop_stored(known)
+    return out
 
 
 def open_shingles(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -202,10 +205,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     stars = stars[0].unionByName(stars[1]).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     near = links(common.stored(nodes, "nodes"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     first = confirmed(near.unionByName(stars), rows, size, least)
-    named = open_shingles(shared.drop("lo", "hi"), common.stored(components(first), "labels"))
-    first = first.unionByName(confirmed(to_largest(named), rows, size, least))
+    between = open_shingles(shared.drop("lo", "hi"), common.stored(components(first), "labels"))
+    common.drop_stored(shared)
+    first = first.unionByName(confirmed(to_largest(between), rows, size, least))
     label = common.stored(components(first), "labels")
-    named = open_shingles(named.drop("label"), label)
+    named = open_shingles(between.drop("label"), label)
+    common.drop_stored(between)
     l, r = named.toDF(*[f"{c}_l" for c in named.columns]), named.toDF(*[f"{c}_r" for c in named.columns])
     fit = F.least("n_l", "n_r") * least.denominator >= F.greatest("n_l", "n_r") * least.numerator
     pairs = l.join(r, F.col("shingle_l") == F.col("shingle_r")).where((F.col("node_l") > F.col("node_r")) & (F.col("label_l") != F.col("label_r")) & fit)
@@ -214,6 +219,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     others = F.ceil(F.greatest("n_l", "n_r").cast("long") * least.numerator / F.lit(least.denominator)) - 1
     pairs = pairs.where((F.col("both") + others) * (least.numerator + least.denominator) >= (F.col("n_l") + F.col("n_r")) * least.numerator)
     pairs = common.stored(pairs.select("a", "b"), "candidates")
+    common.drop_stored(named)
     if pairs.limit(1).count():
         label = common.stored(components(first.unionByName(confirmed(pairs, rows, size, least))), "labels")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
