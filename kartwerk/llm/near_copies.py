@@ -12,7 +12,9 @@ themselves and none is lost:
    without looking at all their pairs.
 3. The third round takes all texts of different groups that share a first shingle, but for pairs that share too few of
    them to reach the similarity with all other shingles.
-4. Candidates of all rounds are compared exactly. Components of all links that hold are the groups.
+4. Candidates of all rounds are compared exactly. Before their texts are fetched, those go whose counts of shingles by
+   bucket of the hash already keep them below the similarity; what two sets share is at most the sum of the smaller
+   counts, so no link is lost. Components of all links that hold are the groups.
 
 Texts of equal sets are one node, named by 64 hashed bits of the set. Texts without words are equal.
 """
@@ -39,6 +41,10 @@ COUNTERS, CHUNKS, PARTS = 1 << 20, 16, 256
 COMMON = 8
 #: Texts of a large group that one text of another group is compared with for each shingle in common.
 TRIED = 4
+#: Buckets of a set's counts, by the top bits of its mixed hashes, and the shift that leaves those bits.
+BUCKETS, TOP = 128, np.uint64(57)
+#: Odd factor that carries all bits of a hash to the top.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that a comparing task remembers of the texts it has seen last.
 REMEMBERED = 2_000_000
 
@@ -51,6 +57,12 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return run_hashes(word_hashes(words), min(size, len(words)), _P1)
 
 
+def bucket_counts(s: np.ndarray) -> bytes | None:
+    """How many shingles of a set each bucket has, a byte each; none where a count needs more than that."""
+    n = np.bincount(((s * MIX) >> TOP).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
 def common_counters(texts: DataFrame, size: int) -> np.ndarray:
     """For each counter of the sketch whether the shingles that it counts are common."""
     schema = "part int, chunk int, counts binary"
@@ -85,16 +97,16 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.ndarray) -> DataFrame:
-    """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp and text.
+    """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp and counts.
     By node, once a task: node, n and shingle for each of its first shingles, those of common counters last in the order.
     """
     bits = np.packbits(late_counters).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("text", pa.binary()), ("shingle", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("counts", pa.binary()), ("shingle", pa.int64())])
 
     def of_documents(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
         node = np.array([x[0] for x in sets], np.uint64).view(np.int64)
         fps = np.array([majority(x[1]) for x in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), batch.column(2), pa.nulls(len(sets), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), pa.array([bucket_counts(x[1]) for x in sets], pa.binary()), pa.nulls(len(sets), pa.int64())], schema=schema)
 
     def of_shingles(out: list) -> pa.RecordBatch:
         lens = [len(x[2]) for x in out]
@@ -129,14 +141,38 @@ def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.nda
                 yield of_shingles(out)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, text binary, shingle long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, counts binary, shingle long")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and counts by bucket allow the similarity; texts are not needed for it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            counts = [np.frombuffer(b"".join(c or bytes(BUCKETS) for c in side), np.uint8).reshape(-1, BUCKETS) for side in (x, y)]
+            unknown = np.array([c is None or d is None for c, d in zip(x, y)], bool)
+            both = np.where(unknown, np.minimum(n_a, n_b), np.minimum(*counts).sum(axis=1, dtype=np.int64))
+            keep = pa.array(both * least.denominator >= least.numerator * (n_a + n_b - both))
+            yield pa.RecordBatch.from_arrays([batch.column(j).filter(keep) for j in (0, 1)], names=["a", "b"])
+
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+    fit = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
+    both = pairs.join(b, "b").join(a, "a").where(fit)
+    return both.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
 
-def confirmed(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least the similarity."""
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least the similarity. A node's text is that of its first row in docs."""
     pairs = common.stored(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = common.stored(rows.select("node", "n", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+    close = common.stored(possible(pairs, nodes, least), "close")
+    common.drop_stored(pairs)
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    ends = common.stored(nodes.join(ends, "node", "left_semi").select("node", F.col("own.doc_id").alias("id"), F.col("own.whole").alias("w")), "ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), F.col("text").cast("string").cast("binary").alias("text"))
+    known = texts.join(ends, texts["doc_id"].eqNullSafe(ends["id"]) & (texts["whole"] == ends["w"])).select("node", "text")
+    known = common.stored(known.dropDuplicates(["node"]), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -160,14 +196,11 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) ->
                 keep[i] = both * least.denominator >= least.numerator * (len(one) + len(other) - both)
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep)) for j in (0, 1)], names=["a", "b"])
 
-    sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    # Lengths are compared before texts travel: without that the pairs took more than 0.7 GB of disk on 0.1 GB.
-    sizes = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    fit = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
-    both = pairs.join(sizes, "b").join(sides[0], "a").where(fit).select("a", "b", "text_a").join(sides[1].select("b", "text_b"), "b")
-    out = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
-    common.drop_stored(pairs)
-    common.drop_stored(known)
+    one, other = (known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = close.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    out = common.stored(both.mapInArrow(run, "a long, b long"), "confirmed")
+    for table in (close, ends, known):
+        common.drop_stored(table)
     return out
 
 
@@ -198,18 +231,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     """
     least = Fraction(similarity).limit_denominator(1000)
     table = common.stored(described(docs, size, least, common_counters(docs.select(F.col("text").cast("string").cast("binary").alias("text")), size)), "described")
-    rows = table.where("shingle is null").drop("shingle")
+    rows = common.stored(table.where("shingle is null").drop("shingle"), "rows")
     w = Window.partitionBy("shingle")
     shared = table.where("shingle is not null").select("node", "n", "shingle").withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
     shared = common.stored(shared.where("lo < hi").distinct(), "shared")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
+    common.drop_stored(table)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
+    nodes = common.stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "counts")], F.min(own).alias("own")), "nodes")
     stars = [shared.select("node", F.col(x).alias("other")).where("node <> other") for x in ("lo", "hi")]
     stars = stars[0].unionByName(stars[1]).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-    near = links(common.stored(nodes, "nodes"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    first = confirmed(near.unionByName(stars), rows, size, least)
+    near = links(nodes.select("node", "fp"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    first = confirmed(near.unionByName(stars), nodes, docs, size, least)
     between = open_shingles(shared.drop("lo", "hi"), common.stored(components(first), "labels"))
     common.drop_stored(shared)
-    first = first.unionByName(confirmed(to_largest(between), rows, size, least))
+    first = first.unionByName(confirmed(to_largest(between), nodes, docs, size, least))
     label = common.stored(components(first), "labels")
     named = open_shingles(between.drop("label"), label)
     common.drop_stored(between)
@@ -223,9 +258,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     pairs = common.stored(pairs.select("a", "b"), "candidates")
     common.drop_stored(named)
     if pairs.limit(1).count():
-        label = common.stored(components(first.unionByName(confirmed(pairs, rows, size, least))), "labels")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
-    of_node = rows.groupBy("node").agg(F.min(own).alias("own")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        label = common.stored(components(first.unionByName(confirmed(pairs, nodes, docs, size, least))), "labels")
+    of_node = nodes.select("node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = common.stored(of_node, "groups")
     best = of_node.groupBy("label").agg(F.min("own").alias("first"))
     best = of_node.join(best, "label").select("node", "first")
