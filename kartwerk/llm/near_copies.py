@@ -10,8 +10,11 @@ themselves and none is lost:
    forest of each tile pair), and the smallest and the largest text that has the same first shingle. The second compares a
    text of each group so found with one of the largest group that has the same first shingle. So large groups are joined
    without looking at all their pairs.
-3. The third round takes all texts of different groups that share a first shingle, but for pairs that share too few of
-   them to reach the similarity with all other shingles.
+3. The third round takes all texts of different groups that share a first shingle. Of the smaller text (of the smaller name
+   among equals) fewer of them do: n - ceil(2 similarity n / (1 + similarity)) + 1. Places in the order tell how many
+   shingles two texts can share at most, before and after one in common (positional filter); pairs that stay below the
+   similarity go. Near copies of one text that differ too much from each other share only its common shingles, which come
+   after their own, so that such a family isn't compared pair by pair.
 4. Candidates of all rounds are compared exactly. Before their texts are fetched, those go whose counts of shingles by
    bucket of the hash already keep them below the similarity; what two sets share is at most the sum of the smaller
    counts, so no link is lost. Components of all links that hold are the groups.
@@ -98,23 +101,25 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
 
 def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.ndarray) -> DataFrame:
     """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp and counts.
-    By node, once a task: node, n and shingle for each of its first shingles, those of common counters last in the order.
+    By node, once a task: node, n, shingle and pos for each of its first shingles, those of common counters last in the
+    order; pos is the place from zero.
     """
     bits = np.packbits(late_counters).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("counts", pa.binary()), ("shingle", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("counts", pa.binary()), ("shingle", pa.int64()), ("pos", pa.int32())])
 
     def of_documents(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
         node = np.array([x[0] for x in sets], np.uint64).view(np.int64)
         fps = np.array([majority(x[1]) for x in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), pa.array([bucket_counts(x[1]) for x in sets], pa.binary()), pa.nulls(len(sets), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), pa.array([bucket_counts(x[1]) for x in sets], pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int32())], schema=schema)
 
     def of_shingles(out: list) -> pa.RecordBatch:
         lens = [len(x[2]) for x in out]
         node = np.repeat(np.array([x[0] for x in out], np.uint64).view(np.int64), lens)
         n = np.repeat(np.array([len(x[1]) for x in out], np.int32), lens)
         first = np.concatenate([x[2] for x in out]).view(np.int64)
+        pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
         none = [pa.nulls(len(node), t) for t in (pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([none[0], none[0], pa.array(node), pa.array(n), none[0], none[1], pa.array(first)], schema=schema)
+        return pa.RecordBatch.from_arrays([none[0], none[0], pa.array(node), pa.array(n), none[0], none[1], pa.array(first), pa.array(pos)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -141,7 +146,7 @@ def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.nda
                 yield of_shingles(out)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, counts binary, shingle long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, counts binary, shingle long, pos int")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
@@ -205,11 +210,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, le
 
 
 def open_shingles(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """node, n, shingle and label (the node itself where it has none) for first shingles that several groups share."""
+    """node, n, shingle, pos and label (the node itself where it has none) for first shingles that several groups share."""
     w = Window.partitionBy("shingle")
     named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
-    return common.stored(named.where("lo < hi").select("node", "n", "shingle", "label"), "open")
+    return common.stored(named.where("lo < hi").select("node", "n", "shingle", "pos", "label"), "open")
 
 
 def to_largest(named: DataFrame) -> DataFrame:
@@ -221,6 +226,24 @@ def to_largest(named: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
+def sharing(named: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups whose first shingles allow the similarity, from rows of open_shingles()."""
+    # Only rows of named before a shingle in common can be in common too: one that a text alone has first is none of them.
+    named = named.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
+    l, r = (named.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "shingle", "label")], *[F.col(c).cast("long").alias(f"{c}_{x}") for c in ("n", "pos", "before")]) for x in "lr")
+    up, down = least.numerator, least.numerator + least.denominator
+    needed = (F.col("n_l") + F.col("n_r")) * up  # of what two sets share, times down
+    after = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
+    r = r.where((F.col("n_r") - F.col("pos_r")) * down >= F.col("n_r") * 2 * up)
+    larger = (F.col("n_l") > F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("node_l") > F.col("node_r")))
+    fit = (F.col("n_r") * least.denominator >= F.col("n_l") * up) & ((F.least("before_l", "before_r") + after) * down >= needed)
+    pairs = l.join(r, (F.col("shingle_l") == F.col("shingle_r")) & larger & (F.col("label_l") != F.col("label_r")) & fit)
+    pairs = pairs.groupBy("node_l", "node_r").agg(F.count("*").alias("both"), *[F.max(c).alias(c) for c in ("n_l", "n_r", "pos_l", "pos_r")])
+    # Shingles in common before the last one found are found too; no more can come after it than the shorter rest.
+    pairs = pairs.where((F.col("both") - 1 + after) * down >= needed)
+    return pairs.select(F.greatest("node_l", "node_r").alias("a"), F.least("node_l", "node_r").alias("b"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
     """doc_id, whole, component_id and kept for every row of docs.
 
@@ -231,9 +254,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     """
     least = Fraction(similarity).limit_denominator(1000)
     table = common.stored(described(docs, size, least, common_counters(docs.select(F.col("text").cast("string").cast("binary").alias("text")), size)), "described")
-    rows = common.stored(table.where("shingle is null").drop("shingle"), "rows")
+    rows = common.stored(table.where("shingle is null").drop("shingle", "pos"), "rows")
     w = Window.partitionBy("shingle")
-    shared = table.where("shingle is not null").select("node", "n", "shingle").withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
+    shared = table.where("shingle is not null").select("node", "n", "shingle", "pos").withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
     shared = common.stored(shared.where("lo < hi").distinct(), "shared")
     common.drop_stored(table)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
@@ -248,14 +271,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     label = common.stored(components(first), "labels")
     named = open_shingles(between.drop("label"), label)
     common.drop_stored(between)
-    l, r = named.toDF(*[f"{c}_l" for c in named.columns]), named.toDF(*[f"{c}_r" for c in named.columns])
-    fit = F.least("n_l", "n_r") * least.denominator >= F.greatest("n_l", "n_r") * least.numerator
-    pairs = l.join(r, F.col("shingle_l") == F.col("shingle_r")).where((F.col("node_l") > F.col("node_r")) & (F.col("label_l") != F.col("label_r")) & fit)
-    # What two sets share is among the first shingles of both, or among the others of the one whose first end earlier.
-    pairs = pairs.groupBy(F.col("node_l").alias("a"), F.col("node_r").alias("b")).agg(F.count("*").alias("both"), F.first("n_l").alias("n_l"), F.first("n_r").alias("n_r"))
-    others = F.ceil(F.greatest("n_l", "n_r").cast("long") * least.numerator / F.lit(least.denominator)) - 1
-    pairs = pairs.where((F.col("both") + others) * (least.numerator + least.denominator) >= (F.col("n_l") + F.col("n_r")) * least.numerator)
-    pairs = common.stored(pairs.select("a", "b"), "candidates")
+    pairs = common.stored(sharing(named, least), "candidates")
     common.drop_stored(named)
     if pairs.limit(1).count():
         label = common.stored(components(first.unionByName(confirmed(pairs, nodes, docs, size, least))), "labels")
