@@ -89,6 +89,16 @@ def to_original(chosen: DataFrame, scale: Column) -> DataFrame:
     return chosen.withColumns({c: F.col(c) * scale for c in CORNERS})
 
 
+def in_images(chosen: DataFrame, sized: DataFrame, config: Config = Config()) -> DataFrame:
+    """Corners and sizes of chosen outlines in the original images; outlines of shrunk images are told by their width.
+
+    sized: image_id, image_w, image_h of the originals.
+    """
+    both = chosen.join(sized.select("image_id", F.col("image_w").alias("own_w"), F.col("image_h").alias("own_h")), "image_id")
+    scale = F.when(F.col("image_w") < F.col("own_w"), config.detection_max_dim / F.greatest("own_w", "own_h")).otherwise(1.0)
+    return to_original(both, scale).withColumns({"image_w": F.col("own_w"), "image_h": F.col("own_h")}).drop("own_w", "own_h")
+
+
 def final_confidence(score: Column, rectangularity: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (1.0 - F.greatest(F.lit(0.0), 0.3 * (1.0 - rectangularity)))))
 
@@ -120,6 +130,8 @@ def full_frame(images: DataFrame, candidates: DataFrame, config: Config = Config
     )
 
 
-def detect(candidates: DataFrame, config: Config = Config()) -> DataFrame:
-    """Score, validate, choose and finish: one shuffle, by image."""
-    return finish(choose(validate(score(candidates, config), config)))
+def detect(candidates: DataFrame, config: Config = Config(), sized: DataFrame | None = None) -> DataFrame:
+    """Score, validate, choose and finish: one shuffle, by image. With sized, corners are taken to the original images
+    before they are finished."""
+    chosen = choose(validate(score(candidates, config), config))
+    return finish(chosen if sized is None else in_images(chosen, sized, config))

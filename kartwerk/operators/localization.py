@@ -14,13 +14,18 @@ Density = Callable[[list[Column]], Column]
 BOX = ["x1", "y1", "x2", "y2"]
 
 
+def initial(region: list[Column], w: Column, h: Column) -> list[Column]:
+    """The box of a region (shares of the sides) on a card, cut at its edges."""
+    zero, (x1, y1, x2, y2) = F.lit(0).cast("long"), region
+    return [F.greatest(zero, (x1 * w).cast("long")), F.greatest(zero, (y1 * h).cast("long")), F.least(w.cast("long"), (x2 * w).cast("long")), F.least(h.cast("long"), (y2 * h).cast("long"))]
+
+
 def proposals(cards: DataFrame, config: Config = Config()) -> DataFrame:
     """Each card with six rows of initial boxes; cards: card_id, width, height. The regions are a literal array, so no
     join is planned."""
     rows = F.array(*[F.struct(F.lit(i).alias("field_no"), *[F.lit(v).alias(n) for n, v in zip(("field_name", "rx1", "ry1", "rx2", "ry2", "refinement", "expected_ar"), r)]) for i, r in enumerate(config.regions)])
     df = cards.select("*", F.explode(rows).alias("r")).select(*cards.columns, "r.*")
-    w, h = F.col("width"), F.col("height")
-    df = df.withColumns({"x1": F.greatest(F.lit(0).cast("long"), (F.col("rx1") * w).cast("long")), "y1": F.greatest(F.lit(0).cast("long"), (F.col("ry1") * h).cast("long")), "x2": F.least(w.cast("long"), (F.col("rx2") * w).cast("long")), "y2": F.least(h.cast("long"), (F.col("ry2") * h).cast("long"))})
+    df = df.withColumns(dict(zip(BOX, initial([F.col(f"r{c}") for c in BOX], F.col("width"), F.col("height")))))
     return df.drop("rx1", "ry1", "rx2", "ry2").where("x1 < x2 and y1 < y2")
 
 
@@ -55,6 +60,12 @@ def steps(box: list[Column], w: Column, h: Column, config: Config = Config()) ->
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
+def all_steps(w: Column, h: Column, config: Config = Config()) -> Column:
+    """Every box that refine() tries on a card, as an array of different [x1, y1, x2, y2]."""
+    tried = [steps(initial([F.lit(v) for v in r[1:5]], w, h), w, h, config) for r in config.regions]
+    return F.array_distinct(F.transform(F.concat(*tried), lambda s: F.array(*[s[c] for c in BOX])))
+
+
 def refine(boxes: DataFrame, density: Density, config: Config = Config()) -> DataFrame:
     """Adds density (of the initial box), bx1 .. by2 and best_score: the first of the best-scored steps, or the initial
     box if nothing scores above zero. The choice is made inside the row; no window is needed."""
@@ -122,4 +133,4 @@ def localize(cards: DataFrame, density: Density, config: Config = Config()) -> D
     return confidence(refine(proposals(cards, config), density, config), config)
 
 
-__all__ = ["alternatives", "box_score", "card_success", "clipping_score", "confidence", "localize", "proposals", "refine", "steps"]
+__all__ = ["all_steps", "alternatives", "box_score", "card_success", "clipping_score", "confidence", "initial", "localize", "proposals", "refine", "steps"]

@@ -167,8 +167,11 @@ def candidates(gray: np.ndarray, config: Config = Config()) -> list[tuple]:
         mask = _spread(mask, 5, grow)
     names, n = label(mask)
     out = []
+    marked = np.flatnonzero(names)
+    marked = marked[np.argsort(names.ravel()[marked], kind="stable")]
+    upto = np.cumsum(np.bincount(names.ravel()[marked], minlength=n + 1))
     for k in range(1, n + 1):
-        ys, xs = np.nonzero(names == k)
+        ys, xs = np.divmod(marked[upto[k - 1] : upto[k]], names.shape[1])
         y0, y1, x0, x1 = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
         if (y1 - y0) * (x1 - x0) < config.min_contour_area:
             continue
@@ -177,9 +180,9 @@ def candidates(gray: np.ndarray, config: Config = Config()) -> list[tuple]:
         area = float((holes != holes[0, 0]).sum())  # what the outside doesn't reach
         if area < config.min_contour_area:
             continue
-        rows = np.unique(ys)
-        ends = [(int(e), int(y)) for y in rows for e in (xs[ys == y].min(), xs[ys == y].max())]
-        h = hull(np.array(ends))
+        rows, starts = np.unique(ys, return_index=True)
+        ends = np.concatenate([np.column_stack([f.reduceat(xs, starts), rows]) for f in (np.minimum, np.maximum)])
+        h = hull(ends)
         if len(h) < 3:
             continue
         length = float(np.hypot(*(np.roll(h, -1, axis=0) - h).T).sum())

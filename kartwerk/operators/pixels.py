@@ -202,6 +202,16 @@ def density(data: Column, h: Column, w: Column, ch: Column, box: list[Column]) -
     return _udf(lambda a, x1, y1, x2, y2: content_density(crop(to_gray(a), int(x1), int(y1), int(x2), int(y2))), "double", 8)(data, h, w, ch, *box)
 
 
+def densities(data: Column, h: Column, w: Column, ch: Column, boxes: Column) -> Column:
+    """The bright shares of all boxes (arrays of x1, y1, x2, y2) of an image, which is sent and turned grey once."""
+
+    def run(a: np.ndarray, boxes) -> list[float]:
+        g = to_gray(a)
+        return [content_density(crop(g, *(int(v) for v in b))) for b in boxes]
+
+    return _udf(run, "array<double>", 5)(data, h, w, ch, boxes)
+
+
 def field_crop(data: Column, h: Column, w: Column, ch: Column, field: Column, box: list[Column]) -> Column:
     """A field's crop, grey and prepared, as height, width and bytes."""
 

@@ -30,7 +30,7 @@ def process_images(images: DataFrame, candidates: DataFrame, config: Config = Co
     rectified card, and one row with a null field_name for each image that got no further.
     """
     sized = images.select("image_id", F.col("width").cast("long").alias("image_w"), F.col("height").cast("long").alias("image_h"))
-    found = detection.detect(candidates, config)
+    found = detection.detect(candidates, config, sized)
     whole = detection.full_frame(sized, candidates, config).join(sized, "image_id")
     frame = whole.select("image_id", "status", "confidence", "image_w", "image_h", *[F.when(F.col("status") == "full_frame_card_fallback", v).cast("double").alias(n) for n, v in zip(detection.CORNERS, [F.lit(0), F.lit(0), F.col("image_w"), F.lit(0), F.col("image_w"), F.col("image_h"), F.lit(0), F.col("image_h")])])
     cards = found.select("image_id", "status", "confidence", "image_w", "image_h", *detection.CORNERS).unionByName(frame)
@@ -40,15 +40,12 @@ def process_images(images: DataFrame, candidates: DataFrame, config: Config = Co
     cards = rectification.rectify(cards.withColumn("border_quality", F.coalesce("warp.border_quality", F.lit(0.0))), config)
     good = cards.where("rect_status <> 'rectification_failed' and warp is not null")
     canon = good.select(F.col("image_id").alias("card_id"), F.lit(config.width).alias("width"), F.lit(config.height).alias("height"), F.col("channels"), F.col("warp.data").alias("data"), "rect_status", "rect_confidence")
-    boxes = localization.proposals(canon, config)
-    steps = boxes.withColumn("s", F.explode(localization.steps([F.col(c) for c in localization.BOX], F.col("width"), F.col("height"), config)))
-    steps = steps.withColumn("d", pixels.density(F.col("data"), F.col("height"), F.col("width"), F.col("channels"), [F.col(f"s.{c}") for c in localization.BOX]))
-    # The densities of a box's eight steps go back to its row; a card's field is the key.
-    keys = ["card_id", "field_no", "field_name", "refinement", "expected_ar", "width", "height", "rect_status", "rect_confidence", *localization.BOX]
-    scored = steps.select(*keys, "s", "d", localization.box_score(F.col("refinement"), F.col("d"), [F.col(f"s.{c}") for c in localization.BOX]).alias("score"))
-    pick = scored.groupBy(*keys).agg(F.max(F.when(F.col("s.step") == 0, F.col("d"))).alias("density"), F.max(F.struct("score", (-F.col("s.step")).alias("o"), "s")).alias("best"))
-    b = F.col("best.score") > 0
-    refined = pick.select(*keys, "density", *[F.when(b, F.col(f"best.s.{c}")).otherwise(F.col(c)).alias(f"b{c}") for c in localization.BOX])
-    fields = localization.confidence(refined, config)
+    # A card's pixels are read once for all boxes that may be tried; what follows is a projection without pixels.
+    boxes = localization.all_steps(F.col("width"), F.col("height"), config)
+    name = lambda box: F.concat_ws(",", *[c.cast("string") for c in box])
+    canon = canon.withColumn("boxes", boxes).withColumn("shares", pixels.densities(F.col("data"), F.col("height"), F.col("width"), F.col("channels"), F.col("boxes")))
+    named = F.map_from_arrays(F.transform("boxes", lambda b: name([b[i] for i in range(4)])), F.col("shares"))
+    bare = canon.select("card_id", "width", "height", "rect_status", "rect_confidence", named.alias("shares"))
+    fields = localization.localize(bare, lambda box: F.element_at("shares", name(box)), config).drop("shares")
     lost = cards.where("rect_status = 'rectification_failed' or warp is null").select(F.col("image_id").alias("card_id"), F.lit(None).cast("string").alias("field_name"), "rect_status", "rect_failure")
     return fields.unionByName(lost, allowMissingColumns=True)
