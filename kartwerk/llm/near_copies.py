@@ -13,7 +13,9 @@ themselves and none is lost:
 3. The third round takes all texts of different groups that share a first shingle. Of the smaller text (of the smaller name
    among equals) fewer of them do: n - ceil(2 similarity n / (1 + similarity)) + 1. Places in the order tell how many
    shingles two texts can share at most, before and after one in common (positional filter); pairs that stay below the
-   similarity go. Near copies of one text that differ too much from each other share only its common shingles, which come
+   similarity go. So do pairs whose parities differ too often: a set's parities say for 256 parts of the hashes whether it
+   has an odd number of shingles there, and two sets differ by one shingle at least for each part that tells them apart
+   (bitmap filter). Near copies of one text that differ too much from each other share only its common shingles, which come
    after their own, so that such a family isn't compared pair by pair.
 4. Candidates of all rounds are compared exactly. Before their texts are fetched, those go whose counts of shingles by
    bucket of the hash already keep them below the similarity; what two sets share is at most the sum of the smaller
@@ -46,6 +48,8 @@ COMMON = 8
 TRIED = 4
 #: Buckets of a set's counts, by the top bits of its mixed hashes, and the shift that leaves those bits.
 BUCKETS, TOP = 128, np.uint64(57)
+#: Words of 64 parities, and the shift that leaves the bits which number them.
+PARITIES, PARITY_TOP = 4, np.uint64(56)
 #: Odd factor that carries all bits of a hash to the top.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that a comparing task remembers of the texts it has seen last.
@@ -66,6 +70,12 @@ def bucket_counts(s: np.ndarray) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For 256 parts of the hashes whether a set has an odd number of shingles in it, as four numbers of 64 bits."""
+    odd = np.bincount(((s * MIX) >> PARITY_TOP).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def common_counters(texts: DataFrame, size: int) -> np.ndarray:
     """For each counter of the sketch whether the shingles that it counts are common."""
     schema = "part int, chunk int, counts binary"
@@ -100,17 +110,18 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.ndarray) -> DataFrame:
-    """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp and counts.
+    """Two kinds of rows. By document: doc_id, whole (hash of all its columns), node, n (different shingles), fp, counts and
+    parities.
     By node, once a task: node, n, shingle and pos for each of its first shingles, those of common counters last in the
     order; pos is the place from zero.
     """
     bits = np.packbits(late_counters).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("counts", pa.binary()), ("shingle", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("counts", pa.binary()), ("parities", pa.list_(pa.int64())), ("shingle", pa.int64()), ("pos", pa.int32())])
 
     def of_documents(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
         node = np.array([x[0] for x in sets], np.uint64).view(np.int64)
         fps = np.array([majority(x[1]) for x in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), pa.array([bucket_counts(x[1]) for x in sets], pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int32())], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x[1]) for x in sets], pa.int32()), pa.array(fps), pa.array([bucket_counts(x[1]) for x in sets], pa.binary()), pa.array([parities(x[1]) for x in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int32())], schema=schema)
 
     def of_shingles(out: list) -> pa.RecordBatch:
         lens = [len(x[2]) for x in out]
@@ -118,8 +129,8 @@ def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.nda
         n = np.repeat(np.array([len(x[1]) for x in out], np.int32), lens)
         first = np.concatenate([x[2] for x in out]).view(np.int64)
         pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
-        none = [pa.nulls(len(node), t) for t in (pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([none[0], none[0], pa.array(node), pa.array(n), none[0], none[1], pa.array(first), pa.array(pos)], schema=schema)
+        none = [pa.nulls(len(node), t) for t in (pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([none[0], none[0], pa.array(node), pa.array(n), none[0], none[1], none[2], pa.array(first), pa.array(pos)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -146,7 +157,7 @@ def described(docs: DataFrame, size: int, least: Fraction, late_counters: np.nda
                 yield of_shingles(out)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, counts binary, shingle long, pos int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, whole long, node long, n int, fp long, counts binary, parities array<long>, shingle long, pos int")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
@@ -226,17 +237,20 @@ def to_largest(named: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
-def sharing(named: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups whose first shingles allow the similarity, from rows of open_shingles()."""
+def sharing(named: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups whose first shingles and parities allow the similarity, from rows of
+    open_shingles()."""
     # Only rows of named before a shingle in common can be in common too: one that a text alone has first is none of them.
     named = named.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
-    l, r = (named.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "shingle", "label")], *[F.col(c).cast("long").alias(f"{c}_{x}") for c in ("n", "pos", "before")]) for x in "lr")
+    named = named.join(nodes.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]), "node")
+    l, r = (named.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "shingle", "label", *[f"p{i}" for i in range(PARITIES)])], *[F.col(c).cast("long").alias(f"{c}_{x}") for c in ("n", "pos", "before")]) for x in "lr")
     up, down = least.numerator, least.numerator + least.denominator
     needed = (F.col("n_l") + F.col("n_r")) * up  # of what two sets share, times down
     after = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
     r = r.where((F.col("n_r") - F.col("pos_r")) * down >= F.col("n_r") * 2 * up)
+    apart = sum((F.bit_count(F.col(f"p{i}_l").bitwiseXOR(F.col(f"p{i}_r"))) for i in range(1, PARITIES)), F.bit_count(F.col("p0_l").bitwiseXOR(F.col("p0_r"))))
     larger = (F.col("n_l") > F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("node_l") > F.col("node_r")))
-    fit = (F.col("n_r") * least.denominator >= F.col("n_l") * up) & ((F.least("before_l", "before_r") + after) * down >= needed)
+    fit = (F.col("n_r") * least.denominator >= F.col("n_l") * up) & ((F.least("before_l", "before_r") + after) * down >= needed) & (apart * down <= (F.col("n_l") + F.col("n_r")) * (down - 2 * up))
     pairs = l.join(r, (F.col("shingle_l") == F.col("shingle_r")) & larger & (F.col("label_l") != F.col("label_r")) & fit)
     pairs = pairs.groupBy("node_l", "node_r").agg(F.count("*").alias("both"), *[F.max(c).alias(c) for c in ("n_l", "n_r", "pos_l", "pos_r")])
     # Shingles in common before the last one found are found too; no more can come after it than the shorter rest.
@@ -260,7 +274,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     shared = common.stored(shared.where("lo < hi").distinct(), "shared")
     common.drop_stored(table)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
-    nodes = common.stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "counts")], F.min(own).alias("own")), "nodes")
+    nodes = common.stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "counts", "parities")], F.min(own).alias("own")), "nodes")
     stars = [shared.select("node", F.col(x).alias("other")).where("node <> other") for x in ("lo", "hi")]
     stars = stars[0].unionByName(stars[1]).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     near = links(nodes.select("node", "fp"), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -271,7 +285,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     label = common.stored(components(first), "labels")
     named = open_shingles(between.drop("label"), label)
     common.drop_stored(between)
-    pairs = common.stored(sharing(named, least), "candidates")
+    pairs = common.stored(sharing(named, nodes, least), "candidates")
     common.drop_stored(named)
     if pairs.limit(1).count():
         label = common.stored(components(first.unionByName(confirmed(pairs, nodes, docs, size, least))), "labels")
