@@ -12,8 +12,8 @@ themselves and none is lost:
    without looking at all their pairs.
 3. The third round takes all texts of different groups that share a first shingle. Of the smaller text (of the smaller name
    among equals) fewer of them do: n - ceil(2 similarity n / (1 + similarity)) + 1. Places in the order tell how many
-   shingles two texts can share at most, before and after one in common (positional filter); pairs that stay below the
-   similarity go. So do pairs whose parities differ too often: a set's parities say for 256 parts of the hashes whether it
+   shingles two texts can share at most from their first one in common on (positional filter); pairs that stay below the
+   similarity go, and a pair is made at its first shingle in common, not at those that follow on equal ones. So do pairs whose parities differ too often: a set's parities say for 256 parts of the hashes whether it
    has an odd number of shingles there, and two sets differ by one shingle at least for each part that tells them apart
    (bitmap filter). Near copies of one text that differ too much from each other share only its common shingles, which come
    after their own, so that such a family isn't compared pair by pair.
@@ -240,22 +240,21 @@ def to_largest(named: DataFrame) -> DataFrame:
 def sharing(named: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
     """Pairs (a, b) of nodes of different groups whose first shingles and parities allow the similarity, from rows of
     open_shingles()."""
-    # Only rows of named before a shingle in common can be in common too: one that a text alone has first is none of them.
-    named = named.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
+    # A pair is needed once, at the first shingle in common: rows that have the same one before them come later, and no
+    # more than the shorter rest is shared from the first one on.
+    named = named.withColumn("prev", F.lag("shingle").over(Window.partitionBy("node").orderBy("pos")))
     named = named.join(nodes.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]), "node")
-    l, r = (named.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "shingle", "label", *[f"p{i}" for i in range(PARITIES)])], *[F.col(c).cast("long").alias(f"{c}_{x}") for c in ("n", "pos", "before")]) for x in "lr")
+    l, r = (named.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "shingle", "label", "prev", *[f"p{i}" for i in range(PARITIES)])], *[F.col(c).cast("long").alias(f"{c}_{x}") for c in ("n", "pos")]) for x in "lr")
     up, down = least.numerator, least.numerator + least.denominator
     needed = (F.col("n_l") + F.col("n_r")) * up  # of what two sets share, times down
     after = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
     r = r.where((F.col("n_r") - F.col("pos_r")) * down >= F.col("n_r") * 2 * up)
     apart = sum((F.bit_count(F.col(f"p{i}_l").bitwiseXOR(F.col(f"p{i}_r"))) for i in range(1, PARITIES)), F.bit_count(F.col("p0_l").bitwiseXOR(F.col("p0_r"))))
     larger = (F.col("n_l") > F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("node_l") > F.col("node_r")))
-    fit = (F.col("n_r") * least.denominator >= F.col("n_l") * up) & ((F.least("before_l", "before_r") + after) * down >= needed) & (apart * down <= (F.col("n_l") + F.col("n_r")) * (down - 2 * up))
-    pairs = l.join(r, (F.col("shingle_l") == F.col("shingle_r")) & larger & (F.col("label_l") != F.col("label_r")) & fit)
-    pairs = pairs.groupBy("node_l", "node_r").agg(F.count("*").alias("both"), *[F.max(c).alias(c) for c in ("n_l", "n_r", "pos_l", "pos_r")])
-    # Shingles in common before the last one found are found too; no more can come after it than the shorter rest.
-    pairs = pairs.where((F.col("both") - 1 + after) * down >= needed)
-    return pairs.select(F.greatest("node_l", "node_r").alias("a"), F.least("node_l", "node_r").alias("b"))
+    fit = (F.col("n_r") * least.denominator >= F.col("n_l") * up) & (after * down >= needed) & (apart * down <= (F.col("n_l") + F.col("n_r")) * (down - 2 * up))
+    later = F.coalesce(F.col("prev_l") == F.col("prev_r"), F.lit(False))
+    pairs = l.join(r, (F.col("shingle_l") == F.col("shingle_r")) & larger & (F.col("label_l") != F.col("label_r")) & fit & ~later)
+    return pairs.select(F.greatest("node_l", "node_r").alias("a"), F.least("node_l", "node_r").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
