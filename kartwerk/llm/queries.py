@@ -85,6 +85,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows, anchor=F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_katz": op1_katz,
@@ -98,6 +104,7 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_importance": op12_importance,
     }
 
 
