@@ -92,7 +92,7 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        if name not in _INLINE:
+        if name not in _INLINE and name not in _HIDDEN:
             flush()
         if closing:
             end({name}, set())
@@ -116,28 +116,49 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _hashed(s: str, size: int) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % size
+class Hashed(dict):
+    """Numbers of strings below size; forgets all when it has held many."""
 
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
 
-def features(found: list[Block], known: dict | None = None) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Hashed path features and words of each block, and its figures. known: what has been hashed before."""
-    known = {} if known is None else known
+    def __missing__(self, key: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[key] = n = zlib.crc32(key.encode("utf-8", "surrogatepass")) % self.size
+        return n
 
-    def of(key: str, size: int) -> int:
-        k = (key, size)
-        if k not in known:
-            known[k] = _hashed(key, size)
-        return known[k]
 
-    paths, words, figures = [], [], np.zeros((len(found), FIGURES))
-    for i, b in enumerate(found):
-        names = [f"<{t}" for t, _ in b.path if t not in ("html", "body")] + [f".{w}" for _, ws in b.path for w in ws]
-        own = b.path[-1] if b.path else ("", [])
-        names += [f"own<{own[0]}"] + [f"own.{w}" for w in own[1]]
-        paths.append([of(x, PATHS) for x in dict.fromkeys(names)])
+class Known:
+    """What has been hashed before: words, parts of paths, whole paths."""
+
+    def __init__(self):
+        self.words, self.parts, self.paths = Hashed(WORDS), Hashed(PATHS), {}
+
+    def path(self, path: list[tuple[str, list[str]]]) -> list[int]:
+        """Hashed tags and names above a block, those of its own element once more."""
+        key = str(path)
+        if key not in self.paths:
+            if len(self.paths) > 100_000:
+                self.paths.clear()
+            own = path[-1] if path else ("", [])
+            names = [f"<{t}" for t, _ in path if t not in ("html", "body")] + [f".{w}" for _, ws in path for w in ws]
+            names += [f"own<{own[0]}"] + [f"own.{w}" for w in own[1]]
+            self.paths[key] = [self.parts[x] for x in dict.fromkeys(names)]
+        return self.paths[key]
+
+
+def features(found: list[Block], known: Known) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    """Hashed path features and words of each block, and its figures. A block has each word once, so that no run of one
+    word says much."""
+    number, paths, words, figures = known.words.__getitem__, [], [], []
+    for b in found:
+        paths.append(known.path(b.path))
         ws = b.text.lower().split()
-        words.append([of(w, WORDS) for w in ws])
-        size = len(b.text)
-        figures[i] = [np.log1p(size) / 5, np.log1p(len(ws)) / 4, b.linked / size, sum(b.text.count(c) for c in ".!?") / (1 + len(ws)), b.text[-1] in ".!?:;\"'”»", len(ws) < 4, size > 200, i / max(1, len(found)), min(len(b.path), 12) / 12, 1.0]
-    return paths, words, figures
+        words.append(list(map(number, set(ws))))
+        t, size = b.text, len(b.text)
+        figures.append((size, len(ws), b.linked, t.count(".") + t.count("!") + t.count("?"), t[-1] in ".!?:;\"'”»", len(b.path)))
+    size, n, linked, marks, ends, deep = np.array(figures, float).reshape(-1, 6).T
+    place = np.arange(len(found)) / max(1, len(found))
+    return paths, words, np.stack([np.log1p(size) / 5, np.log1p(n) / 4, linked / np.maximum(1, size), marks / (1 + n), ends, n < 4, size > 200, place, np.minimum(deep, 12) / 12, np.ones(len(found))], axis=1)

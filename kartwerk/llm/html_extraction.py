@@ -1,6 +1,6 @@
 """Main text of web pages: a bidirectional LSTM labels every block of a page in the light of all its other blocks.
 
-A page becomes a sequence of leaf blocks. A block's vector is the sum of its tag path's hashed vectors, the mean of its
+A page becomes a sequence of leaf blocks. A block's vector is the sum of its tag path's hashed vectors, the shrunk mean of its different
 words' hashed vectors and some figures (length, share of links, punctuation, place). Two LSTMs read the sequence from
 either end, and a logistic unit decides for each block whether it belongs to the article. Network and training are NumPy.
 
@@ -11,34 +11,40 @@ generated layouts with other tags and names. Pages are then labelled where they
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import FIGURES, PATHS, WORDS, Block, blocks, features
+from .html_blocks import FIGURES, PATHS, WORDS, Block, Known, blocks, features
 from .page_layouts import Layouts
 
 #: Pages that the model is fitted on at most, the characters of one at most, and generated pages.
 SAMPLE, SAMPLE_CHARS, LAYOUTS = 400, 20_000, 1_200
+#: Generated pages with up to LONG paragraphs, so that states learn to stay as they are.
+LONG_PAGES, LONG = 24, 200
 #: Lengths of path and word vectors and of a state; passes over the training pages.
-PATH, WORD, STATE, EPOCHS = 16, 8, 24, 10
+PATH, WORD, STATE, EPOCHS = 16, 8, 24, 12
+#: Words that a block is taken to have besides its own, so that a few words say little.
+SHRINK = 12
 #: Blocks that are labelled at once, padding included; a page with more is labelled alone.
 AT_ONCE = 20_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 class Sequence:
     """A page's hashed features."""
 
-    def __init__(self, found: list[Block], known: dict | None = None):
+    def __init__(self, found: list[Block], known: Known):
         paths, words, self.figures = features(found, known)
-        self.path_ids, self.path_lens = np.array([x for p in paths for x in p], np.int64), np.array([len(p) for p in paths], np.int64)
-        self.word_ids, self.word_lens = np.array([x for w in words for x in w], np.int64), np.array([len(w) for w in words], np.int64)
+        self.path_ids, self.path_lens = np.array(list(chain.from_iterable(paths)), np.int64), np.array(list(map(len, paths)), np.int64)
+        self.word_ids, self.word_lens = np.array(list(chain.from_iterable(words)), np.int64), np.array(list(map(len, words)), np.int64)
 
     def __len__(self) -> int:
         return len(self.figures)
@@ -52,7 +58,7 @@ class Sequence:
 
 def _sums(table: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Sum of table rows for each run of ids."""
-    out = np.zeros((len(lens), table.shape[1]))
+    out = np.zeros((len(lens), table.shape[1]), table.dtype)
     full = np.nonzero(lens)[0]
     if len(full):
         out[full] = np.add.reduceat(table[ids], (np.cumsum(lens) - lens)[full], axis=0)
@@ -74,10 +80,11 @@ class Labeller:
     def _inputs(self, pages: list[Sequence]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors (page, place, component) and a mask."""
         most = max(map(len, pages))
-        x, mask = np.zeros((len(pages), most, PATH + WORD + FIGURES)), np.zeros((len(pages), most))
+        kind = self.w["bias"].dtype
+        x, mask = np.zeros((len(pages), most, PATH + WORD + FIGURES), kind), np.zeros((len(pages), most), kind)
         for i, p in enumerate(pages):
             n = len(p)
-            mean = _sums(self.w["word"], p.word_ids, p.word_lens) / np.maximum(1, p.word_lens)[:, None]
+            mean = _sums(self.w["word"], p.word_ids, p.word_lens) / (p.word_lens + SHRINK)[:, None]
             x[i, :n] = np.concatenate([_sums(self.w["path"], p.path_ids, p.path_lens), mean, p.figures], axis=1)
             mask[i, :n] = 1.0
         return x, mask
@@ -86,8 +93,8 @@ class Labeller:
         """States of one direction at every place; keep: also what the backward pass needs."""
         n, t, _ = x.shape
         gates_x = x @ self.w["x" + way] + self.w["c" + way]
-        u, h, c = self.w["h" + way], np.zeros((n, STATE)), np.zeros((n, STATE))
-        states, kept = np.zeros((n, t, STATE)), []
+        u, h, c = self.w["h" + way], np.zeros((n, STATE), x.dtype), np.zeros((n, STATE), x.dtype)
+        states, kept = np.zeros((n, t, STATE), x.dtype), []
         for at in range(t) if way == "f" else range(t - 1, -1, -1):
             g = gates_x[:, at] + h @ u
             ifo, z = _sigmoid(g[:, : 3 * STATE]), np.tanh(g[:, 3 * STATE :])
@@ -125,6 +132,12 @@ class Labeller:
         p = _sigmoid(both @ self.w["out"] + self.w["bias"])
         return [p[i, : len(s)] for i, s in enumerate(pages)]
 
+    def light(self) -> Labeller:
+        """The same network in single precision, for labelling."""
+        other = object.__new__(Labeller)
+        other.w = {n: x.astype(np.float32) for n, x in self.w.items()}
+        return other
+
     def gradients(self, pages: list[Sequence], labels: list[list[bool]]) -> tuple[float, dict]:
         """Mean loss of all blocks, and its gradient by every weight."""
         x, mask = self._inputs(pages)
@@ -144,13 +157,13 @@ class Labeller:
         grads["path"], grads["word"] = np.zeros_like(self.w["path"]), np.zeros_like(self.w["word"])
         for i, s in enumerate(pages):
             np.add.at(grads["path"], s.path_ids, np.repeat(dx[i, : len(s), :PATH], s.path_lens, axis=0))
-            np.add.at(grads["word"], s.word_ids, np.repeat(dx[i, : len(s), PATH : PATH + WORD] / np.maximum(1, s.word_lens)[:, None], s.word_lens, axis=0))
+            np.add.at(grads["word"], s.word_ids, np.repeat(dx[i, : len(s), PATH : PATH + WORD] / (s.word_lens + SHRINK)[:, None], s.word_lens, axis=0))
         return loss, grads
 
     def fit(self, pages: list[tuple[list[Block], list[bool]]], seed: int = 7, batch: int = 24, rate: float = 0.01) -> Labeller:
-        """Adam over shuffled batches of pages of like length. Half of the pages are read without their words each time, so
+        """Adam over shuffled batches of pages of like length. Most pages are read without their words each time, so
         that tags and neighbours must do."""
-        known: dict = {}
+        known = Known()
         made = [(Sequence(found, known), y) for found, y in pages]
         bare = [s.wordless() for s, _ in made]
         rng, m, v, k = np.random.default_rng(seed), {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}, 0
@@ -158,7 +171,7 @@ class Labeller:
             near = np.argsort([len(s) + rng.random() * 8 for s, _ in made], kind="stable")
             groups = [near[i : i + batch] for i in range(0, len(near), batch)]
             for g in rng.permutation(len(groups)):
-                _, grads = self.gradients([bare[i] if rng.random() < 0.5 else made[i][0] for i in groups[g]], [made[i][1] for i in groups[g]])
+                _, grads = self.gradients([bare[i] if rng.random() < 0.75 else made[i][0] for i in groups[g]], [made[i][1] for i in groups[g]])
                 norm = np.sqrt(sum(float((x * x).sum()) for x in grads.values()))
                 k += 1
                 step = rate * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
@@ -175,12 +188,17 @@ def learn(pages: DataFrame, seed: int = 7) -> Labeller:
     short = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
     sample = short.orderBy(F.xxhash64("html"), "html").limit(SAMPLE).collect()
     layouts = Layouts([r.html for r in sample], seed)
-    return Labeller(seed).fit(layouts.own() + [layouts.page() for _ in range(LAYOUTS)], seed)
+    return Labeller(seed).fit(training(layouts), seed)
+
 
+def training(layouts: Layouts) -> list[tuple[list[Block], list[bool]]]:
+    """The pages that a labeller is fitted on."""
+    return layouts.own() + [layouts.page() for _ in range(LAYOUTS)] + [layouts.page(LONG) for _ in range(LONG_PAGES)]
 
-def labelled(pages: list[str], model: Labeller) -> list[list[str]]:
+
+def labelled(pages: list[str], model: Labeller, known: Known | None = None) -> list[list[str]]:
     """The texts of the article's blocks of each page, in page order."""
-    known: dict = {}
+    known = known or Known()
     found = [blocks(p) for p in pages]
     rows = [Sequence(f, known) for f in found]
     out: list[list[str]] = [[] for _ in pages]
@@ -201,11 +219,14 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     Unclosed, stray and unknown tags are allowed; pages are read whole, one with very many blocks alone. Other columns
     are ignored. An empty table gives an empty one."""
 
+    model = model.light()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = ["\n\n".join(x) for x in labelled([h or "" for h in part.column(2).to_pylist()], model)]
+                texts = ["\n\n".join(x) for x in labelled([h or "" for h in part.column(2).to_pylist()], model, known)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

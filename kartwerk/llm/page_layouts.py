@@ -91,14 +91,14 @@ class Layouts:
                 out.append(s if rng.random() < 0.4 else f"<p>{s}</p>")
         return a + "".join(out) + b
 
-    def _article(self, kind: str) -> str:
+    def _article(self, kind: str, most: int) -> str:
         rng, out = self.rng, []
         a, b = _open(kind, rng)
         inner, end = _open(self._pick(_WRAP), rng) if rng.random() < 0.2 else ("", "")
         if rng.random() < 0.85:
             out.append(f"<h{1 if rng.random() < 0.8 else 2}>{_MARK}{self._escaped(self._sentence())}</h1>")
         open_end = rng.random() < 0.25
-        for _ in range(rng.integers(1, 14)):
+        for _ in range(rng.integers(1, most)):
             s, r = self._escaped(self._pick(self.texts) if rng.random() < 0.8 else self._sentence()), rng.random()
             if rng.random() < 0.15:
                 s = f'{s} <a href="/x">{self._escaped(self._sentence())}</a>'
@@ -114,7 +114,7 @@ class Layouts:
                 out.append("<table>" + "".join(f"<tr><td>{_MARK}{self._escaped(self._sentence())[:30]}</td></tr>" for _ in range(2)) + "</table>")
             else:
                 out.append(f"<pre>{_MARK}{s}</pre>")
-            if rng.random() < 0.05:
+            if rng.random() < 0.5 / most:
                 role = self._pick(["ad", "side", "notice", "menu"])
                 out.append(self._boilerplate(role, self._pick(_OTHER[role])))
         if rng.random() < 0.15:
@@ -122,8 +122,8 @@ class Layouts:
             out.append(self._boilerplate(role, self._pick(_OTHER[role])))
         return a + inner + "".join(out) + end + b
 
-    def page(self) -> tuple[list[Block], list[bool]]:
-        """One generated page: its blocks, and which belong to the article."""
+    def page(self, most: int = 14) -> tuple[list[Block], list[bool]]:
+        """One generated page with fewer than most paragraphs: its blocks, and which belong to the article."""
         rng = self.rng
         plain = rng.random() < 0.08  # nothing but position and text tells the parts
         main = "div:-" if plain else self._pick(_MAIN)
@@ -133,7 +133,7 @@ class Layouts:
                 parts.append(self._boilerplate(role, "div:-" if plain else self._pick(_OTHER[role])))
         order = rng.permutation(len(parts)) if rng.random() < 0.4 else np.arange(len(parts))
         parts = [parts[i] for i in order]
-        parts.append(self._article(main))
+        parts.append(self._article(main, most))
         for role, p in (("ad", 0.3), ("comments", 0.55), ("side", 0.4), ("menu", 0.15), ("notice", 0.25), ("form", 0.25), ("footer", 0.75)):
             if rng.random() < p:
                 parts.append(self._boilerplate(role, "div:-" if plain else self._pick(_OTHER[role])))

@@ -91,6 +91,13 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract, learn
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages, learn(pages))
+
+
 def queries() -> dict:
     return {
         "op1_katz": op1_katz,
@@ -105,6 +112,7 @@ def queries() -> dict:
         "op10_quality_rules": op10_quality_rules,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_importance": op12_importance,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
