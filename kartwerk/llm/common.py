@@ -73,8 +73,22 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return back
 
 
+def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like stored(), dealt out by key and written in buckets: tables of as many buckets join by key without a shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"kartwerk_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    free_shuffles(spark)
+    back = spark.table(table)
+    back.kartwerk_path, back.kartwerk_table = path, table
+    return back
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a table made by stored()."""
+    """Remove the files of a table made by stored() or stored_by()."""
+    if hasattr(df, "kartwerk_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.kartwerk_table}")
     delete_path(df.sparkSession, df.kartwerk_path)
 
 

@@ -17,7 +17,6 @@ positions in a range-partitioned sort, so no task sees all documents.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,20 +25,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bytes of text that a block gathers (one document more at most).
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Shares of the features that are counted one after the other.
 ROUNDS = 3
-#: Partitions of a round for each block: a partition gets about as many strings as two thirds of a block has in a round.
-SPREAD = 0.5
+#: Partitions of a round for each block: a partition gets about as many strings as one block has in a round.
+SPREAD = 0.3
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+# Digits, letters in lower case and all bytes of other characters stay; what isn't part of a word becomes a space.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLOCKS = "block long, docs array<long>, lens binary, seq binary, names binary"
 _STRINGS = "part int, block long, strings binary, counts binary"
 
@@ -54,7 +53,12 @@ def _unzip(b: bytes) -> bytes:
 
 def words(text: str) -> list[bytes]:
     """Words of a text as UTF-8, A-Z in lower case."""
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def _joined(strings: pa.Array) -> bytes:
+    """Strings by line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), b"\n")[0].as_py()
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -62,26 +66,25 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        names: dict[bytes, int] = {}
         docs, lens, parts, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            columns = [[number], [docs], [common.packed(np.array(lens))], [common.packed(seq)], [_zip(b"\n".join(names))]]
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            columns = [[number], [docs], [common.packed(np.array(lens))], [common.packed(coded.indices.to_numpy())], [_zip(_joined(coded.dictionary))]]
             types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "docs", "lens", "seq", "names"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = words(text.as_py() or "")
-                parts.append(np.array([names.setdefault(w, len(names)) for w in found], np.uint32))
+                found = pa.array(words(text.as_py() or ""), pa.binary())
+                parts.append(found)
                 docs.append(doc_id)
                 lens.append(len(found))
-                size += sum(map(len, found)) + len(found)
+                size += found.nbytes
                 if size >= BLOCK_BYTES:
                     yield block()
                     number += 1
-                    names, docs, lens, parts, size = {}, [], [], [], 0
+                    docs, lens, parts, size = [], [], [], 0
         if docs:
             yield block()
 
@@ -174,7 +177,7 @@ def _runs(part: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _dictionary(strings: DataFrame, buckets: int) -> DataFrame:
-    """Of each partition: the buckets of every packet's strings, and (block null) the counts by bucket."""
+    """Of each partition: the buckets of every packet's strings, and in a row of a negative block the counts by bucket."""
 
     def count(packets: pa.Table) -> pa.Table:
         part, blocks = packets.column("part")[0].as_py(), packets.column("block").to_pylist()
@@ -183,14 +186,14 @@ def _dictionary(strings: DataFrame, buckets: int) -> DataFrame:
         counts = np.concatenate([common.unpacked(b.as_py()) for b in packets.column("counts")])
         place = coded.indices.to_numpy()
         total = np.bincount(place, counts, len(coded.dictionary))  # whole numbers below 2^53
-        bucket = np.fromiter((zlib.crc32(s) % buckets for s in coded.dictionary.to_pylist()), np.int64, len(total))
+        bucket = np.fromiter(map(zlib.crc32, _joined(coded.dictionary).split(b"\n")), np.int64, len(total)) % buckets
         by = np.bincount(bucket, total, buckets).astype(np.int64)
         ends = np.cumsum(lists.value_lengths().to_numpy())
         back = [common.packed(bucket[place[a:b]]) for a, b in zip([0, *ends], ends)]
         used = np.nonzero(by)[0]
         n = len(blocks)
         return pa.table({
-            "part": pa.array([part] * (n + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "answers": pa.array([*back, None], pa.binary()),
+            "part": pa.array([part] * (n + 1), pa.int32()), "block": pa.array([*blocks, -1 - part], pa.int64()), "answers": pa.array([*back, None], pa.binary()),
             "bucket": pa.array([None] * n + [used.tolist()], pa.list_(pa.int64())), "n": pa.array([None] * n + [by[used].tolist()], pa.list_(pa.int64())),
         })
 
@@ -198,46 +201,50 @@ def _dictionary(strings: DataFrame, buckets: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """Stored blocks, the stored dictionary of each round, and the number of partitions."""
-    blocks = common.stored(_blocks(rows), "blocks")
-    parts = ROUNDS * max(common.partitions(rows.sparkSession), int(blocks.count() * SPREAD))
-    return blocks, [common.stored(_dictionary(_strings(blocks, parts, t), buckets), "dictionary") for t in range(ROUNDS)], parts
+    """Stored blocks, the stored dictionary of each round, and the number of partitions. Blocks and what goes back to them
+    lie in buckets by block, so they join where they are."""
+    cut = common.partitions(rows.sparkSession)
+    blocks = common.stored_by(_blocks(rows), "blocks", "block", cut)
+    parts = ROUNDS * max(cut, int(blocks.count() * SPREAD))
+    return blocks, [common.stored_by(_dictionary(_strings(blocks, parts, t), buckets), "dictionary", "block", cut) for t in range(ROUNDS)], parts
 
 
 def _by_bucket(dictionary: list[DataFrame], name: str) -> DataFrame:
     """bucket and its number of occurrences; at most as many rows as there are buckets."""
     out = None
     for d in dictionary:
-        sums = d.where("block is null").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).select("x.*")
+        sums = d.where("block < 0").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).select("x.*")
         out = sums if out is None else out.unionByName(sums)
     return out.groupBy("bucket").agg(F.sum("n").alias(name))
 
 
 def _weights(blocks: DataFrame, dictionary: list[DataFrame], parts: int, gains: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features, weight of each document."""
+    rounds = [f"a{i}" for i in range(len(dictionary))]
 
-    def weigh(own: pa.Table, answers: pa.Table) -> pa.Table:
-        f = _Features(*(own.column(c)[0].as_py() for c in ("lens", "seq", "names")))
-        known = {p: common.unpacked(b) for p, b in zip(answers.column("p").to_pylist(), answers.column("answers").to_pylist())}
-        begun = dict.fromkeys(known, 0)
-        weight, features = np.zeros(len(f.lens), np.int64), np.zeros(len(f.lens), np.int64)
-        for k in (1, 2, 3):
-            _, _, part, distinct, code, doc = f.distinct(k, parts)
-            bucket, order = np.zeros(len(part), np.int64), np.argsort(part, kind="stable")
-            for a, b in _runs(part[order]):
-                p = int(part[order[a]])
-                bucket[order[a:b]] = known[p][begun[p] : begun[p] + b - a]
-                begun[p] += b - a
-            weight += np.bincount(doc, gains[bucket][np.searchsorted(distinct, code)], len(f.lens)).astype(np.int64)
-            features += np.bincount(doc, minlength=len(f.lens))
-        return pa.table({"doc_id": pa.array(own.column("docs")[0].as_py(), pa.int64()), "n_words": pa.array(f.lens), "n_features": pa.array(features), "weight": pa.array(weight)})
-
-    packets = None
-    for d in dictionary:
-        part = d.where("block is not null").select(F.col("block").alias("b"), F.col("part").alias("p"), "answers")
-        packets = part if packets is None else packets.unionByName(part)
-    schema = "doc_id long, n_words long, n_features long, weight long"
-    return blocks.groupBy("block").cogroup(packets.groupBy("b")).applyInArrow(weigh, schema)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                f = _Features(*(batch.column(c)[i].as_py() for c in ("lens", "seq", "names")))
+                known = {a["part"]: common.unpacked(a["answers"]) for r in rounds for a in batch.column(r)[i].as_py() or []}
+                begun = dict.fromkeys(known, 0)
+                weight, features = np.zeros(len(f.lens), np.int64), np.zeros(len(f.lens), np.int64)
+                for k in (1, 2, 3):
+                    _, _, part, distinct, code, doc = f.distinct(k, parts)
+                    bucket, order = np.zeros(len(part), np.int64), np.argsort(part, kind="stable")
+                    for a, b in _runs(part[order]):
+                        p = int(part[order[a]])
+                        bucket[order[a:b]] = known[p][begun[p] : begun[p] + b - a]
+                        begun[p] += b - a
+                    weight += np.bincount(doc, gains[bucket][np.searchsorted(distinct, code)], len(f.lens)).astype(np.int64)
+                    features += np.bincount(doc, minlength=len(f.lens))
+                yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(f.lens), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+
+    both = blocks
+    for name, d in zip(rounds, dictionary):
+        answers = d.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "answers")).alias(name))  # of one block
+        both = both.join(answers.hint("merge"), "block", "left")
+    return both.mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = 42) -> Column:
