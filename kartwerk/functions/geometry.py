@@ -89,6 +89,36 @@ def convexity(contour_area: Column, hull_area: Column) -> Column:
     return F.when(hull_area > 0, contour_area / hull_area).otherwise(0.0)
 
 
+def polygon_area(points: Column) -> Column:
+    """Area of a polygon given as an array of points (x, y) in order."""
+    n = F.size(points)
+    turns = F.transform(points, lambda p, i: p["x"] * F.get(points, ((i + 1) % n).cast("int"))["y"] - F.get(points, ((i + 1) % n).cast("int"))["x"] * p["y"])
+    return F.abs(F.aggregate(turns, F.lit(0.0), lambda a, x: a + x)) / 2.0
+
+
+def hull(points: Column) -> Column:
+    """Corners of the convex hull of an array of points (x, y): from the leftmost along the lower chain, then the upper.
+
+    A chain is a fold over the sorted points with a stack: each point drops the corners that no longer turn left. Those are
+    the last ones, so the corners kept are counted instead of popped one by one."""
+    cross = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    ordered = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+
+    def push(stack: Column, p: Column) -> Column:
+        left = F.filter(stack, lambda b, i: (i > 0) & (cross(F.get(stack, F.greatest(i - 1, F.lit(0))), b, p) > 0))
+        keep = F.when(F.size(stack) < 2, F.size(stack)).otherwise(1 + F.size(left))
+        return F.concat(F.slice(stack, F.lit(1), keep), F.array(p))
+
+    chain = lambda ps: F.aggregate(ps, F.slice(ps, F.lit(1), F.lit(0)), push)
+    most = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    return F.when(F.size(ordered) < 2, ordered).otherwise(F.concat(most(chain(ordered)), most(chain(F.reverse(ordered)))))
+
+
+def polygon_convexity(points: Column) -> Column:
+    """Area of a polygon over that of its hull; 0 where the hull has none."""
+    return convexity(polygon_area(points), polygon_area(hull(points)))
+
+
 def aspect_ratio(q: list[Point]) -> Column:
     """Mean of top and bottom over mean of left and right side."""
     w = (distance(q[0], q[1]) + distance(q[3], q[2])) / 2.0
@@ -138,28 +168,21 @@ def issues(q: list[Point], w: Column, h: Column, closest: float = 50.0, most_dev
 
 
 def homography(q: list[Point], width: int = 1000, height: int = 630) -> Column:
-    """Row-major 3 x 3 matrix that takes the corners to those of a width x height canvas, solved in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
-    def solve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series, h: pd.Series) -> pd.Series:
-        src = np.stack([np.asarray(s, np.float32).astype(np.float64) for s in (a, b, c, d, e, f, g, h)], axis=1).reshape(-1, 4, 2)
-        dst = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], float)
-        m = np.zeros((len(src), 8, 8))
-        for i in range(4):
-            x, y, u, v = src[:, i, 0], src[:, i, 1], dst[i, 0], dst[i, 1]
-            m[:, 2 * i, 0], m[:, 2 * i, 1], m[:, 2 * i, 2], m[:, 2 * i, 6], m[:, 2 * i, 7] = x, y, 1, -u * x, -u * y
-            m[:, 2 * i + 1, 3], m[:, 2 * i + 1, 4], m[:, 2 * i + 1, 5], m[:, 2 * i + 1, 6], m[:, 2 * i + 1, 7] = x, y, 1, -v * x, -v * y
-        out = []
-        for k in range(len(src)):
-            try:
-                out.append([*np.linalg.solve(m[k], dst.ravel()), 1.0])
-            except np.linalg.LinAlgError:
-                out.append(None)
-        return pd.Series(out, dtype=object)
-
-    solve.__annotations__ = dict.fromkeys("abcdefgh", pd.Series) | {"return": pd.Series}
-    return F.pandas_udf(solve, "array<double>")(*[c.cast("double") for p in q for c in p])
+    """Row-major 3 x 3 matrix, its last element 1, that takes the corners (as single-precision numbers) to those of a
+    width x height canvas. Null where three corners are in line or no such matrix exists.
+
+    The map from the unit square to the corners has a closed form; its inverse, scaled to the canvas, is the result."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(x.cast("float").cast("double"), y.cast("float").cast("double")) for x, y in q]
+    turn = lambda a, b, c: (q[b][0] - q[a][0]) * (q[c][1] - q[a][1]) - (q[b][1] - q[a][1]) * (q[c][0] - q[a][0])
+    bent = reduce(lambda a, b: a & b, [turn(i, (i + 1) % 4, (i + 2) % 4) != 0 for i in range(4)])
+    ux, uy, vx, vy, sx, sy = x1 - x2, y1 - y2, x3 - x2, y3 - y2, x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    det = ux * vy - vx * uy
+    g, h = F.try_divide(sx * vy - vx * sy, det), F.try_divide(ux * sy - sx * uy, det)
+    a, b, d, e = x1 - x0 + g * x1, x3 - x0 + h * x3, y1 - y0 + g * y1, y3 - y0 + h * y3
+    last = a * e - b * d
+    rows = [(e - y0 * h, x0 * h - b, b * y0 - x0 * e), (y0 * g - d, a - x0 * g, x0 * d - a * y0), (d * h - e * g, b * g - a * h, last)]
+    made = [F.try_divide(x * k, last) for r, k in zip(rows, (width - 1.0, height - 1.0, 1.0)) for x in r]
+    return F.when(bent & (last != 0), F.array(*made))
 
 
 def transform_point(m: list[Column], x: Column, y: Column) -> Point:
