@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,7 @@ class _Features:
         self.names = _unzip(names).split(b"\n") if len(self.seq) else []
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         self.n = len(self.names)
+        self.hashes = np.array([*map(zlib.crc32, self.names), 0], np.uint64)
 
     def codes(self, k: int) -> tuple[np.ndarray, np.ndarray, list]:
         """A number for the run of k words that begins at each place, its document, and what leads back to its words."""
@@ -127,18 +129,30 @@ class _Features:
 
     def parts(self, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
         """The partition of each feature, from its first two words; second is -1 for none."""
-        h = np.array([zlib.crc32(w) for w in self.names] + [0], np.uint64)
+        h = self.hashes
         mixed = (h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
         return (mixed % np.uint64(n)).astype(np.int64)
 
-    def distinct(self, k: int, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, counts and partition of each distinct run of k words in order of its number; those numbers; and
-        number and document of each occurrence."""
-        code, doc, back = self.codes(k)
+    def distinct(self, k: int, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Word numbers, counts and partition of each distinct run of k words in order of its number."""
+        code, _, back = self.codes(k)
         distinct, counts = np.unique(code, return_counts=True)
+        return *self._parted(k, n, distinct, back)[::-1], counts
+
+    def occurrences(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Partition of each distinct run of k words, and of each occurrence its place among them and its document."""
+        code, doc, back = self.codes(k)
+        distinct, place = np.unique(code, return_inverse=True)
+        return self._parted(k, n, distinct, back)[0], place, doc
+
+    def _parted(self, k: int, n: int, distinct: np.ndarray, back: list) -> tuple[np.ndarray, list[np.ndarray]]:
         columns = self.columns(distinct, back)
-        second = columns[1] if k > 1 else np.full(len(distinct), -1)
-        return columns, counts, self.parts(columns[0], second, n), distinct, code, doc
+        return self.parts(columns[0], columns[1] if k > 1 else np.full(len(distinct), -1), n), columns
+
+
+def _by_part(part: np.ndarray) -> np.ndarray:
+    """A stable order by partition."""
+    return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
 
 
 def _strings(blocks: DataFrame, parts: int, turn: int) -> DataFrame:
@@ -152,14 +166,14 @@ def _strings(blocks: DataFrame, parts: int, turn: int) -> DataFrame:
                 vocabulary = pa.array(f.names, pa.binary())
                 strings, counts, part = [], [], []
                 for k in (1, 2, 3):
-                    columns, n, p, *_ = f.distinct(k, parts)
+                    columns, p, n = f.distinct(k, parts)
                     mine = np.nonzero(p % ROUNDS == turn)[0]
                     taken = [vocabulary.take(pa.array(c[mine])) for c in columns]
                     strings.append(pc.binary_join_element_wise(*taken, b" ") if k > 1 else taken[0])
                     counts.append(n[mine])
                     part.append(p[mine])
                 part = np.concatenate(part)
-                order = np.argsort(part, kind="stable")
+                order = _by_part(part)
                 strings, counts, part = pa.concat_arrays(strings).take(pa.array(order)), np.concatenate(counts)[order], part[order]
                 runs = _runs(part)
                 if runs:
@@ -209,13 +223,19 @@ def _counted(rows: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame],
     return blocks, [common.stored_by(_dictionary(_strings(blocks, parts, t), buckets), "dictionary", "block", cut) for t in range(ROUNDS)], parts
 
 
-def _by_bucket(dictionary: list[DataFrame], name: str) -> DataFrame:
-    """bucket and its number of occurrences; at most as many rows as there are buckets."""
-    out = None
-    for d in dictionary:
-        sums = d.where("block < 0").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).select("x.*")
-        out = sums if out is None else out.unionByName(sums)
-    return out.groupBy("bucket").agg(F.sum("n").alias(name))
+def _by_bucket(dictionary: list[DataFrame], buckets: int) -> DataFrame:
+    """bucket and n, its number of occurrences; each task adds up its own first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            at, n = (batch.column(c).flatten().to_numpy() for c in ("bucket", "n"))
+            np.add.at(total, at, n)
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    own = [d.where("block < 0").select("bucket", "n").mapInArrow(add, "bucket long, n long") for d in dictionary]
+    return reduce(DataFrame.unionByName, own).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _weights(blocks: DataFrame, dictionary: list[DataFrame], parts: int, gains: np.ndarray) -> DataFrame:
@@ -230,13 +250,13 @@ def _weights(blocks: DataFrame, dictionary: list[DataFrame], parts: int, gains:
                 begun = dict.fromkeys(known, 0)
                 weight, features = np.zeros(len(f.lens), np.int64), np.zeros(len(f.lens), np.int64)
                 for k in (1, 2, 3):
-                    _, _, part, distinct, code, doc = f.distinct(k, parts)
-                    bucket, order = np.zeros(len(part), np.int64), np.argsort(part, kind="stable")
+                    part, place, doc = f.occurrences(k, parts)
+                    bucket, order = np.zeros(len(part), np.int64), _by_part(part)
                     for a, b in _runs(part[order]):
                         p = int(part[order[a]])
                         bucket[order[a:b]] = known[p][begun[p] : begun[p] + b - a]
                         begun[p] += b - a
-                    weight += np.bincount(doc, gains[bucket][np.searchsorted(distinct, code)], len(f.lens)).astype(np.int64)
+                    weight += np.bincount(doc, gains[bucket][place], len(f.lens)).astype(np.int64)
                     features += np.bincount(doc, minlength=len(f.lens))
                 yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(f.lens), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
@@ -268,9 +288,9 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = 10_000, percent:
     goal_blocks, goal, _ = _counted(goal_rows, buckets)
     have_blocks, have, parts = _counted(have_rows, buckets)
     t, s = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for r in _by_bucket(goal, "n").collect():
+    for r in _by_bucket(goal, buckets).collect():
         t[r.bucket] = r.n
-    for r in _by_bucket(have, "n").collect():
+    for r in _by_bucket(have, buckets).collect():
         s[r.bucket] = r.n
     all_t, all_s = int(t.sum()) + buckets, int(s.sum()) + buckets
     gains = np.array([math.floor(1000 * math.log((int(a) + 1) * all_s / ((int(b) + 1) * all_t))) for a, b in zip(t, s)], np.int64)

@@ -51,7 +51,7 @@ def test_resample(spark, block, wide, monkeypatch):
 
         def more_words(self, *a):
             real(self, *a)
-            self.n = 1 << 40
+            self.n = 1 << 40  # as if there were more words
 
         monkeypatch.setattr(importance._Features, "__init__", more_words)
     rows = corpus(n=120)
