@@ -5,6 +5,7 @@ A quadrilateral is eight columns x1, y1 .. x4, y4 in the order top-left, top-rig
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 Point = tuple[Column, Column]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once however often body names it; inside a lambda a name is no such guarantee."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def corners(prefix: str = "") -> list[Point]:
     return [(F.col(f"{prefix}x{i}"), F.col(f"{prefix}y{i}")) for i in range(1, 5)]
 
@@ -91,9 +97,13 @@ def convexity(contour_area: Column, hull_area: Column) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Area of a polygon given as an array of points (x, y) in order."""
-    n = F.size(points)
-    turns = F.transform(points, lambda p, i: p["x"] * F.get(points, ((i + 1) % n).cast("int"))["y"] - F.get(points, ((i + 1) % n).cast("int"))["x"] * p["y"])
-    return F.abs(F.aggregate(turns, F.lit(0.0), lambda a, x: a + x)) / 2.0
+
+    def total(ps: Column) -> Column:
+        after = lambda i: F.get(ps, (i + 1) % F.size(ps))
+        turns = F.transform(ps, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"])
+        return F.abs(F.aggregate(turns, F.lit(0.0), lambda a, x: a + x)) / 2.0
+
+    return let(points, total)
 
 
 def hull(points: Column) -> Column:
@@ -111,7 +121,7 @@ def hull(points: Column) -> Column:
 
     chain = lambda ps: F.aggregate(ps, F.slice(ps, F.lit(1), F.lit(0)), push)
     most = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    return F.when(F.size(ordered) < 2, ordered).otherwise(F.concat(most(chain(ordered)), most(chain(F.reverse(ordered)))))
+    return let(ordered, lambda ps: F.when(F.size(ps) < 2, ps).otherwise(F.concat(most(chain(ps)), most(chain(F.reverse(ps))))))
 
 
 def polygon_convexity(points: Column) -> Column:

@@ -6,11 +6,14 @@ stencils are needed several times by what follows, so a query keeps each in a co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 Box = list[Column]  # x1, y1, x2, y2; x2 and y2 are one beyond the last pixel
 
 
@@ -127,21 +130,24 @@ def crop(values: Column, w: Column, box: Box) -> Column:
 
 def otsu(values: Column) -> Column:
     """The grey value that separates values best (largest variance between those above it and the rest), the smallest of
-    equals; of one value alone that value. Runs over the sorted values, so its cost doesn't depend on how many greys there
+    equals; 0 where there is only one value. Runs over the sorted values, so its cost doesn't depend on how many greys there
     are."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    paired = F.arrays_zip(ordered.alias("v"), running(ordered).alias("s"))
-    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def figure(p: Column, i: Column) -> Column:
-        below = (i + 1).cast("double")
-        off = total * below - p["s"] * n
-        last = (i + 1 == n) | (F.get(ordered, (i + 1).cast("int")) != p["v"])
-        return F.when(last, F.struct(F.when(i + 1 < n, off * off / (below * (n - below))).otherwise(-1.0).alias("f"), (-p["v"]).alias("v")))
+    def over(ordered: Column) -> Column:
+        n = F.size(ordered)
+
+        def chosen(sums: Column) -> Column:
+            def figure(v: Column, i: Column) -> Column:
+                below = (i + 1).cast("double")
+                off = F.get(sums, n - 1) * below - F.get(sums, i) * n
+                last = (i + 1 == n) | (F.get(ordered, i + 1) != v)
+                return F.when(last, F.struct(F.when(i + 1 < n, off * off / (below * (n - below))).otherwise(-1.0).alias("f"), F.when(below < n, -v).otherwise(0).alias("v")))
+
+            return -F.array_max(F.filter(F.transform(ordered, figure), lambda x: x.isNotNull()))["v"]
 
-    best = F.array_max(F.filter(F.transform(paired, figure), lambda x: x.isNotNull()))
-    return -best["v"]
+        return let(running(ordered), chosen)
+
+    return let(F.array_sort(values), over)
 
 
 def bright_share(values: Column, threshold: Column) -> Column:
@@ -159,16 +165,24 @@ def mirrored(i: Column, n: Column) -> Column:
     return F.when(n == 1, 0).when(p < n, p).otherwise(period - p)
 
 
-def _weighed(values: Column, w: Column, h: Column, weights: list[int], down: bool) -> Column:
-    """Every pixel's neighbours along its row (or column, down) by weights, mirrored at the borders."""
+def clamped(i: Column, n: Column) -> Column:
+    """A place outside 0 .. n - 1 moved to the nearest one inside."""
+    return F.least(F.greatest(i, F.lit(0)), n - 1)
+
+
+def _weighed(values: Column, w: Column, h: Column, weights: list, down: bool, place: Callable[[Column, Column], Column] = mirrored) -> Column:
+    """Every pixel's neighbours along its row (or column, down) by weights; place finds those beyond the borders."""
     half = len(weights) // 2
 
-    def one(_, i: Column) -> Column:
-        r, c = F.floor(i / w), i % w
-        at = lambda d: mirrored(r + d, h) * w + c if down else r * w + mirrored(c + d, w)
-        return sum((F.get(values, at(k - half).cast("int")) * v for k, v in enumerate(weights) if v), F.lit(0))
+    def all_of(vs: Column) -> Column:
+        def one(_, i: Column) -> Column:
+            r, c = F.floor(i / w), i % w
+            at = lambda d: place(r + d, h) * w + c if down else r * w + place(c + d, w)
+            return sum((F.get(vs, at(k - half).cast("int")) * v for k, v in enumerate(weights) if v), F.lit(0))
+
+        return F.transform(vs, one)
 
-    return F.transform(values, one)
+    return let(values, all_of)
 
 
 def stencil(values: Column, w: Column, h: Column, across: list[int], down: list[int]) -> Column:
@@ -198,3 +212,92 @@ def edge_strength(magnitudes: Column, w: Column, h: Column) -> Column:
     magnitudes: the table of gradient()."""
     each = [box_mean(magnitudes, w, s) for s in strips(_frame(w, h), depth(w, h, 0.1))]
     return F.when((w < 3) | (h < 3), 0.0).otherwise(F.least(F.lit(1.0), _mean_of(each) / 255.0))
+
+
+# -- crops made ready for reading -------------------------------------------------------------------------------------
+
+
+def _white(condition: Column) -> Column:
+    return F.when(condition, 255).otherwise(0).cast("long")
+
+
+def binarised(values: Column) -> Column:
+    """White above the Otsu threshold, black elsewhere."""
+    return let(otsu(values), lambda t: F.transform(values, lambda v: _white(v > t)))
+
+
+def softened(values: Column, w: Column, h: Column) -> Column:
+    """Gaussian blur of 3 x 3 with repeated borders, rounded halves up."""
+    k = [1, 2, 1]
+    return F.transform(_weighed(_weighed(values, w, h, k, False, clamped), w, h, k, True, clamped), lambda s: F.floor((s + 8) / 16))
+
+
+def adaptive(values: Column, w: Column, h: Column, size: int = 11, c: float = 2.0) -> Column:
+    """White where a pixel exceeds the Gaussian mean of its size x size neighbourhood (borders repeated) less c."""
+    s = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    k = [math.exp(-((i - size // 2) ** 2) / (2 * s * s)) for i in range(size)]
+    k = [x / sum(k) for x in k]
+    mean = _weighed(_weighed(values, w, h, k, False, clamped), w, h, k, True, clamped)
+    return F.zip_with(values, mean, lambda v, m: _white(v > m - c))
+
+
+def histogram(values: Column) -> Column:
+    """How often each of 0 .. 255 occurs, from the runs of the sorted values."""
+
+    def counted(ends: Column) -> Column:
+        sizes = F.transform(ends, lambda e, i: e["n"] - F.coalesce(F.get(ends, i - 1)["n"], F.lit(0)))
+        by = F.map_from_arrays(F.transform(ends, lambda e: e["v"]), sizes)
+        return let(by, lambda m: F.transform(_index(F.lit(256)), lambda v: F.coalesce(F.try_element_at(m, v), F.lit(0)).cast("long")))
+
+    def runs(s: Column) -> Column:
+        last = lambda x, i: (i + 1 == F.size(s)) | (F.get(s, i + 1) != x)
+        return F.filter(F.transform(s, lambda x, i: F.when(last(x, i), F.struct(x.cast("long").alias("v"), (i + 1).alias("n")))), lambda e: e.isNotNull())
+
+    return let(F.array_sort(values), lambda s: let(runs(s), counted))
+
+
+def equalized(values: Column, w: Column, h: Column, clip: float = 2.0, grid: int = 8) -> Column:
+    """Contrast-limited equalisation: each of grid x grid tiles gets a table from its clipped histogram, whose surplus is
+    dealt out evenly, the rest of it in even steps; a pixel's value is blended from the tables of the four nearest tiles."""
+    th, tw = F.ceil(h / grid), F.ceil(w / grid)
+    area = th * tw
+    limit = F.greatest(F.lit(1), F.floor(clip * area / 256))
+
+    def one(t: Column) -> Column:
+        """The table of a tile; tiles beyond the border see the image mirrored."""
+        y, x = F.floor(t / grid) * th, t % grid * tw
+        rows = F.transform(_index(th), lambda i: F.transform(_index(tw), lambda j: F.get(values, (mirrored(y + i, h) * w + mirrored(x + j, w)).cast("int"))))
+
+        def clipped(n: Column) -> Column:
+            def dealt(over: Column) -> Column:
+                rest = over % 256
+                step = F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(256), rest)))
+                more = lambda i: F.when((rest > 0) & (i % step == 0) & (F.floor(i / step) < rest), 1).otherwise(0)
+                return F.transform(n, lambda k, i: F.least(k, limit) + F.floor(over / 256) + more(i))
+
+            return let(F.aggregate(n, F.lit(0).cast("long"), lambda a, k: a + F.greatest(k - limit, F.lit(0))), dealt)
+
+        upto = running(let(histogram(F.flatten(rows)), clipped))
+        return F.transform(upto, lambda s: F.least(F.lit(255.0), F.rint(s * 255.0 / area)))
+
+    def blended(tables: Column) -> Column:
+        def pixel(v: Column, i: Column) -> Column:
+            y, x = F.floor(i / w) / th - 0.5, i % w / tw - 0.5
+            y1, x1 = F.floor(y), F.floor(x)
+            fy, fx = y - y1, x - x1
+            inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(grid - 1))
+            at = lambda a, b: F.get(F.get(tables, (inside(a) * grid + inside(b)).cast("int")), v.cast("int"))
+            upper, lower = at(y1, x1) * (1 - fx) + at(y1, x1 + 1) * fx, at(y1 + 1, x1) * (1 - fx) + at(y1 + 1, x1 + 1) * fx
+            return F.rint(upper * (1 - fy) + lower * fy).cast("long")
+
+        return F.transform(values, pixel)
+
+    return let(F.transform(_index(F.lit(grid * grid)), one), blended)
+
+
+def prepared(values: Column, w: Column, h: Column, field: Column) -> Column:
+    """What a field's crop goes through before it is read; other fields and empty crops stay as they are."""
+    return (
+        F.when(F.size(values) == 0, values).when(field == "nid", binarised(values)).when(field == "dob", adaptive(values, w, h))
+        .when(field == "gender", let(softened(values, w, h), binarised)).when(field.isin("governorate", "address", "name"), equalized(values, w, h)).otherwise(values)
+    )

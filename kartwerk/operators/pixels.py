@@ -30,7 +30,7 @@ def laplacian_variance(gray: np.ndarray) -> float:
 
 def blur5(gray: np.ndarray) -> np.ndarray:
     k = np.array([1, 4, 6, 4, 1]) / 16
-    p = np.pad(gray.astype(np.float64), 2, mode="reflect" if min(gray.shape) > 2 else "edge")
+    p = np.pad(gray.astype(np.float64), 2, mode="reflect")
     rows = sum(k[i] * p[:, i : i + gray.shape[1]] for i in range(5))
     return np.floor(sum(k[i] * rows[i : i + gray.shape[0]] for i in range(5)) + 0.5)
 
@@ -104,10 +104,13 @@ def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
 
 
 def equalize_tiles(gray: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
-    """Contrast-limited equalisation on a grid of tiles, blended bilinearly."""
+    """Contrast-limited equalisation on a grid of tiles, blended bilinearly; what a clipped histogram loses is dealt out
+    evenly, the rest of it in even steps."""
     h, w = gray.shape
+    if not gray.size:
+        return gray
     th, tw = -(-h // grid), -(-w // grid)
-    p = np.pad(gray, ((0, th * grid - h), (0, tw * grid - w)), mode="symmetric")
+    p = np.pad(gray, ((0, th * grid - h), (0, tw * grid - w)), mode="reflect")
     maps = np.zeros((grid, grid, 256))
     limit = max(1, int(clip * th * tw / 256))
     for i in range(grid):
@@ -115,13 +118,16 @@ def equalize_tiles(gray: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.nda
             n = np.bincount(p[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
             over = int(np.maximum(n - limit, 0).sum())
             n = np.minimum(n, limit) + over // 256
-            maps[i, j] = np.cumsum(n) * 255.0 / (th * tw)
-    y, x = np.clip((np.arange(h) + 0.5) / th - 0.5, 0, grid - 1), np.clip((np.arange(w) + 0.5) / tw - 0.5, 0, grid - 1)
+            if over % 256:
+                n[:: max(1, 256 // (over % 256))][: over % 256] += 1
+            maps[i, j] = np.minimum(255.0, np.rint(np.cumsum(n) * 255.0 / (th * tw)))
+    y, x = np.arange(h) / th - 0.5, np.arange(w) / tw - 0.5
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, grid - 1), np.minimum(x0 + 1, grid - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None]
-    at = lambda a, b: maps[a[:, None], b[None], gray]
-    return np.clip(at(y0, x0) * (1 - fy) * (1 - fx) + at(y0, x1) * (1 - fy) * fx + at(y1, x0) * fy * (1 - fx) + at(y1, x1) * fy * fx + 0.5, 0, 255).astype(np.uint8)
+    inside = lambda k: np.clip(k, 0, grid - 1)
+    at = lambda a, b: maps[inside(a)[:, None], inside(b)[None], gray]
+    upper, lower = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx, at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+    return np.rint(upper * (1 - fy) + lower * fy).astype(np.uint8)
 
 
 def adaptive(gray: np.ndarray, size: int = 11, c: float = 2.0) -> np.ndarray:

@@ -372,12 +372,12 @@ def _d_box(m: str, box: tuple[str, str, str, str], w: str, h: str) -> list[str]:
 #: Rounding digits of the nine elements, so that neither engine's last bits show.
 _MDIGITS = (6, 6, 3, 6, 6, 3, 9, 9, 9)
 _INSET = ("x1 + 10.25E0", "y1 + 7.5E0", "x3 - 11.25E0", "y3 - 6.5E0")
-G9 = f"""{Q}, k0 AS (SELECT *, {", ".join(f"CAST(CAST({v}{i} AS FLOAT) AS DOUBLE) AS {n}{v}" for n, i in zip("abcd", (1, 2, 3, 4)) for v in "xy")} FROM q WHERE {D_CONVEX}),
-k1 AS (SELECT *, {", ".join(f"{v} / {_det3(*w)} AS {n}{i}" for n, pair, w in (("p", "bc", "dbc"), ("s", "ca", "adc"), ("r", "ab", "abd")) for i, v in enumerate(_cross(*pair)))} FROM k0),
+G9 = f"""{Q}, k0 AS (SELECT *, {", ".join(f"CAST(CAST({v}{i} AS FLOAT) AS DOUBLE) AS {n}{v}" for n, i in zip("efgt", (1, 2, 3, 4)) for v in "xy")} FROM q WHERE {D_CONVEX}),
+k1 AS (SELECT *, {", ".join(f"{v} / {_det3(*w)} AS {n}{i}" for n, pair, w in (("p", "fg", "tfg"), ("s", "ge", "etg"), ("r", "ef", "eft")) for i, v in enumerate(_cross(*pair)))} FROM k0),
 k2 AS (SELECT *, {", ".join(f"999.0E0 * (r{i} - s{i}) AS h{i}, 629.0E0 * r{i} AS h{3 + i}, p{i} - s{i} + r{i} AS h{6 + i}" for i in range(3))} FROM k1),
 k3 AS (SELECT image_id, cand_id, image_w, image_h, x1, y1, x3, y3, {", ".join(f"h{i} / h8 AS m{i}" for i in range(9))} FROM k2),
 k4 AS (SELECT *, {", ".join(f"{v} AS c{i}" for i, v in enumerate(_d_box("m", _INSET, "1000", "630")))}, m4 * m8 - m5 * m7 AS n0, m2 * m7 - m1 * m8 AS n1, m1 * m5 - m2 * m4 AS n2, m5 * m6 - m3 * m8 AS n3, m0 * m8 - m2 * m6 AS n4, m2 * m3 - m0 * m5 AS n5, m3 * m7 - m4 * m6 AS n6, m1 * m6 - m0 * m7 AS n7, m0 * m4 - m1 * m3 AS n8 FROM k3)
-SELECT image_id, cand_id, {", ".join(f"round(m{i}, {n}) AS m{i}" for i, n in enumerate(_MDIGITS))}, c0, c1, c2, c3, {", ".join(f"{v} AS s{i}" for i, v in enumerate(_d_box("n", ("c0", "c1", "c2", "c3"), "image_w", "image_h")))} FROM k4"""
+SELECT image_id, cand_id, {", ".join(f"round(m{i}, {n}) + 0.0E0 AS m{i}" for i, n in enumerate(_MDIGITS))}, c0, c1, c2, c3, {", ".join(f"{v} AS s{i}" for i, v in enumerate(_d_box("n", ("c0", "c1", "c2", "c3"), "image_w", "image_h")))} FROM k4"""
 
 
 @query("g9_g12_homography", G9)
@@ -388,15 +388,15 @@ def g9_g12_homography(spark, d):
     there = G.map_bbox(m, [F.col("x1") + 10.25, F.col("y1") + 7.5, F.col("x3") - 11.25, F.col("y3") - 6.5], F.lit(1000), F.lit(630))
     q = q.select("image_id", "cand_id", "image_w", "image_h", "m", *[c.alias(f"c{i}") for i, c in enumerate(there)])
     back = G.map_bbox(G.inverse(m), [F.col(f"c{i}").cast("double") for i in range(4)], F.col("image_w"), F.col("image_h"))
-    return q.select("image_id", "cand_id", *[F.round(x, n).alias(f"m{i}") for i, (x, n) in enumerate(zip(m, _MDIGITS))], *[f"c{i}" for i in range(4)], *[c.alias(f"s{i}") for i, c in enumerate(back)])
+    return q.select("image_id", "cand_id", *[(F.round(x, n) + 0.0).alias(f"m{i}") for i, (x, n) in enumerate(zip(m, _MDIGITS))], *[f"c{i}" for i in range(4)], *[c.alias(f"s{i}") for i, c in enumerate(back)])
 
 
 # The hull's edges are the pairs with no point to their right and none in line beyond them; the fold in Spark sorts instead.
 @query("g8_convexity", """WITH e AS (SELECT vec_id, i, CAST(floor(1000 * CAST(embedding[2 * i + 1] AS DOUBLE)) AS BIGINT) AS x, CAST(floor(1000 * CAST(embedding[2 * i + 2] AS DOUBLE)) AS BIGINT) AS y FROM embeddings, (SELECT unnest(range(0, 16)) AS i) k),
 s AS (SELECT a.vec_id, abs(sum(a.x * b.y - b.x * a.y)) / 2.0E0 AS area FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 16 GROUP BY a.vec_id), p AS (SELECT DISTINCT vec_id, x, y FROM e),
-t AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)) AS edge
+t AS (SELECT a.vec_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)) AS edge
   FROM p a JOIN p b ON a.vec_id = b.vec_id AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.vec_id = a.vec_id GROUP BY ALL),
-h AS (SELECT vec_id, count(*) FILTER (WHERE edge) AS n, coalesce(sum(ax * by - bx * ay) FILTER (WHERE edge), 0) / 2.0E0 AS hull FROM t GROUP BY vec_id)
+h AS (SELECT vec_id, count(*) FILTER (WHERE edge) AS n, coalesce(sum(x1 * y2 - x2 * y1) FILTER (WHERE edge), 0) / 2.0E0 AS hull FROM t GROUP BY vec_id)
 SELECT vec_id, n AS n_corners, round(hull, 1) AS hull_area, round(CASE WHEN hull > 0 THEN area / hull ELSE 0.0E0 END, 9) AS convexity FROM h JOIN s USING (vec_id)""")
 def g8_convexity(spark, d):
     """The first sixteen pairs of numbers of each vector as a polygon: its hull and its convexity."""

@@ -62,7 +62,7 @@ def l17_clipping(spark, d):
 g AS (SELECT image_id, box_no, gray, count(*) AS k FROM s GROUP BY ALL), u AS (SELECT image_id, box_no, gray, CAST(sum(k) OVER w AS DOUBLE) AS below, CAST(sum(k * gray) OVER w AS DOUBLE) AS mass FROM g WINDOW w AS (PARTITION BY image_id, box_no ORDER BY gray)),
 t AS (SELECT *, max(mass) OVER (PARTITION BY image_id, box_no) AS total, max(below) OVER (PARTITION BY image_id, box_no) AS n FROM u),
 o AS (SELECT image_id, box_no, n, below, gray AS threshold, row_number() OVER (PARTITION BY image_id, box_no ORDER BY CASE WHEN below < n THEN (total * below - mass * n) * (total * below - mass * n) / (below * (n - below)) ELSE -1 END DESC, gray) AS rn FROM t)
-SELECT image_id, box_no, CAST(n AS BIGINT) AS n_pixels, threshold, round((n - below) / n, 9) AS density FROM o WHERE rn = 1""")
+SELECT image_id, box_no, CAST(n AS BIGINT) AS n_pixels, CASE WHEN below < n THEN threshold ELSE 0 END AS threshold, CASE WHEN below < n THEN round((n - below) / n, 9) WHEN threshold > 0 THEN 1.0E0 ELSE 0.0E0 END AS density FROM o WHERE rn = 1""")
 def l4_l5_box_density(spark, d):
     df = _boxed(images(spark, d)).withColumn("crop", R.crop(F.col("values"), F.col("width"), _box()))
     df = df.withColumn("threshold", R.otsu(F.col("crop")))
@@ -88,3 +88,40 @@ def i4_noise_d4_edges(spark, d):
     w, h, v = F.col("width"), F.col("height"), F.col("values")
     df = images(spark, d).withColumns({"blur": R.blurred(v, w, h), "magnitudes": R.table(R.gradient(v, w, h), w)})
     return df.select("image_id", rnd(R.noise(v, F.col("blur")) + 1e-10, 8).alias("noise"), rnd(R.edge_strength(F.col("magnitudes"), w, h), 8).alias("edge_strength"))
+
+
+#: Which boxes are prepared as which field.
+_FIELDS = [(0, "name"), (1, "nid"), (1, "address"), (2, "dob"), (2, "governorate"), (3, "gender")]
+F1 = f"""WITH {_PIXELS}, {_BOXES}, fields(box_no, field_name) AS (VALUES {", ".join(f"({n}, '{f}')" for n, f in _FIELDS)}),
+cut AS (SELECT b.image_id, b.box_no, x2 - x1 AS w, y2 - y1 AS h, p.r - y1 AS r, p.c - x1 AS c, gray FROM boxes b JOIN pix p ON p.image_id = b.image_id AND p.r >= y1 AND p.r < y2 AND p.c >= x1 AND p.c < x2),
+job AS (SELECT cut.*, field_name FROM cut JOIN fields USING (box_no)),
+soft AS (SELECT a.image_id, a.field_name, a.r, a.c, floor((sum(q.gray * o.k) + 8) / 16) AS gray FROM job a, (VALUES {", ".join(f"({i}, {j}, {(2 - abs(i)) * (2 - abs(j))})" for i in (-1, 0, 1) for j in (-1, 0, 1))}) o(dr, dc, k)
+  JOIN job q ON q.image_id = a.image_id AND q.field_name = a.field_name AND q.r = least(greatest(a.r + o.dr, 0), a.h - 1) AND q.c = least(greatest(a.c + o.dc, 0), a.w - 1) WHERE a.field_name = 'gender' GROUP BY ALL),
+bw AS (SELECT image_id, field_name, r, c, gray FROM job WHERE field_name = 'nid' UNION ALL SELECT * FROM soft),
+u AS (SELECT image_id, field_name, gray, CAST(sum(k) OVER w AS DOUBLE) AS below, CAST(sum(k * gray) OVER w AS DOUBLE) AS mass FROM (SELECT image_id, field_name, gray, count(*) AS k FROM bw GROUP BY ALL) z WINDOW w AS (PARTITION BY image_id, field_name ORDER BY gray)),
+t AS (SELECT *, max(mass) OVER (PARTITION BY image_id, field_name) AS total, max(below) OVER (PARTITION BY image_id, field_name) AS n FROM u),
+o AS (SELECT image_id, field_name, CASE WHEN below < n THEN gray ELSE 0 END AS threshold, row_number() OVER (PARTITION BY image_id, field_name ORDER BY CASE WHEN below < n THEN (total * below - mass * n) * (total * below - mass * n) / (below * (n - below)) ELSE -1 END DESC, gray) AS rn FROM t),
+g11(d, k) AS (SELECT d, exp(-d * d / 8.0E0) / sum(exp(-d * d / 8.0E0)) OVER () FROM (SELECT unnest(range(-5, 6)) AS d) z),
+dob AS (SELECT a.image_id, a.field_name, a.r, a.c, a.gray, sum(q.gray * v.k * s.k) AS m FROM job a, g11 v, g11 s JOIN job q ON q.image_id = a.image_id AND q.field_name = a.field_name AND q.r = least(greatest(a.r + v.d, 0), a.h - 1) AND q.c = least(greatest(a.c + s.d, 0), a.w - 1) WHERE a.field_name = 'dob' GROUP BY ALL),
+eq AS (SELECT *, CAST(ceil(h / 8.0E0) AS BIGINT) AS th, CAST(ceil(w / 8.0E0) AS BIGINT) AS tw FROM job WHERE field_name IN ('name', 'address', 'governorate')),
+dims AS (SELECT DISTINCT image_id, field_name, w, h, th, tw FROM eq), grid AS (SELECT d.*, ty, tx, i, j FROM dims d, (SELECT unnest(range(0, 8)) AS ty) a, (SELECT unnest(range(0, 8)) AS tx) b, (SELECT unnest(range(0, 4)) AS i) k, (SELECT unnest(range(0, 4)) AS j) l WHERE i < th AND j < tw),
+mir AS (SELECT g.*, ty * th + i AS y, tx * tw + j AS x FROM grid g), src AS (SELECT m.image_id, m.field_name, ty, tx, m.th * m.tw AS area, e.gray FROM (SELECT *, (CASE WHEN h = 1 THEN 0 WHEN y % (2 * h - 2) < h THEN y % (2 * h - 2) ELSE 2 * h - 2 - y % (2 * h - 2) END) AS my, (CASE WHEN w = 1 THEN 0 WHEN x % (2 * w - 2) < w THEN x % (2 * w - 2) ELSE 2 * w - 2 - x % (2 * w - 2) END) AS mx FROM mir) m JOIN eq e ON e.image_id = m.image_id AND e.field_name = m.field_name AND e.r = my AND e.c = mx),
+hist AS (SELECT t.image_id, t.field_name, t.ty, t.tx, t.area, v, count(s.gray) AS n FROM (SELECT DISTINCT image_id, field_name, ty, tx, area FROM src) t CROSS JOIN (SELECT unnest(range(0, 256)) AS v) k LEFT JOIN src s ON s.image_id = t.image_id AND s.field_name = t.field_name AND s.ty = t.ty AND s.tx = t.tx AND s.gray = v GROUP BY ALL),
+lim AS (SELECT *, greatest(1, CAST(floor(2.0E0 * area / 256) AS BIGINT)) AS top FROM hist), ov AS (SELECT *, sum(greatest(n - top, 0)) OVER (PARTITION BY image_id, field_name, ty, tx) AS over FROM lim),
+cl AS (SELECT *, least(n, top) + over // 256 + CASE WHEN over % 256 > 0 AND v % greatest(1, 256 // (over % 256)) = 0 AND v // greatest(1, 256 // (over % 256)) < over % 256 THEN 1 ELSE 0 END AS k FROM ov),
+lut AS (SELECT image_id, field_name, ty, tx, v, least(255.0E0, round_even(CAST(sum(k) OVER (PARTITION BY image_id, field_name, ty, tx ORDER BY v) AS DOUBLE) * 255.0E0 / area, 0)) AS z FROM cl),
+pt AS (SELECT *, r / CAST(th AS DOUBLE) - 0.5E0 AS y, c / CAST(tw AS DOUBLE) - 0.5E0 AS x FROM eq),
+clahe AS (SELECT p.image_id, p.field_name, p.r, p.c, round_even((a.z * (1 - (x - floor(x))) + b.z * (x - floor(x))) * (1 - (y - floor(y))) + (d.z * (1 - (x - floor(x))) + e.z * (x - floor(x))) * (y - floor(y)), 0) AS g FROM pt p
+  {" ".join(f"JOIN lut {n} ON {n}.image_id = p.image_id AND {n}.field_name = p.field_name AND {n}.v = p.gray AND {n}.ty = least(greatest(floor(y) + {i}, 0), 7) AND {n}.tx = least(greatest(floor(x) + {j}, 0), 7)" for n, i, j in (("a", 0, 0), ("b", 0, 1), ("d", 1, 0), ("e", 1, 1)))}),
+made AS (SELECT bw.image_id, bw.field_name, r, c, CASE WHEN gray > threshold THEN 255 ELSE 0 END AS g FROM bw JOIN o ON o.image_id = bw.image_id AND o.field_name = bw.field_name AND rn = 1 UNION ALL SELECT image_id, field_name, r, c, CASE WHEN gray > m - 2.0E0 THEN 255 ELSE 0 END FROM dob UNION ALL SELECT image_id, field_name, r, c, CAST(g AS BIGINT) FROM clahe)
+SELECT image_id, field_name, string_agg(CAST(CAST(g AS BIGINT) AS VARCHAR), ' ' ORDER BY r, c) AS pixels FROM made GROUP BY image_id, field_name"""
+
+
+@query("f1_prepared_crops", F1)
+def f1_prepared_crops(spark, d):
+    """Crops of every image as fields, made ready for reading, pixel by pixel."""
+    field = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(f).alias("field_name")) for n, f in _FIELDS])
+    df = _boxed(images(spark, d)).select("*", F.explode(F.filter(field, lambda x: x["n"] == F.col("box_no"))).alias("f"))
+    df = df.withColumn("crop", R.crop(F.col("values"), F.col("width"), _box()))
+    made = R.prepared(F.col("crop"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("f.field_name"))
+    return df.select("image_id", F.col("f.field_name").alias("field_name"), F.array_join(made.cast("array<string>"), " ").alias("pixels"))
