@@ -58,13 +58,13 @@ def _scan(values: Column, reach: Column, source: Callable[[Column, Column], Colu
 
 def running(values: Column) -> Column:
     """Inclusive running sums of an array."""
-    return _scan(values, F.size(values), lambda i, p: F.when(i >= p, i - p))
+    return let(values, lambda v: _scan(v, F.size(v), lambda i, p: F.when(i >= p, i - p)))
 
 
 def table(values: Column, w: Column) -> Column:
     """Summed-area table: at each pixel the sum of all values above and left of it, itself included."""
     rows = _scan(values, w, lambda i, p: F.when(i % w >= p, i - p))
-    return _scan(rows, F.floor(F.size(values) / w), lambda i, p: F.when(i >= p * w, i - p * w))
+    return let(rows, lambda v: _scan(v, F.floor(F.size(v) / w), lambda i, p: F.when(i >= p * w, i - p * w)))
 
 
 def box_sum(sums: Column, w: Column, box: Box) -> Column:
