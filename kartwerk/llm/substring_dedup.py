@@ -127,9 +127,16 @@ def _settle(window: int, minimiser: int, strings: list[bytes], docs: list[int])
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id and text."""
+    text = F.col("text").cast("string").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+
+
 def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, first (word) and n: runs of windows whose word sequence also starts in a document with a smaller doc_id."""
-    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    """doc_id, text_id, first (word) and n: runs of windows whose word sequence also starts in a document with a smaller
+    doc_id. text_id, 64 hashed bits of the text, tells rows of one doc_id apart."""
+    texts = _texts(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +148,7 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["m", "doc_id"])
 
-    every = common.stored(texts.mapInArrow(minimisers, "m long, doc_id long"), "minimisers")
+    every = common.stored(texts.select("doc_id", "text").mapInArrow(minimisers, "m long, doc_id long"), "minimisers")
     shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
     # Hot minimisers make this join uneven on the side of the documents only, which adaptive execution can split.
     wanted = every.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("wanted"))
@@ -151,23 +158,23 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = [[], [], [], [], []]
+            out: list = [[], [], [], [], [], []]
             size = 0
-            for i, text, ms in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for i, text, ms, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 words = text.as_py().split()
                 low, starts, counts = super_kmers(word_hashes(words), window)
                 want = np.isin(low.view(np.int64), ms.values.to_numpy(zero_copy_only=False))
                 for m, a, n in zip(low.view(np.int64)[want].tolist(), starts[want].tolist(), counts[want].tolist()):
                     s = b" ".join(words[a : a + n + window - 1])
-                    for column, value in zip(out, (m, i, a, n, s)):
+                    for column, value in zip(out, (m, i, a, n, s, t)):
                         column.append(value)
                     size += len(s)
                 if size > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["m", "doc_id", "first", "n", "packed"])
-                    out, size = [[], [], [], [], []], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["m", "doc_id", "first", "n", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.int64())], names=["m", "doc_id", "first", "n", "packed", "text_id"])
+                    out, size = [[], [], [], [], [], []], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.int64())], names=["m", "doc_id", "first", "n", "packed", "text_id"])
 
-    sent = sending.select("doc_id", "text", "wanted").mapInArrow(packed, "m long, doc_id long, first long, n long, packed binary")
+    sent = sending.select("doc_id", "text", "wanted", "text_id").mapInArrow(packed, "m long, doc_id long, first long, n long, packed binary, text_id long")
     # 124 bits name a packed string, so that the strings themselves are kept once per distinct one.
     sent = sent.withColumn("k0", F.xxhash64("packed")).withColumn("k1", F.conv(F.substring(F.md5("packed"), 1, 15), 16, 10).cast("long"))
     sent = common.stored(sent, "packed")
@@ -214,24 +221,25 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         parts.append(hit)
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # Of a packed string, every document but its smallest is covered throughout; the smallest where its bucket says so.
-    whole = sent.join(strings.select("m", "k0", "k1", "least"), ["m", "k0", "k1"]).where("doc_id > least").select("doc_id", "first", "n")
+    whole = sent.join(strings.select("m", "k0", "k1", "least"), ["m", "k0", "k1"]).where("doc_id > least").select("doc_id", "text_id", "first", "n")
     own = strings.select("m", "k0", "k1", "least").join(found, ["m", "k0", "k1"])
-    own = sent.select("m", "k0", "k1", "doc_id", "first").join(own, ["m", "k0", "k1"]).where("doc_id = least")
-    own = own.select("doc_id", "first", F.explode(F.arrays_zip("at", "n")).alias("r")).select("doc_id", (F.col("first") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))
+    own = sent.select("m", "k0", "k1", "doc_id", "text_id", "first").join(own, ["m", "k0", "k1"]).where("doc_id = least")
+    own = own.select("doc_id", "text_id", "first", F.explode(F.arrays_zip("at", "n")).alias("r")).select("doc_id", "text_id", (F.col("first") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))
     return whole.unionByName(own)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (binary: the kept words joined by one space), spans removed as (start, end) words.
 
-    A null text has no words. Documents with a null doc_id are returned whole. Where a doc_id repeats, its rows count as
-    one document when windows are compared, and each row loses what any of them loses at that place. Columns other than
-    doc_id and text are ignored.
+    A null text has no words. Documents with a null doc_id are returned whole. Rows that repeat a
+    doc_id are rows of their own: none is smaller than another of its id, and each loses what its own text shares with
+    smaller ids. Texts are taken whole; one of any length is one row. Columns other than doc_id and text are ignored; an
+    empty table gives an empty one.
     """
     runs = duplicate_windows(docs, window)
-    by_doc = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    by_doc = runs.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     by_doc = common.stored(by_doc, "runs")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = _texts(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +259,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, spans array<array<long>>")
+    return texts.join(by_doc, ["doc_id", "text_id"], "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, spans array<array<long>>")
 
 
