@@ -28,8 +28,9 @@ from . import common
 from .simhash import components
 
 EDITS = 2
-#: A line's place in the table is one number: doc_id above the least one, then so many digits for its row among those of
-#: that id and for its number in the text. A null id counts as NO_ID, beyond all others.
+#: A line's place in the table is one number: doc_id above the least one, then so many digits of its row's hash, which order
+#: the rows of an id, and of its number in the text. A null id counts as NO_ID, beyond all others. What tells rows of one id
+#: apart is the whole hash, which travels beside the place.
 ROW_DIGITS, LINE_DIGITS, LEAST_ID, NO_ID = 8, 10, 1 << 63, 1 << 64
 #: Characters whose counts are compared before the edit distance.
 COUNTED = "etanorislhducmpgbwv ,.éö|"
@@ -70,9 +71,9 @@ def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
 
 
 def named_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text, which tells rows of one id apart) and text."""
+    """doc_id, row (64 hashed bits of the text, which tell rows of one id apart) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(10**ROW_DIGITS)).alias("row"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -84,16 +85,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _place() -> Column:
     """The place of a line as one decimal, in order of doc_id, row and line_no."""
     whole = F.coalesce(F.col("doc_id").cast("decimal(19,0)") + F.lit(Decimal(LEAST_ID)), F.lit(Decimal(NO_ID))).cast("decimal(20,0)")
-    rest = (F.col("row") * 10**LINE_DIGITS + F.col("line_no")).cast("decimal(18,0)")
+    rest = (F.pmod(F.col("row"), F.lit(10**ROW_DIGITS)) * 10**LINE_DIGITS + F.col("line_no")).cast("decimal(18,0)")
     return (whole * F.lit(Decimal(10 ** (ROW_DIGITS + LINE_DIGITS))) + rest).cast("decimal(38,0)")
 
 
 def _parts(place: Column) -> Column:
-    """The doc_id, row and line_no of a place, by its digits."""
+    """The doc_id and line_no of a place, by its digits."""
     digits = F.lpad(place.cast("string"), 38, "0")
-    whole, row, line = F.substring(digits, 1, 20), F.substring(digits, 21, ROW_DIGITS), F.substring(digits, 21 + ROW_DIGITS, LINE_DIGITS)
+    whole, line = F.substring(digits, 1, 20), F.substring(digits, 21 + ROW_DIGITS, LINE_DIGITS)
     doc_id = F.when(whole != str(NO_ID), (whole.cast("decimal(20,0)") - F.lit(Decimal(LEAST_ID))).cast("long"))
-    return F.struct(doc_id.alias("class_doc_id"), row.cast("long").alias("class_row"), line.cast("int").alias("class_line_no"))
+    return F.struct(doc_id.alias("class_doc_id"), line.cast("int").alias("class_line_no"))
 
 
 def _keys(k: int) -> Column:
@@ -154,24 +155,26 @@ def line_classes(docs: DataFrame, k: int = EDITS) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_row, class_line_no, n_links, kept for each line with a word.
 
     A class is all lines that links of at most k edits connect, named by the place of its first line: its doc_id (null
-    ids last), row (a hash of the text) and line_no. n_links: different lines linked to this one. kept: this is the first
-    line of its class. Null and empty texts have no lines. Rows that repeat a doc_id with another text are rows of their
-    own, in order of their hash; of rows alike in both only one keeps a line. A text may have any number of lines. Other
+    ids last), row (64 hashed bits of its text) and line_no. n_links: different lines linked to this one. kept: this is the first
+    line of its class. Null and empty texts have no lines. Rows that repeat a doc_id, or have none, with another text are
+    rows of their own, in order of a hash; of rows alike in both only one keeps a line. A text may have any number of lines. Other
     columns are ignored; an empty table gives an empty result.
     """
     every = lines_of(docs)
     k0, k1 = F.xxhash64("line"), F.shiftleft(F.hash("line").cast("long"), 32).bitwiseXOR(F.crc32(F.col("line").cast("binary")))
     every = every.select("doc_id", "row", "line_no", k0.alias("k0"), k1.alias("k1"), "line")
     # 128 bits name a line, so that its text travels once here and never again with its occurrences
-    lines = every.withColumn("at", _place()).groupBy("k0", "k1", "line").agg(F.min("at").alias("first"))
+    lines = every.withColumn("at", _place()).groupBy("k0", "k1", "line").agg(F.min("at").alias("first"), F.min_by("row", "at").alias("first_row"))
     lines = common.stored(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
     links = common.stored(line_links(lines, k), "line_links")
     ends = links.select(F.col("a").alias("node"), F.col("first_a").alias("first")).unionByName(links.select(F.col("b").alias("node"), F.col("first_b").alias("first")))
     ends = ends.groupBy("node").agg(F.count("*").alias("n_links"), F.min("first").alias("first")).join(components(links).hint("merge"), "node", "left")
+    ends = ends.join(lines.select(F.col("id").alias("node"), "first_row").hint("merge"), "node")
     ends = common.stored(ends.withColumn("label", F.coalesce("label", "node")), "linked")
-    classes = ends.join(ends.groupBy("label").agg(F.min("first").alias("class_at")), "label").select(F.col("node").alias("id"), "n_links", "class_at")
-    named = lines.select("k0", "k1", "id", "first").join(classes.hint("merge"), "id", "left")
-    named = named.select("k0", "k1", _parts(F.coalesce("class_at", "first")).alias("p"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).select("k0", "k1", "p.*", "n_links")
+    heads = ends.groupBy("label").agg(F.min("first").alias("class_at"), F.min_by("first_row", "first").alias("head_row"))
+    classes = ends.join(heads, "label").select(F.col("node").alias("id"), "n_links", "class_at", "head_row")
+    named = lines.select("k0", "k1", "id", "first", "first_row").join(classes.hint("merge"), "id", "left")
+    named = named.select("k0", "k1", _parts(F.coalesce("class_at", "first")).alias("p"), F.coalesce("head_row", "first_row").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).select("k0", "k1", "p.*", "class_row", "n_links")
     out = every.select("doc_id", "row", "line_no", "k0", "k1").join(named, ["k0", "k1"]).drop("k0", "k1")
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("row") == F.col("class_row")) & (F.col("line_no") == F.col("class_line_no")))
     # Rows alike in id and text: only one of them keeps lines.

@@ -38,3 +38,16 @@ def test_lines_of_repeated_ids(spark):
     assert len(out) == 8
     assert sum(r.kept for r in out) == 6
     assert {r.doc_id for r in out if not r.kept} == {3, 4}
+
+
+def test_rows_whose_places_collide(spark, monkeypatch):
+    """Different lines at one place (same id, same number, equal digits of the row's hash) stay different classes."""
+    monkeypatch.setattr(line_dedup, "ROW_DIGITS", 0)
+    monkeypatch.setattr(line_dedup, "LINE_DIGITS", 18)
+    rng = random.Random(10)
+    rows = [(None, sentence(rng, 9)) for _ in range(30)] + [(7, sentence(rng, 9)) for _ in range(30)]
+    rows += [(8, rows[0][1] + "x"), (9, rows[31][1])]
+    out = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.kept for r in out) == 60
+    assert len({(r.class_doc_id, r.class_row, r.class_line_no) for r in out}) == 60
+    assert {r.doc_id for r in out if not r.kept} == {None, 9}
