@@ -37,6 +37,8 @@ BLOCK_BYTES = 8_000_000
 ROUNDS = 3
 #: Partitions of a round for each block: a partition gets about as many strings as one block has in a round.
 SPREAD = 0.3
+#: Groups in which the tasks' counts by bucket are added up before the driver adds those.
+SLOTS = 64
 
 # Digits, letters in lower case and all bytes of other characters stay; what isn't part of a word becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -223,19 +225,27 @@ def _counted(rows: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame],
     return blocks, [common.stored_by(_dictionary(_strings(blocks, parts, t), buckets), "dictionary", "block", cut) for t in range(ROUNDS)], parts
 
 
-def _by_bucket(dictionary: list[DataFrame], buckets: int) -> DataFrame:
-    """bucket and n, its number of occurrences; each task adds up its own first."""
+def _by_bucket(dictionary: list[DataFrame], buckets: int) -> np.ndarray:
+    """Occurrences of each bucket: each task adds up its own into one vector, then each of SLOTS groups of tasks, and the
+    driver adds those."""
+
+    def packed(total: np.ndarray) -> bytes:
+        return _zip(total.tobytes())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             at, n = (batch.column(c).flatten().to_numpy() for c in ("bucket", "n"))
             np.add.at(total, at, n)
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), pa.array([packed(total)], pa.binary())], names=["slot", "total"])
+
+    def merge(vectors: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(_unzip(v.as_py()), np.int64) for v in vectors.column("total")), np.zeros(buckets, np.int64))
+        return pa.table({"total": pa.array([packed(total)], pa.binary())})
 
-    own = [d.where("block < 0").select("bucket", "n").mapInArrow(add, "bucket long, n long") for d in dictionary]
-    return reduce(DataFrame.unionByName, own).groupBy("bucket").agg(F.sum("n").alias("n"))
+    own = [d.where("block < 0").select("bucket", "n").mapInArrow(add, "slot int, total binary") for d in dictionary]
+    merged = reduce(DataFrame.unionByName, own).groupBy("slot").applyInArrow(merge, "total binary").collect()
+    return sum((np.frombuffer(_unzip(bytes(r.total)), np.int64) for r in merged), np.zeros(buckets, np.int64))
 
 
 def _weights(blocks: DataFrame, dictionary: list[DataFrame], parts: int, gains: np.ndarray) -> DataFrame:
@@ -287,11 +297,7 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = 10_000, percent:
     have_rows, goal_rows = (x.select(i.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) for x, i in ((docs, F.col("doc_id")), (target, F.lit(0))))
     goal_blocks, goal, _ = _counted(goal_rows, buckets)
     have_blocks, have, parts = _counted(have_rows, buckets)
-    t, s = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for r in _by_bucket(goal, buckets).collect():
-        t[r.bucket] = r.n
-    for r in _by_bucket(have, buckets).collect():
-        s[r.bucket] = r.n
+    t, s = _by_bucket(goal, buckets), _by_bucket(have, buckets)
     all_t, all_s = int(t.sum()) + buckets, int(s.sum()) + buckets
     gains = np.array([math.floor(1000 * math.log((int(a) + 1) * all_s / ((int(b) + 1) * all_t))) for a, b in zip(t, s)], np.int64)
     weighed = common.stored(_weights(have_blocks, have, parts, gains), "weights")
