@@ -5,6 +5,8 @@ Candidates are rows: image_id, cand_id, image_w, image_h, x1, y1 .. x4, y4 (orde
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,39 +31,73 @@ def score(candidates: DataFrame, config: Config = Config()) -> DataFrame:
     q = G.corners()
     df = candidates.withColumns({"quad_area": G.area(q), "aspect_ratio": G.aspect_ratio(q), "rectangularity": G.rectangularity(q)})
     df = df.withColumn("area_ratio", F.col("quad_area") / (F.col("image_w") * F.col("image_h")))
-    off = F.least(F.abs(F.col("aspect_ratio") - config.aspect) / config.aspect_tolerance, F.lit(1.0))
-    total = (
-        config.area_weight * F.least(F.col("area_ratio") * 10.0, F.lit(1.0)) + config.aspect_weight * (1.0 - off)
-        + config.rectangularity_weight * F.col("rectangularity") + config.convexity_weight * F.col("convexity") + config.edge_weight * F.col("edge_strength")
+    return df.withColumn("score", total_score(F.col, config))
+
+
+def total_score(get: Callable[[str], Column], config: Config = Config()) -> Column:
+    """The score of a candidate whose figures get() names."""
+    off = F.least(F.abs(get("aspect_ratio") - config.aspect) / config.aspect_tolerance, F.lit(1.0))
+    return (
+        config.area_weight * F.least(get("area_ratio") * 10.0, F.lit(1.0)) + config.aspect_weight * (1.0 - off)
+        + config.rectangularity_weight * get("rectangularity") + config.convexity_weight * get("convexity") + config.edge_weight * get("edge_strength")
     )
-    return df.withColumn("score", total)
 
 
-def checks(config: Config = Config()) -> dict[str, Column]:
+def checks(config: Config = Config(), get: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """What a scored candidate can fail on its own figures."""
-    image = F.col("image_w") * F.col("image_h")
-    ar = F.col("aspect_ratio")
+    image = get("image_w") * get("image_h")
+    ar = get("aspect_ratio")
     return {
-        "bad_area": F.col("area_ratio") * image < image * config.min_area_fraction,
+        "bad_area": get("area_ratio") * image < image * config.min_area_fraction,
         "bad_aspect": (ar < config.aspect - config.aspect_tolerance) | (ar > config.aspect + config.aspect_tolerance),
-        "bad_rectangularity": F.col("rectangularity") < config.min_rectangularity,
-        "bad_convexity": F.col("convexity") < config.min_convexity,
+        "bad_rectangularity": get("rectangularity") < config.min_rectangularity,
+        "bad_convexity": get("convexity") < config.min_convexity,
     }
 
 
-def validate(scored: DataFrame, config: Config = Config()) -> DataFrame:
-    """Adds issues (texts in a fixed order) and is_valid."""
-    bad = checks(config)
+def all_issues(config: Config = Config(), get: Callable[[str], Column] = F.col) -> Column:
+    """What is wrong with a scored candidate, as texts in a fixed order."""
+    bad = checks(config, get)
     text = lambda f, *c: F.format_string(f, *c)
     lo, hi = config.aspect - config.aspect_tolerance, config.aspect + config.aspect_tolerance
     own = F.array_compact(F.array(
-        F.when(bad["bad_area"], text("Area too small (%.3f of image)", F.col("area_ratio"))),
-        F.when(bad["bad_aspect"], text(f"Aspect ratio %.2f outside acceptable range [{lo:.2f}, {hi:.2f}]", F.col("aspect_ratio"))),
-        F.when(bad["bad_rectangularity"], text("Rectangularity too low (%.2f)", F.col("rectangularity"))),
-        F.when(bad["bad_convexity"], text("Convexity too low (%.2f)", F.col("convexity"))),
+        F.when(bad["bad_area"], text("Area too small (%.3f of image)", get("area_ratio"))),
+        F.when(bad["bad_aspect"], text(f"Aspect ratio %.2f outside acceptable range [{lo:.2f}, {hi:.2f}]", get("aspect_ratio"))),
+        F.when(bad["bad_rectangularity"], text("Rectangularity too low (%.2f)", get("rectangularity"))),
+        F.when(bad["bad_convexity"], text("Convexity too low (%.2f)", get("convexity"))),
     ))
-    df = scored.withColumn("issues", F.concat(own, G.issues(G.corners(), F.col("image_w"), F.col("image_h"), config.min_corner_distance)))
-    return df.withColumn("is_valid", F.size("issues") == 0)
+    q = [(get(f"x{i}"), get(f"y{i}")) for i in range(1, 5)]
+    return F.concat(own, G.issues(q, get("image_w"), get("image_h"), config.min_corner_distance))
+
+
+def validate(scored: DataFrame, config: Config = Config()) -> DataFrame:
+    """Adds issues (texts in a fixed order) and is_valid."""
+    return scored.withColumn("issues", all_issues(config)).withColumn("is_valid", F.size("issues") == 0)
+
+
+def choose_in_row(candidates: Column, w: Column, h: Column, config: Config = Config()) -> Column:
+    """choose() for candidates that lie in an array beside their image of w x h pixels: one struct, and no shuffle.
+
+    candidates: structs of cand_id, corners, convexity and edge_strength. The struct has status, candidate_count,
+    best_candidate_score, cand_id, score, rectangularity, corners and failure_issues; it is null without candidates."""
+
+    def judged(c: Column) -> Column:
+        q = [(c[f"x{i}"], c[f"y{i}"]) for i in range(1, 5)]
+        area = G.area(q)
+        first = F.struct(*[c[n].alias(n) for n in ("cand_id", *CORNERS, "convexity", "edge_strength")], w.alias("image_w"), h.alias("image_h"), (area / (w * h)).alias("area_ratio"), G.aspect_ratio(q).alias("aspect_ratio"), G.rectangularity(q).alias("rectangularity"))
+        full = lambda x: F.struct((-total_score(lambda n: x[n], config)).alias("rank"), x["cand_id"].alias("cand_id"), *[x[n].alias(n) for n in (*CORNERS, "rectangularity")], all_issues(config, lambda n: x[n]).alias("issues"))
+        return G.let(first, full)
+
+    def chosen(all_of: Column) -> Column:
+        good = F.array_min(F.filter(all_of, lambda c: F.size(c["issues"]) == 0))
+        last = F.array_max(all_of)["issues"]
+        failed = F.when(F.lower(F.array_join(last, " ")).contains("area"), "card_too_small").otherwise("card_geometry_invalid")
+        return F.struct(
+            F.when(good.isNotNull(), "detected").otherwise(failed).alias("status"), F.size(all_of).cast("long").alias("candidate_count"), (-F.array_min(all_of)["rank"]).alias("best_candidate_score"), good["cand_id"].alias("cand_id"),
+            (-good["rank"]).alias("score"), good["rectangularity"].alias("rectangularity"), *[good[n].alias(n) for n in CORNERS], F.when(good.isNull(), last).alias("failure_issues"),
+        )
+
+    return F.when(F.size(candidates) > 0, G.let(F.transform(candidates, judged), chosen))
 
 
 def choose(validated: DataFrame) -> DataFrame:
@@ -103,12 +139,12 @@ def final_confidence(score: Column, rectangularity: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (1.0 - F.greatest(F.lit(0.0), 0.3 * (1.0 - rectangularity)))))
 
 
-def finish(chosen: DataFrame) -> DataFrame:
+def finish(chosen: DataFrame, config: Config = Config()) -> DataFrame:
     """Adds the bounding box and the final confidence to detected cards; corners that fail in the original image turn the
     status into card_geometry_invalid."""
     q = G.corners()
     found = F.col("status") == "detected"
-    bad = found & (F.size(G.issues(q, F.col("image_w"), F.col("image_h"))) > 0)
+    bad = found & (F.size(G.issues(q, F.col("image_w"), F.col("image_h"), config.min_corner_distance)) > 0)
     df = chosen.withColumn("status", F.when(bad, "card_geometry_invalid").otherwise(F.col("status")))
     found = F.col("status") == "detected"
     box = {k: F.when(found, v).cast("long") for k, v in G.bounds(q).items()}
@@ -134,4 +170,4 @@ def detect(candidates: DataFrame, config: Config = Config(), sized: DataFrame |
     """Score, validate, choose and finish: one shuffle, by image. With sized, corners are taken to the original images
     before they are finished."""
     chosen = choose(validate(score(candidates, config), config))
-    return finish(chosen if sized is None else in_images(chosen, sized, config))
+    return finish(chosen if sized is None else in_images(chosen, sized, config), config)

@@ -34,7 +34,34 @@ def process_images(images: DataFrame, candidates: DataFrame, config: Config = Co
     whole = detection.full_frame(sized, candidates, config).join(sized, "image_id")
     frame = whole.select("image_id", "status", "confidence", "image_w", "image_h", *[F.when(F.col("status") == "full_frame_card_fallback", v).cast("double").alias(n) for n, v in zip(detection.CORNERS, [F.lit(0), F.lit(0), F.col("image_w"), F.lit(0), F.col("image_w"), F.col("image_h"), F.lit(0), F.col("image_h")])])
     cards = found.select("image_id", "status", "confidence", "image_w", "image_h", *detection.CORNERS).unionByName(frame)
-    cards = cards.join(images.select("image_id", "height", "width", "channels", "data"), "image_id")
+    return _fields(cards.join(images.select("image_id", "height", "width", "channels", "data"), "image_id"), config)
+
+
+def process_rows(images: DataFrame, config: Config = Config()) -> DataFrame:
+    """process_images() for images that carry their outlines: image_id, height, width, channels, data and candidates, an
+    array of structs of cand_id, corners (in the shrunk image), convexity and edge_strength, null or empty for none.
+
+    Every step is a projection of the image's row, so pixels are never shuffled; only figures leave it."""
+    w, h = F.col("width").cast("long"), F.col("height").cast("long")
+    shrunk = G.detection_scale(w, h, config.detection_max_dim)
+    # Generators keep the planner from copying what they make into every later filter and column.
+    df = images.withColumn("found", F.explode(F.array(detection.choose_in_row(F.col("candidates"), shrunk["scaled_w"], shrunk["scaled_h"], config))))
+    none = F.col("found").isNull()
+    near = F.abs(F.when(h > 0, w / h).otherwise(0.0) - config.aspect) <= 2 * config.aspect_tolerance
+    frame = dict(zip(detection.CORNERS, [F.lit(0), F.lit(0), w, F.lit(0), w, h, F.lit(0), h]))
+    corners = {c: F.when(none, F.when(near, frame[c]).cast("double")).otherwise(F.col(f"found.{c}") * shrunk["scale"]) for c in detection.CORNERS}
+    df = df.select(
+        "image_id", "height", "width", "channels", "data", w.alias("image_w"), h.alias("image_h"), F.when(none, F.when(near, "full_frame_card_fallback").otherwise("card_not_detected")).otherwise(F.col("found.status")).alias("status"),
+        F.when(none, F.when(near, 0.3).otherwise(0.0)).otherwise(F.col("found.best_candidate_score")).alias("best_candidate_score"), F.col("found.score").alias("score"), F.col("found.rectangularity").alias("rectangularity"), *[v.alias(k) for k, v in corners.items()],
+    )
+    pixels_of = ["image_id", "height", "width", "channels", "data"]
+    figures = ["status", "confidence", "image_w", "image_h", *detection.CORNERS]
+    done = detection.finish(df.select(*pixels_of, F.explode(F.array(F.struct(*[c for c in df.columns if c not in pixels_of]))).alias("f")).select(*pixels_of, "f.*"), config)
+    return _fields(done.select(*pixels_of, F.explode(F.array(F.struct(*figures))).alias("f")).select(*pixels_of, "f.*"), config)
+
+
+def _fields(cards: DataFrame, config: Config) -> DataFrame:
+    """Rectification and localization of cards with pixels, status, confidence and corners; narrow."""
     cards = cards.withColumn("matrix", F.when(F.col("x1").isNotNull(), G.homography(G.corners(), config.width, config.height)))
     cards = cards.withColumn("warp", pixels.warped(F.col("data"), F.col("height"), F.col("width"), F.col("channels"), F.col("matrix"), config.width, config.height))
     cards = rectification.rectify(cards.withColumn("border_quality", F.coalesce("warp.border_quality", F.lit(0.0))), config)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import rasters as R
-from .operators import localization
-from .registry import query, rnd
+from .operators import detection, localization
+from .plans import cards as plans
+from .registry import _REG, D_CONF, D_KIND, query, rnd
 
 WIDTH, GROUP = 32, 16
 #: image_id, idx (place in the image), r, c, gray, h.
@@ -125,3 +127,44 @@ def f1_prepared_crops(spark, d):
     df = df.withColumn("crop", R.crop(F.col("values"), F.col("width"), _box()))
     made = R.prepared(F.col("crop"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("f.field_name"))
     return df.select("image_id", F.col("f.field_name").alias("field_name"), F.array_join(made.cast("array<string>"), " ").alias("pixels"))
+
+
+# -- images to fields -------------------------------------------------------------------------------------------------
+# A canvas as large as the outline makes the perspective a plain shift, which SQL can follow pixel by pixel.
+
+CANVAS = Config(width=24, height=15, min_corner_distance=5.0)
+_SCORE = "(0.25E0 * least(322.0E0 / 1024.0E0 * 10.0E0, 1.0E0) + 0.2E0 * (1.0E0 - least(abs(23.0E0 / 14.0E0 - 1.587E0) / 0.3E0, 1.0E0)) + 0.25E0 + 0.15E0 * 0.9E0 + 0.15E0 * 0.5E0)"
+F7 = f"""WITH {_PIXELS}, dim AS (SELECT DISTINCT image_id, h FROM pix), reg(field_name, rx1, ry1, rx2, ry2, refinement, ear) AS (VALUES {_REG}),
+canon AS (SELECT image_id AS card_id, r - image_id % 7 AS r, c - image_id % 8 AS c, gray FROM pix WHERE h = 32 AND image_id % 5 NOT IN (1, 2) AND r - image_id % 7 BETWEEN 0 AND 14 AND c - image_id % 8 BETWEEN 0 AND 23),
+rc AS (SELECT card_id, {_SCORE} * 0.7E0 * 0.8E0 * (0.8E0 + 0.2E0 * least(1.0E0, (var_pop(gray) FILTER (WHERE r < 5) + var_pop(gray) FILTER (WHERE r >= 10) + var_pop(gray) FILTER (WHERE c < 5) + var_pop(gray) FILTER (WHERE c >= 19)) / 4.0E0 / 5000.0E0)) AS rect_confidence FROM canon GROUP BY card_id),
+p AS (SELECT card_id, rect_confidence, field_name, refinement, ear, CAST(trunc(rx1 * 24) AS BIGINT) AS ix1, CAST(trunc(ry1 * 15) AS BIGINT) AS iy1, CAST(trunc(rx2 * 24) AS BIGINT) AS ix2, CAST(trunc(ry2 * 15) AS BIGINT) AS iy2 FROM rc, reg),
+st AS (SELECT *, CASE WHEN k <= 4 THEN greatest(0, ix1 - 5 * k) ELSE least(24, ix1 + 3 * (k - 4)) END AS x1, CASE WHEN k <= 4 THEN greatest(0, iy1 - 5 * k) ELSE least(15, iy1 + 3 * (k - 4)) END AS y1,
+  CASE WHEN k <= 4 THEN least(24, ix2 + 5 * k) ELSE greatest(0, ix2 - 3 * (k - 4)) END AS x2, CASE WHEN k <= 4 THEN least(15, iy2 + 5 * k) ELSE greatest(0, iy2 - 3 * (k - 4)) END AS y2 FROM p, (SELECT unnest(range(0, 8)) AS k) kk WHERE ix1 < ix2 AND iy1 < iy2),
+ok AS (SELECT * FROM st WHERE x1 < x2 AND y1 < y2), g AS (SELECT s.card_id, field_name, k, gray, count(*) AS m FROM ok s JOIN canon q ON q.card_id = s.card_id AND q.r >= y1 AND q.r < y2 AND q.c >= x1 AND q.c < x2 GROUP BY ALL),
+u AS (SELECT card_id, field_name, k, gray, CAST(sum(m) OVER w AS DOUBLE) AS below, CAST(sum(m * gray) OVER w AS DOUBLE) AS mass FROM g WINDOW w AS (PARTITION BY card_id, field_name, k ORDER BY gray)),
+t AS (SELECT *, max(mass) OVER (PARTITION BY card_id, field_name, k) AS total, max(below) OVER (PARTITION BY card_id, field_name, k) AS n FROM u),
+o AS (SELECT card_id, field_name, k, CASE WHEN below < n THEN (n - below) / n WHEN gray > 0 THEN 1.0E0 ELSE 0.0E0 END AS d, row_number() OVER (PARTITION BY card_id, field_name, k ORDER BY CASE WHEN below < n THEN (total * below - mass * n) * (total * below - mass * n) / (below * (n - below)) ELSE -1 END DESC, gray) AS rn FROM t),
+sd AS (SELECT ok.*, d FROM ok JOIN o ON o.card_id = ok.card_id AND o.field_name = ok.field_name AND o.k = ok.k AND rn = 1), sc AS (SELECT *, {D_KIND} AS score FROM sd),
+rk AS (SELECT *, row_number() OVER (PARTITION BY card_id, field_name ORDER BY score DESC, k) AS rn, max(CASE WHEN k = 0 THEN d END) OVER (PARTITION BY card_id, field_name) AS density FROM sc),
+rf AS (SELECT card_id, rect_confidence, field_name, density, CASE WHEN score > 0 THEN x1 ELSE ix1 END AS bx1, CASE WHEN score > 0 THEN y1 ELSE iy1 END AS by1, CASE WHEN score > 0 THEN x2 ELSE ix2 END AS bx2, CASE WHEN score > 0 THEN y2 ELSE iy2 END AS by2 FROM rk WHERE rn = 1),
+ra AS (SELECT *, (bx2 - bx1) / (by2 - by1) AS ar, CAST((bx2 - bx1) * (by2 - by1) AS DOUBLE) AS area FROM rf), cf AS (SELECT *, {D_CONF.replace("630", "15")} AS conf FROM ra)
+SELECT card_id, field_name, CASE WHEN rect_confidence < 0.5 THEN 'rectification_low_confidence' ELSE 'success' END AS rect_status, CAST(NULL AS VARCHAR) AS rect_failure, round(rect_confidence, 9) AS rect_confidence, round(density, 9) AS density, bx1, by1, bx2, by2, round(conf, 9) AS loc_confidence, CASE WHEN conf >= 0.5 THEN 'localized' ELSE 'field_localization_uncertain' END AS loc_status FROM cf
+UNION ALL SELECT image_id, NULL, 'rectification_failed', CASE WHEN h = 32 AND image_id % 5 = 1 THEN 'Cannot rectify: card detection status is card_geometry_invalid' WHEN abs(32.0E0 / h - 1.587E0) > 0.6E0 THEN 'Cannot rectify: card detection status is card_not_detected' ELSE 'Rectification confidence critically low' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dim WHERE h <> 32 OR image_id % 5 IN (1, 2)"""
+
+
+def outlined(spark: SparkSession, d: str) -> DataFrame:
+    """The images with their pixels as bytes, and with outlines: a sound one, one that is too long, or none."""
+    i = F.col("image_id")
+    box = lambda n, x1, y1, x2, y2, convexity: F.struct(F.lit(n).cast("long").alias("cand_id"), *[v.cast("double").alias(c) for c, v in zip(detection.CORNERS, (x1, y1, x2, y1, x2, y2, x1, y2))], F.lit(convexity).alias("convexity"), F.lit(0.5).alias("edge_strength"))
+    good, long = box(1, i % 8, i % 7, i % 8 + 23, i % 7 + 14, 0.9), box(2, F.lit(0), F.lit(0), F.lit(30), F.lit(3), 0.95)
+    full = F.col("height") == 32
+    found = F.when(full & (i % 5 == 1), F.array(long)).when(full & ~(i % 5).isin(1, 2), F.when(i % 3 == 0, F.array(long, good)).otherwise(F.array(good)))
+    data = F.unhex(F.array_join(F.transform("values", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return images(spark, d).select("image_id", "height", "width", F.lit(1).alias("channels"), data.alias("data"), found.alias("candidates"))
+
+
+@query("f7_fields", F7)
+def f7_fields(spark, d):
+    """From pixels and outlines to localized fields, all within an image's row."""
+    df = plans.process_rows(outlined(spark, d), CANVAS)
+    return df.select("card_id", "field_name", "rect_status", "rect_failure", rnd("rect_confidence", 9).alias("rect_confidence"), rnd("density", 9).alias("density"), "bx1", "by1", "bx2", "by2", rnd("loc_confidence", 9).alias("loc_confidence"), "loc_status")

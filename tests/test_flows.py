@@ -24,6 +24,29 @@ def test_images_to_fields(spark):
     assert [r.rect_status for r in out if r.card_id == 3] == ["rectification_failed"]
 
 
+def test_rows_equal_joined_images(spark):
+    """Images that carry their outlines give the same fields as a table of outlines beside them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(6):
+        a = np.full((500, 800), 240, np.uint8)
+        a[60:440, 100:700] = rng.integers(0, 255, (380, 600))
+        rows.append((i, 500, 800, 1, bytearray(a.tobytes())))
+    rows += [(6, 1200, 2000, 1, bytearray(np.full((1200, 2000), 90, np.uint8).tobytes())), (7, None, None, None, None)]
+    im = spark.createDataFrame(rows, "image_id long, height int, width int, channels int, data binary")
+    good, small, bent = [100.0, 60.0, 700.0, 60.0, 700.0, 440.0, 100.0, 440.0], [10.0, 10.0, 90.0, 10.0, 90.0, 60.0, 10.0, 60.0], [100.0, 60.0, 700.0, 60.0, 300.0, 100.0, 100.0, 440.0]
+    made = {0: [good], 1: [small, good], 2: [small], 3: [bent], 4: [good, good], 6: [[200.0, 100.0, 1100.0, 100.0, 1100.0, 660.0, 200.0, 660.0]]}
+    names = [f"{c}{i}" for i in range(1, 5) for c in "xy"]
+    cand = spark.createDataFrame([(i, k + 1, 1280 if i == 6 else 800, 768 if i == 6 else 500, *q, 0.9, 0.4) for i, qs in made.items() for k, q in enumerate(qs)], "image_id long, cand_id long, image_w long, image_h long, " + ", ".join(f"{n} double" for n in names) + ", convexity double, edge_strength double")
+    nested = cand.groupBy("image_id").agg(F.collect_list(F.struct("cand_id", *names, "convexity", "edge_strength")).alias("candidates"))
+    cols = ["card_id", "field_name", "rect_status", "rect_failure", "rect_confidence", "density", "bx1", "by1", "bx2", "by2", "loc_confidence"]
+    one = sorted(map(str, cards.process_rows(im.join(nested, "image_id", "left")).select(*cols).collect()))
+    assert one == sorted(map(str, cards.process_images(im, cand).select(*cols).collect()))
+    assert len(one) == 6 * 4 + 4
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.png").write_bytes(b"no image")
     r = images.read_images(spark, str(tmp_path)).first()

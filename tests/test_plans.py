@@ -50,3 +50,13 @@ def test_scans_are_pruned(spark):
     with contextlib.redirect_stdout(out):
         registry.queries()["w3_refine"](spark, "/root/testdata/sf0.001").explain("formatted")
     assert "ReadSchema: struct<o_orderkey:bigint>" in out.getvalue()
+
+
+def test_pixels_are_not_shuffled(spark):
+    """Between an image's row and its fields there is no exchange at all."""
+    from kartwerk.plans import cards
+
+    corners = ", ".join(f"{c}{i}: double" for i in range(1, 5) for c in "xy")
+    images = spark.createDataFrame([], f"image_id long, height int, width int, channels int, data binary, candidates array<struct<cand_id: long, {corners}, convexity: double, edge_strength: double>>")
+    plan = cards.process_rows(images)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
