@@ -583,4 +583,22 @@ def s5_export(spark, d):
     return sinks.to_document(df, {"normalized_fields": "map", "raw_fields": "map", "fields": "map"}).select("card_id", "json")
 
 
+# the document, read back from its text
+@query("s5_document", F3 + f"""SELECT s.card_id, status, nullif(nid, '') AS nid, nullif(raw_gender, '') AS raw_gender, status = 'valid' AS is_valid, nullif({ERRORS}, '') AS errors, overall AS overall_status, CAST(k_no AS BIGINT) AS conflict_count, round(CAST(ws AS DOUBLE) / CAST(w AS DOUBLE), 6) AS confidence, s_dob AS dob_check, nullif(t_gov, '') AS governorate_details, dob_status, CAST(NULL AS VARCHAR) AS total_time_ms
+FROM summed s JOIN (SELECT card_id, max(CASE WHEN field_name = 'gender' THEN raw END) AS raw_gender, max(CASE WHEN field_name = 'dob' THEN CASE WHEN coalesce({FIELD}, '') <> '' THEN 'extracted' ELSE 'ocr_failed' END END) AS dob_status
+  FROM (SELECT card_id, field_name, text AS raw, row_number() OVER (PARTITION BY card_id, field_name ORDER BY ocr_confidence DESC, idx) AS rn FROM ({WIDE}) o) z WHERE rn = 1 GROUP BY card_id) r ON r.card_id = s.card_id""")
+def s5_document(spark, d):
+    from .sources import sinks
+
+    texts = fixtures.ocr_candidates(spark, d)
+    df = sinks.card_documents(ocr.extract(texts, compose=False), plans.cards_from_texts(texts, AS_OF, compose=False))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    errors = F.array_join(F.from_json(at("validation_results.nid.errors"), "array<string>"), " | ")
+    return df.select(
+        "card_id", at("status").alias("status"), at("normalized_fields.nid").alias("nid"), at("raw_fields.gender").alias("raw_gender"), at("validation_results.nid.is_valid").cast("boolean").alias("is_valid"), errors.alias("errors"),
+        at("consistency_result.overall_status").alias("overall_status"), at("consistency_result.conflict_count").cast("long").alias("conflict_count"), rnd(at("consistency_result.confidence").cast("double")).alias("confidence"),
+        at("consistency_result.checks.dob.status").alias("dob_check"), at("consistency_result.checks.governorate.details").alias("governorate_details"), at("fields.dob.status").alias("dob_status"), at("metrics.total_time_ms").alias("total_time_ms"),
+    )
+
+
 from . import registry_rasters  # noqa: E402, F401  its queries join the ones above

@@ -36,6 +36,31 @@ def export_fields(fields: DataFrame) -> DataFrame:
     return per.withColumns({"normalized_fields": pick("normalized_value"), "raw_fields": pick("raw_value")})
 
 
+METRICS = ["card_detection_time_ms", "rectification_time_ms", "total_time_ms"]
+
+
+def card_documents(fields: DataFrame, cards: DataFrame, name: str = "json") -> DataFrame:
+    """card_id and the whole result document of each card as JSON: status, normalized_fields, raw_fields,
+    validation_results, consistency_result, metrics and fields. Empty texts, lists and maps are left out, as are parts that
+    a card doesn't have.
+
+    fields: the long table of extracted fields; cards: one row a card with the number's verdict and the checks, and with
+    the metrics' columns where there are any. One join by card, both sides grouped by it already."""
+    had = [c for c in METRICS if c in cards.columns]
+    kind = lambda c: "array" if c.endswith(("errors", "warnings", "recommendations", "fields")) else "string" if c.endswith(("status", "details", "summary")) else "value"
+    part = lambda names, cut="": F.struct(*[truthy(F.col(c), kind(c)).alias(c.removeprefix(cut)) for c in names])
+    verdict = [f"nid_{c}" for c in ("is_valid", "format_valid", "date_valid", "governorate_valid", "errors", "warnings")]
+    checks = F.struct(*[F.struct(truthy(F.col(f"{c}_status"), "string").alias("status"), truthy(F.col(f"{c}_details"), "string").alias("details")).alias(c) for c in ("dob", "gender", "governorate")])
+    figures = ["overall_status", "consistent_count", "conflict_count", "unknown_count", "has_conflicts", "confidence", "conflicting_fields", "recommendations", "summary"]
+    figures_of = part(figures)
+    document = F.struct(
+        truthy(F.col("nid_status"), "string").alias("status"), *[truthy(F.col(c), "map").alias(c) for c in ("normalized_fields", "raw_fields")],
+        F.struct(part(verdict, "nid_").alias("nid")).alias("validation_results"), F.struct(*[figures_of[c].alias(c) for c in figures], checks.alias("checks")).alias("consistency_result"),
+        *([part(had).alias("metrics")] if had else []), truthy(F.col("fields"), "map").alias("fields"),
+    )
+    return cards.join(export_fields(fields), "card_id").select("card_id", F.to_json(document).alias(name))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 

@@ -81,6 +81,23 @@ def test_documents(spark):
     assert sinks.health(spark).first().status == "healthy" and sinks.system_status(spark).first().canonical_size == "1000x630"
 
 
+def test_card_documents(spark):
+    """The whole document of a card: nested parts, metrics where there are any, and nothing empty."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "nid", 1, "29001010112345", 0.9), (1, "gender", 1, "", 0.4), (1, "dob", 1, "1990-01-01", 0.8), (2, "name", 1, " ", 0.2)]
+    c = spark.createDataFrame(texts, "card_id long, field_name string, idx long, text string, ocr_confidence double")
+    made = cards.cards_from_texts(c, "2026-01-01", compose=False).withColumn("total_time_ms", F.lit(12.5))
+    docs = {r.card_id: json.loads(r.json) for r in sinks.card_documents(ocr.extract(c, compose=False), made).collect()}
+    one, two = docs[1], docs[2]
+    assert one["status"] == "valid" and one["normalized_fields"] == {"nid": "29001010112345", "dob": "1990-01-01"}
+    assert one["validation_results"]["nid"]["is_valid"] is True and "errors" not in one["validation_results"]["nid"]
+    assert one["consistency_result"]["checks"]["dob"] == {"status": "consistent", "details": "Dates match"}
+    assert one["metrics"] == {"total_time_ms": 12.5}
+    assert one["fields"]["gender"]["status"] == "ocr_failed" and one["raw_fields"] == {"nid": "29001010112345", "dob": "1990-01-01"}
+    assert "normalized_fields" not in two and set(two["fields"]) == {"name"}
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("KARTWERK_DEBUG", "yes")
     reset_config()
