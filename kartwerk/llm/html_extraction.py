@@ -183,9 +183,8 @@ class Labeller:
 
 
 def learn(pages: DataFrame, seed: int = 7) -> Labeller:
-    """A labeller from at most SAMPLE pages of at most SAMPLE_CHARS characters, the different ones with the
-    smallest hashes. Without any
-    page it is trained on generated layouts with built-in words."""
+    """A labeller from at most SAMPLE pages of at most SAMPLE_CHARS characters, the different ones with the smallest
+    hashes. Without any page it is trained on generated layouts with built-in words."""
     short = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= SAMPLE_CHARS).withColumn("key", F.xxhash64("html"))
     # Only hashes are ranked; pages travel once their last hash is known, each different one once.
     last = short.select("key").distinct().orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
