@@ -74,6 +74,28 @@ def recognize(crops: DataFrame, name: str = "fallback", make: Callable[[], Engin
     return crops.select("card_id", "field_name", "image").mapInPandas(run, "card_id long, field_name string, idx long, text string, ocr_confidence double, bbox array<int>")
 
 
+def reader(name: str = "fallback", make: Callable[[], Engine] = FallbackEngine):
+    """The engine as a table function of an image: a row (idx, text, ocr_confidence, bbox) for each recognised text. The
+    engine is made once for a worker; an image that it fails on, and a null one, yields no row."""
+
+    class Reader:
+        def eval(self, image):
+            engine = get_engine(name, make)
+            try:
+                found = engine.recognize(bytes(image)) if image is not None and engine.is_initialized() else []
+            except Exception:  # noqa: BLE001  an unreadable crop is no text
+                found = []
+            for i, (text, confidence, bbox) in enumerate(found):
+                yield i + 1, text, float(confidence), list(bbox)
+
+    return F.udtf(Reader, returnType="idx int, text string, ocr_confidence double, bbox array<int>", useArrow=True)
+
+
+def read(crops: DataFrame, name: str = "fallback", make: Callable[[], Engine] = FallbackEngine, image: str = "image") -> DataFrame:
+    """crops, all columns kept, beside each text that is recognised in them: a lateral join with reader()."""
+    return crops.lateralJoin(reader(name, make)(F.col(image).outer()))
+
+
 def best(candidates: DataFrame) -> DataFrame:
     """The most confident text of each field of a card; the first one wins ties. Combined before the shuffle."""
     rank = F.struct((-F.col("ocr_confidence")).alias("c"), "idx")

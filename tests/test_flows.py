@@ -66,6 +66,29 @@ def test_engines(spark):
     assert ocr.recognize(crops, "reader", Reader).first().text == "12"
 
 
+def test_reader_beside_its_crops(spark):
+    """A lateral join keeps the crops' columns; failures and null images give no rows."""
+
+    class Words(ocr.FallbackEngine):
+        made = 0
+
+        def initialize(self):
+            Words.made += 1
+            return True
+
+        def recognize(self, image):
+            text = image.decode()
+            if text == "bad":
+                raise ValueError(text)
+            return [(w, 1 / (i + 1 + Words.made), [i, 0, i + 1, 1]) for i, w in enumerate(text.split())]
+
+    rows = [(1, "nid", "x", bytearray(b"12 34")), (2, "dob", "y", bytearray(b"bad")), (3, "dob", "z", None), (4, "name", None, bytearray(b"")), (5, "name", "v", bytearray(b"ab"))]
+    crops = spark.createDataFrame(rows, "card_id long, field_name string, note string, image binary").repartition(1)
+    out = sorted((r.card_id, r.note, r.idx, r.text, r.ocr_confidence, r.bbox) for r in ocr.read(crops, "words", Words).collect())
+    assert out == [(1, "x", 1, "12", 0.5, [0, 0, 1, 1]), (1, "x", 2, "34", 1 / 3, [1, 0, 2, 1]), (5, "v", 1, "ab", 0.5, [0, 0, 1, 1])]
+    assert ocr.read(crops).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     fixtures.card_reads(spark, d).limit(50).write.parquet(str(tmp_path / "in"))
