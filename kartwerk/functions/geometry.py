@@ -19,6 +19,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def apart(value: Column) -> Column:
+    """value itself, which should be a plain column. The lambda keeps a projection out of whole-stage code, where hundreds of
+    terms make one method that is too large for the JVM to compile; outside it they become small methods, and equal terms
+    are computed once. What a lambda is given is interpreted, so large terms belong beside it and not in it."""
+    return let(value, lambda v: v)
+
+
 def corners(prefix: str = "") -> list[Point]:
     return [(F.col(f"{prefix}x{i}"), F.col(f"{prefix}y{i}")) for i in range(1, 5)]
 
@@ -158,41 +165,59 @@ def ordered(points: list[Point]) -> list[Column]:
     return [p[c] for p in seq for c in ("x", "y")]
 
 
-def issues(q: list[Point], w: Column, h: Column, closest: float = 50.0, most_deviation: float = 45.0) -> Column:
-    """What is wrong with a quadrilateral in an image, in a fixed order."""
+def flaws(q: list[Point], w: Column, h: Column, closest: float = 50.0, most_deviation: float = 45.0) -> list[tuple[Column, Column]]:
+    """What can be wrong with a quadrilateral in an image, in a fixed order: whether it is (null: no), and the text that says so."""
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
-    out = [F.when(~is_convex(q), "Corners do not form a convex quadrilateral"), F.when(~is_convex(q), "Corner edges self-intersect")]
+    out = [(~is_convex(q), F.lit("Corners do not form a convex quadrilateral")), (~is_convex(q), F.lit("Corner edges self-intersect"))]
     for i, (x, y) in enumerate(q):
-        out.append(F.when((x < 0) | (x > w), text(f"Corner {i} x-coordinate (", x, ") outside image bounds [0, ", w, "]")))
-        out.append(F.when((y < 0) | (y > h), text(f"Corner {i} y-coordinate (", y, ") outside image bounds [0, ", h, "]")))
+        out.append(((x < 0) | (x > w), text(f"Corner {i} x-coordinate (", x, ") outside image bounds [0, ", w, "]")))
+        out.append(((y < 0) | (y > h), text(f"Corner {i} y-coordinate (", y, ") outside image bounds [0, ", h, "]")))
     for i in range(4):
         for j in range(i + 1, 4):
             d = distance(q[i], q[j])
-            out.append(F.when(d < closest, text(f"Corners {i} and {j} are too close (", F.format_string("%.1f", d), f"px < {closest:.0f}px)")))
+            out.append((d < closest, text(f"Corners {i} and {j} are too close (", F.format_string("%.1f", d), f"px < {closest:.0f}px)")))
     for i, a in enumerate(angles(q)):
-        out.append(F.when(F.abs(a - 90.0) > most_deviation, text(f"Corner {i} angle (", F.format_string("%.1f", a), "°) deviates too much from 90°")))
-    return F.array_compact(F.array(*out))
+        out.append((F.abs(a - 90.0) > most_deviation, text(f"Corner {i} angle (", F.format_string("%.1f", a), "°) deviates too much from 90°")))
+    return out
+
+
+def texts(found: list[tuple[Column, Column]]) -> Column:
+    """The texts of those flaws that are there."""
+    return F.concat(*[F.when(bad, F.array(text)).otherwise(F.array().cast("array<string>")) for bad, text in found])
+
+
+def number(found: list[tuple[Column, Column]]) -> Column:
+    """How many of these flaws are there; no text is made."""
+    return reduce(lambda a, b: a + b, [F.when(bad, 1).otherwise(0) for bad, _ in found])
+
+
+def issues(q: list[Point], w: Column, h: Column, closest: float = 50.0, most_deviation: float = 45.0) -> Column:
+    """What is wrong with a quadrilateral in an image, in a fixed order."""
+    return texts(flaws(q, w, h, closest, most_deviation))
 
 
 # -- perspective ------------------------------------------------------------------------------------------------------
 
 
-def homography(q: list[Point], width: int = 1000, height: int = 630) -> Column:
-    """Row-major 3 x 3 matrix, its last element 1, that takes the corners (as single-precision numbers) to those of a
-    width x height canvas. Null where three corners are in line or no such matrix exists.
+def projection(q: list[Point], width: int = 1000, height: int = 630) -> list[Column]:
+    """Row-major 3 x 3 matrix, up to a factor, that takes the corners (as single-precision numbers) to those of a width x
+    height canvas; null where three corners are in line.
+
+    Each side opposite a corner of the first three is a line's equation, scaled to 1 at the fourth corner; the rows are
+    sums of these. The order of operations decides the last bits, which show where an element is rounded at a tie."""
+    e, f, g, t = [(x.cast("float").cast("double"), y.cast("float").cast("double")) for x, y in q]
+    det = lambda a, b, c: a[0] * (b[1] - c[1]) - a[1] * (b[0] - c[0]) + (b[0] * c[1] - c[0] * b[1])
+    line = lambda a, b, by: [F.try_divide(v, by) for v in (a[1] - b[1], b[0] - a[0], a[0] * b[1] - a[1] * b[0])]
+    p, s, r = line(f, g, det(t, f, g)), line(g, e, det(e, t, g)), line(e, f, det(e, f, t))
+    return [(width - 1.0) * (r[i] - s[i]) for i in range(3)] + [(height - 1.0) * r[i] for i in range(3)] + [p[i] - s[i] + r[i] for i in range(3)]
 
-    The map from the unit square to the corners has a closed form; its inverse, scaled to the canvas, is the result."""
-    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(x.cast("float").cast("double"), y.cast("float").cast("double")) for x, y in q]
+
+def homography(q: list[Point], width: int = 1000, height: int = 630) -> Column:
+    """projection() with its last element 1. Null where three corners are in line or no such matrix exists."""
     turn = lambda a, b, c: (q[b][0] - q[a][0]) * (q[c][1] - q[a][1]) - (q[b][1] - q[a][1]) * (q[c][0] - q[a][0])
     bent = reduce(lambda a, b: a & b, [turn(i, (i + 1) % 4, (i + 2) % 4) != 0 for i in range(4)])
-    ux, uy, vx, vy, sx, sy = x1 - x2, y1 - y2, x3 - x2, y3 - y2, x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
-    det = ux * vy - vx * uy
-    g, h = F.try_divide(sx * vy - vx * sy, det), F.try_divide(ux * sy - sx * uy, det)
-    a, b, d, e = x1 - x0 + g * x1, x3 - x0 + h * x3, y1 - y0 + g * y1, y3 - y0 + h * y3
-    last = a * e - b * d
-    rows = [(e - y0 * h, x0 * h - b, b * y0 - x0 * e), (y0 * g - d, a - x0 * g, x0 * d - a * y0), (d * h - e * g, b * g - a * h, last)]
-    made = [F.try_divide(x * k, last) for r, k in zip(rows, (width - 1.0, height - 1.0, 1.0)) for x in r]
-    return F.when(bent & (last != 0), F.array(*made))
+    rows = projection(q, width, height)
+    return F.when(bent & (rows[8] != 0), F.array(*[F.try_divide(x, rows[8]) for x in rows]))
 
 
 def transform_point(m: list[Column], x: Column, y: Column) -> Point:
@@ -200,12 +225,17 @@ def transform_point(m: list[Column], x: Column, y: Column) -> Point:
     return (m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w
 
 
+def adjugate(m: list[Column]) -> list[Column]:
+    """Adjugate of a 3 x 3 matrix: its inverse but for a factor, which transform_point() divides out."""
+    a, b, c, d, e, f, g, h, i = m
+    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+
+
 def inverse(m: list[Column]) -> list[Column]:
     """Inverse of a 3 x 3 matrix by its adjugate."""
     a, b, c, d, e, f, g, h, i = m
     det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-    adj = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
-    return [x / det for x in adj]
+    return [x / det for x in adjugate(m)]
 
 
 def map_bbox(m: list[Column], box: list[Column], width: Column, height: Column) -> list[Column]:
