@@ -39,7 +39,7 @@ def total_score(get: Callable[[str], Column], config: Config = Config()) -> Colu
     off = F.least(F.abs(get("aspect_ratio") - config.aspect) / config.aspect_tolerance, F.lit(1.0))
     return (
         config.area_weight * F.least(get("area_ratio") * 10.0, F.lit(1.0)) + config.aspect_weight * (1.0 - off)
-        + config.rectangularity_weight * get("rectangularity") + config.convexity_weight * get("convexity") + config.edge_weight * get("edge_strength")
+        + config.rectangularity_weight * get("rectangularity") + config.convexity_weight * get("convexity") + config.edge_weight * G.apart(get("edge_strength"))
     )
 
 
@@ -51,28 +51,35 @@ def checks(config: Config = Config(), get: Callable[[str], Column] = F.col) -> d
         "bad_area": get("area_ratio") * image < image * config.min_area_fraction,
         "bad_aspect": (ar < config.aspect - config.aspect_tolerance) | (ar > config.aspect + config.aspect_tolerance),
         "bad_rectangularity": get("rectangularity") < config.min_rectangularity,
-        "bad_convexity": get("convexity") < config.min_convexity,
+        "bad_convexity": G.apart(get("convexity")) < config.min_convexity,
     }
 
 
-def all_issues(config: Config = Config(), get: Callable[[str], Column] = F.col) -> Column:
-    """What is wrong with a scored candidate, as texts in a fixed order."""
+def flaws(config: Config = Config(), get: Callable[[str], Column] = F.col) -> list[tuple[Column, Column]]:
+    """What can be wrong with a scored candidate, in a fixed order: whether it is, and the text that says so."""
     bad = checks(config, get)
     text = lambda f, *c: F.format_string(f, *c)
     lo, hi = config.aspect - config.aspect_tolerance, config.aspect + config.aspect_tolerance
-    own = F.array_compact(F.array(
-        F.when(bad["bad_area"], text("Area too small (%.3f of image)", get("area_ratio"))),
-        F.when(bad["bad_aspect"], text(f"Aspect ratio %.2f outside acceptable range [{lo:.2f}, {hi:.2f}]", get("aspect_ratio"))),
-        F.when(bad["bad_rectangularity"], text("Rectangularity too low (%.2f)", get("rectangularity"))),
-        F.when(bad["bad_convexity"], text("Convexity too low (%.2f)", get("convexity"))),
-    ))
+    own = [
+        (bad["bad_area"], text("Area too small (%.3f of image)", get("area_ratio"))),
+        (bad["bad_aspect"], text(f"Aspect ratio %.2f outside acceptable range [{lo:.2f}, {hi:.2f}]", get("aspect_ratio"))),
+        (bad["bad_rectangularity"], text("Rectangularity too low (%.2f)", get("rectangularity"))),
+        (bad["bad_convexity"], text("Convexity too low (%.2f)", get("convexity"))),
+    ]
     q = [(get(f"x{i}"), get(f"y{i}")) for i in range(1, 5)]
-    return F.concat(own, G.issues(q, get("image_w"), get("image_h"), config.min_corner_distance))
+    return own + G.flaws(q, get("image_w"), get("image_h"), config.min_corner_distance)
+
+
+def all_issues(config: Config = Config(), get: Callable[[str], Column] = F.col) -> Column:
+    """What is wrong with a scored candidate, as texts in a fixed order."""
+    return G.texts(flaws(config, get))
 
 
 def validate(scored: DataFrame, config: Config = Config()) -> DataFrame:
-    """Adds issues (texts in a fixed order) and is_valid."""
-    return scored.withColumn("issues", all_issues(config)).withColumn("is_valid", F.size("issues") == 0)
+    """Adds issues (texts in a fixed order), n_issues, too_small and is_valid. Only issues makes texts, so that a plan that
+    doesn't read it makes none."""
+    df = scored.withColumns({"issues": all_issues(config), "n_issues": G.number(flaws(config)), "too_small": F.coalesce(checks(config)["bad_area"], F.lit(False))})
+    return df.withColumn("is_valid", F.col("n_issues") == 0)
 
 
 def choose_in_row(candidates: Column, w: Column, h: Column, config: Config = Config()) -> Column:
@@ -113,9 +120,9 @@ def choose(validated: DataFrame) -> DataFrame:
         F.min_by(F.when(F.col("is_valid"), row), F.when(F.col("is_valid"), rank)).alias("good"),
         F.max("score").alias("best_candidate_score"),
         F.max_by("issues", rank).alias("last_issues"),
+        F.max_by("too_small", rank).alias("last_too_small"),
     )
-    text = F.lower(F.array_join("last_issues", " "))
-    failed = F.when(text.contains("area"), "card_too_small").otherwise("card_geometry_invalid")
+    failed = F.when(F.col("last_too_small"), "card_too_small").otherwise("card_geometry_invalid")
     return per.select("image_id", F.when(F.col("good").isNotNull(), "detected").otherwise(failed).alias("status"), "candidate_count", "best_candidate_score", "good.*", F.when(F.col("good").isNull(), F.col("last_issues")).alias("failure_issues"))
 
 
@@ -143,8 +150,8 @@ def finish(chosen: DataFrame, config: Config = Config()) -> DataFrame:
     """Adds the bounding box and the final confidence to detected cards; corners that fail in the original image turn the
     status into card_geometry_invalid."""
     q = G.corners()
-    found = F.col("status") == "detected"
-    bad = found & (F.size(G.issues(q, F.col("image_w"), F.col("image_h"), config.min_corner_distance)) > 0)
+    found = G.apart(F.col("status")) == "detected"
+    bad = found & (G.number(G.flaws(q, F.col("image_w"), F.col("image_h"), config.min_corner_distance)) > 0)
     df = chosen.withColumn("status", F.when(bad, "card_geometry_invalid").otherwise(F.col("status")))
     found = F.col("status") == "detected"
     box = {k: F.when(found, v).cast("long") for k, v in G.bounds(q).items()}

@@ -1,9 +1,14 @@
 """What showed on larger tables only: rounding at ties, and plans whose cost a row was too high."""
 
+import os
+
 import duckdb
+import pytest
 
 from kartwerk import registry
 
+DATA = "/root/testdata/sf0.001"
+
 # l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice of outlines whose matrix has elements in the middle of two
 # roundings; order 257376 has one whose matrix doesn't exist.
 LINES = [
@@ -25,3 +30,38 @@ def test_homography_rounds_ties_as_its_sql_does(spark, tmp_path):
     got = sorted(tuple(map(repr, (r[c] for c in cols))) for r in registry.queries()["g9_g12_homography"](spark, str(tmp_path)).collect())
     assert got == sorted(tuple(map(repr, r)) for r in q.fetchall())
     assert any("inf" in r for r in got)
+
+
+def plan_of(spark, name):
+    return registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["d5_validate", "d6_choose", "g4_issues"])
+def test_no_texts_of_issues_are_made_where_none_is_returned(spark, name):
+    assert "format_string" not in plan_of(spark, name) and "too close" not in plan_of(spark, name)
+
+
+def test_counts_and_texts_agree(spark):
+    from kartwerk.operators import detection as D
+
+    cols = ["cand_id", "image_w", "image_h", *D.CORNERS, "convexity", "edge_strength"]
+    good, tie = [100.0, 100.0, 500.0, 100.0, 500.0, 352.0, 100.0, 352.0], [100.0, 100.0, 500.0, 352.0, 500.0, 100.0, 100.0, 352.0]
+    rows = [(1, 800, 600, *good, 0.9, 0.5), (2, 800, 600, *[v / 10 for v in good], 0.9, 0.5), (3, 800, 600, *tie, 0.5, 0.5), (4, 300, 200, *good, 0.9, 0.5), (5, 800, 600, *[5.0] * 8, 0.9, 0.5), (6, 800, 600, None, *good[1:], 0.9, 0.5)]
+    types = dict.fromkeys(("cand_id", "image_w", "image_h"), "long")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ", ".join(["image_id int", *[f"{c} {types.get(c, 'double')}" for c in cols]]))
+    checked = D.validate(D.score(df)).collect()
+    for r in checked:
+        assert r.n_issues == len(r.issues) and r.is_valid == (not r.issues)
+        assert r.too_small == ("area" in " ".join(r.issues).lower())
+    assert [bool(r.issues) for r in sorted(checked, key=lambda r: r.cand_id)][:5] == [False, True, True, True, True]
+    status = {r.image_id: r.status for r in D.choose(D.validate(D.score(df))).collect()}
+    assert [status[i] for i in range(5)] == ["detected", "card_too_small", "card_too_small" if any(r.too_small for r in checked if r.cand_id == 3) else "card_geometry_invalid", "card_geometry_invalid", "card_too_small"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["d5_validate", "d6_choose", "r1_r6_rectify", "g4_issues", "g5_angles"])
+def test_large_projections_leave_whole_stage_code(spark, name):
+    """A stage's code is one method, which the JVM doesn't compile when it is large."""
+    large = [line for line in plan_of(spark, name).splitlines() if "ACOS" in line.upper()]
+    assert large and not any("*(" in line for line in large)
