@@ -435,7 +435,7 @@ def d5_validate(spark, d):
     df = detection.validate(detection.score(fixtures.quads(spark, d)))
     bad = detection.checks()
     n = sum((b.cast("int") for b in bad.values()), F.lit(0))
-    return df.select("image_id", "cand_id", bad["bad_area"].alias("bad_area"), bad["bad_aspect"].alias("bad_ar"), bad["bad_rectangularity"].alias("bad_rect"), bad["bad_convexity"].alias("bad_convex"), (F.size("issues") - n).cast("long").alias("corner_issues"), F.col("is_valid").alias("ok"))
+    return df.select("image_id", "cand_id", bad["bad_area"].alias("bad_area"), bad["bad_aspect"].alias("bad_ar"), bad["bad_rectangularity"].alias("bad_rect"), bad["bad_convexity"].alias("bad_convex"), (F.col("n_issues") - n).cast("long").alias("corner_issues"), F.col("is_valid").alias("ok"))
 
 
 @query("d6_choose", DET + "SELECT image_id, CASE WHEN good IS NOT NULL THEN 'detected' WHEN last_bad_area THEN 'card_too_small' ELSE 'card_geometry_invalid' END AS status, candidate_count, round(best_score, 6) AS best_score, good.cand_id AS cand_id, round(CASE WHEN good IS NULL THEN best_score ELSE greatest(0.0, least(1.0, good.score * (1.0 - greatest(0.0, 0.3 * (1.0 - good.rect))))) END, 6) AS confidence FROM b")
