@@ -50,7 +50,7 @@ def rectify(cards: DataFrame, config: Config = Config()) -> DataFrame:
     q = G.corners()
     able = F.col("status").isin("detected", "full_frame_card_fallback")
     corners = F.col("x1").isNotNull()
-    df = cards.withColumns({"corner_quality": corner_quality(q), "geometry_validity": geometry_validity(q), "area_coverage": area_coverage(q, F.col("image_w"), F.col("image_h")), "perspective_quality": G.rectangularity(q)})
+    df = cards.withColumns({"corner_quality": corner_quality(q), "geometry_validity": geometry_validity(q), "area_coverage": area_coverage(q, G.apart(F.col("image_w")), F.col("image_h")), "perspective_quality": G.rectangularity(q)})
     df = df.withColumn("rect_confidence", F.when(able & corners, confidence(F.col("confidence"), F.col("corner_quality"), F.col("geometry_validity"), F.col("area_coverage"), F.col("border_quality"), config)).otherwise(0.0))
     c = F.col("rect_confidence")
     ok = able & corners
