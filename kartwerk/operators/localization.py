@@ -43,8 +43,8 @@ def box_score(kind: Column, d: Column, box: list[Column]) -> Column:
     )
 
 
-def steps(box: list[Column], w: Column, h: Column, config: Config = Config()) -> Column:
-    """The box itself, then its expansions, then its contractions, each with its number; degenerate ones are null."""
+def _steps(box: list[Column], w: Column, h: Column, config: Config) -> list[tuple[dict[str, Column], Column | None]]:
+    """The box itself, then its expansions, then its contractions; each with whether it is not degenerate (None: not asked)."""
     x1, y1, x2, y2 = box
     zero = F.lit(0).cast("long")
     out = []
@@ -55,9 +55,14 @@ def steps(box: list[Column], w: Column, h: Column, config: Config = Config()) ->
         else:
             p = (i - config.expansions) * config.contraction
             b = [F.least(x1 + p, w.cast("long")), F.least(y1 + p, h.cast("long")), F.greatest(zero, x2 - p), F.greatest(zero, y2 - p)]
-        s = F.struct(F.lit(i).alias("step"), *[c.alias(n) for n, c in zip(BOX, b)])
-        out.append(s if i == 0 else F.when((b[0] < b[2]) & (b[1] < b[3]), s))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        out.append((dict(zip(BOX, b)), None if i == 0 else (b[0] < b[2]) & (b[1] < b[3])))
+    return out
+
+
+def steps(box: list[Column], w: Column, h: Column, config: Config = Config()) -> Column:
+    """The boxes that are tried, each with its number; degenerate ones are left out."""
+    made = [(F.struct(F.lit(i).alias("step"), *[v.alias(c) for c, v in b.items()]), kept) for i, (b, kept) in enumerate(_steps(box, w, h, config))]
+    return F.filter(F.array(*[s if kept is None else F.when(kept, s) for s, kept in made]), lambda x: x.isNotNull())
 
 
 def all_steps(w: Column, h: Column, config: Config = Config()) -> Column:
@@ -69,10 +74,16 @@ def all_steps(w: Column, h: Column, config: Config = Config()) -> Column:
 def refine(boxes: DataFrame, density: Density, config: Config = Config()) -> DataFrame:
     """Adds density (of the initial box), bx1 .. by2 and best_score: the first of the best-scored steps, or the initial
     box if nothing scores above zero. The choice is made inside the row; no window is needed."""
-    tried = F.transform(steps([F.col(c) for c in BOX], F.col("width"), F.col("height"), config), lambda s: F.struct(
-        box_score(F.col("refinement"), density([s[c] for c in BOX]), [s[c] for c in BOX]).alias("score"), (-s["step"]).alias("order"), *[s[c].alias(f"b{c}") for c in BOX]))
+    tried = []
+    for i, (step, kept) in enumerate(_steps([F.col(c) for c in BOX], F.col("width"), F.col("height"), config)):
+        box = [step[c] for c in BOX]
+        kind = F.col("refinement") if i else G.apart(F.col("refinement"))
+        made = F.struct(box_score(kind, density(box), box).alias("score"), F.lit(-i).alias("order"), *[v.alias(f"b{c}") for c, v in step.items()])
+        tried.append(made if kept is None else F.when(kept, made))
+    best = F.greatest(*tried) if len(tried) > 1 else tried[0]  # null ones are passed over
+    df = boxes.withColumns({"density": density([F.col(c) for c in BOX]), "best": best})
     # A generator keeps the planner from copying this expression into every later filter and column.
-    df = boxes.withColumn("density", density([F.col(c) for c in BOX])).withColumn("best", F.explode(F.array(F.array_max(tried))))
+    df = df.select(*[c for c in df.columns if c != "best"], F.explode(F.array("best")).alias("best"))
     good = F.col("best.score") > 0
     return df.select(*[c for c in df.columns if c != "best"], *[F.when(good, F.col(f"best.b{c}")).otherwise(F.col(c)).alias(f"b{c}") for c in BOX], F.when(good, F.col("best.score")).otherwise(0.0).alias("best_score"))
 

@@ -65,3 +65,11 @@ def test_large_projections_leave_whole_stage_code(spark, name):
     """A stage's code is one method, which the JVM doesn't compile when it is large."""
     large = [line for line in plan_of(spark, name).splitlines() if "ACOS" in line.upper()]
     assert large and not any("*(" in line for line in large)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["a5_card_success", "w3_refine"])
+def test_steps_are_scored_in_compiled_projections(spark, name):
+    """Neither inside a generator or a lambda, which are interpreted, nor in a stage's one method."""
+    scored = [line for line in plan_of(spark, name).splitlines() if "% 97" in line and "8000.0" not in line and "greatest(struct" in line.lower()]
+    assert scored and not any("*(" in line or "Generate" in line for line in scored)
