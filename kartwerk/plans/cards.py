@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import geometry as G
 from ..operators import consistency, detection, localization, ocr, pixels, rectification
+from ..sources import sinks
 
 
 def cards_from_texts(candidates: DataFrame, as_of: str, compose: bool = True) -> DataFrame:
@@ -16,9 +17,19 @@ def cards_from_texts(candidates: DataFrame, as_of: str, compose: bool = True) ->
     candidates: card_id, field_name, idx, text, ocr_confidence. One shuffle chooses texts, the second gathers the at most
     six fields of a card; the checks are a projection.
     """
-    fields = ocr.extract(candidates, compose)
+    return _checked(ocr.extract(candidates, compose), as_of)
+
+
+def documents_from_texts(candidates: DataFrame, as_of: str, compose: bool = True) -> DataFrame:
+    """card_id and json, the card's whole result document, from recognised texts. Texts are chosen once, and one shuffle
+    gathers both the values to check and the maps of the document."""
+    return sinks.documents(_checked(ocr.extract(candidates, compose), as_of, sinks.fields_map().alias("fields")).withColumns(sinks.value_maps()))
+
+
+def _checked(fields: DataFrame, as_of: str, *more: Column) -> DataFrame:
+    """One row a card with its values, further aggregates of its fields, the number's verdict and all checks."""
     names = ("nid", "name", "dob", "gender", "governorate", "address")
-    per = fields.groupBy("card_id").agg(*[F.max(F.when(F.col("field_name") == n, F.col("value"))).alias(n) for n in names], *[F.max(F.when(F.col("field_name") == n, F.col("ocr_confidence"))).alias(f"{n}_confidence") for n in names])
+    per = fields.groupBy("card_id").agg(*[F.max(F.when(F.col("field_name") == n, F.col("value"))).alias(n) for n in names], *[F.max(F.when(F.col("field_name") == n, F.col("ocr_confidence"))).alias(f"{n}_confidence") for n in names], *more)
     return consistency.check_all(per, as_of, nid="nid", dob="dob", gender="gender", governorate="governorate")
 
 

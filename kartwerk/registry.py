@@ -596,15 +596,17 @@ def s5_export(spark, d):
 FROM summed s JOIN (SELECT card_id, max(CASE WHEN field_name = 'gender' THEN raw END) AS raw_gender, max(CASE WHEN field_name = 'dob' THEN CASE WHEN coalesce({FIELD}, '') <> '' THEN 'extracted' ELSE 'ocr_failed' END END) AS dob_status
   FROM (SELECT card_id, field_name, text AS raw, row_number() OVER (PARTITION BY card_id, field_name ORDER BY ocr_confidence DESC, idx) AS rn FROM ({WIDE}) o) z WHERE rn = 1 GROUP BY card_id) r ON r.card_id = s.card_id""")
 def s5_document(spark, d):
-    from .sources import sinks
-
-    texts = fixtures.ocr_candidates(spark, d)
-    df = sinks.card_documents(ocr.extract(texts, compose=False), plans.cards_from_texts(texts, AS_OF, compose=False))
-    at = lambda path: F.get_json_object("json", f"$.{path}")
-    errors = F.array_join(F.from_json(at("validation_results.nid.errors"), "array<string>"), " | ")
+    df = plans.documents_from_texts(fixtures.ocr_candidates(spark, d), AS_OF, compose=False)
+    parts = (
+        "status string, normalized_fields struct<nid: string>, raw_fields struct<gender: string>, validation_results struct<nid: struct<is_valid: boolean, errors: array<string>>>, "
+        "consistency_result struct<overall_status: string, conflict_count: bigint, confidence: double, checks: struct<dob: struct<status: string>, governorate: struct<details: string>>>, "
+        "fields struct<dob: struct<status: string>>, metrics struct<total_time_ms: string>"
+    )
+    df = df.select("card_id", F.from_json("json", parts).alias("x"))  # the text is parsed once for all that is read
+    at = lambda path: F.col(f"x.{path}")
     return df.select(
-        "card_id", at("status").alias("status"), at("normalized_fields.nid").alias("nid"), at("raw_fields.gender").alias("raw_gender"), at("validation_results.nid.is_valid").cast("boolean").alias("is_valid"), errors.alias("errors"),
-        at("consistency_result.overall_status").alias("overall_status"), at("consistency_result.conflict_count").cast("long").alias("conflict_count"), rnd(at("consistency_result.confidence").cast("double")).alias("confidence"),
+        "card_id", at("status").alias("status"), at("normalized_fields.nid").alias("nid"), at("raw_fields.gender").alias("raw_gender"), at("validation_results.nid.is_valid").alias("is_valid"), F.array_join(at("validation_results.nid.errors"), " | ").alias("errors"),
+        at("consistency_result.overall_status").alias("overall_status"), at("consistency_result.conflict_count").alias("conflict_count"), rnd(at("consistency_result.confidence")).alias("confidence"),
         at("consistency_result.checks.dob.status").alias("dob_check"), at("consistency_result.checks.governorate.details").alias("governorate_details"), at("fields.dob.status").alias("dob_status"), at("metrics.total_time_ms").alias("total_time_ms"),
     )
 

@@ -28,12 +28,21 @@ def to_document(df: DataFrame, columns: dict[str, str], name: str = "json") -> D
     return df.withColumn(name, F.to_json(F.struct(*[truthy(F.col(c), k).alias(c) for c, k in columns.items()])))
 
 
-def export_fields(fields: DataFrame) -> DataFrame:
-    """card_id with maps of normalised and raw values and of field results, from the long table of extracted fields."""
+def fields_map() -> Column:
+    """Aggregate of a card's rows of the long table of extracted fields: a map of field results, six entries at most."""
     item = F.struct("field_name", F.struct(F.col("value").alias("normalized_value"), "raw_value", F.col("ocr_confidence").alias("confidence"), F.col("validation_status").alias("status"), "failure_reason").alias("v"))
-    per = fields.groupBy("card_id").agg(F.map_from_entries(F.array_sort(F.collect_list(item))).alias("fields"))  # six entries a card
+    return F.map_from_entries(F.array_sort(F.collect_list(item)))
+
+
+def value_maps() -> dict[str, Column]:
+    """normalized_fields and raw_fields from the map of field results, fields."""
     pick = lambda n: F.map_filter(F.transform_values("fields", lambda _, v: v[n]), lambda _, v: F.coalesce(v, F.lit("")) != "")
-    return per.withColumns({"normalized_fields": pick("normalized_value"), "raw_fields": pick("raw_value")})
+    return {"normalized_fields": pick("normalized_value"), "raw_fields": pick("raw_value")}
+
+
+def export_fields(fields: DataFrame) -> DataFrame:
+    """card_id with maps of normalised and raw values and of field results, from the long table of extracted fields."""
+    return fields.groupBy("card_id").agg(fields_map().alias("fields")).withColumns(value_maps())
 
 
 METRICS = ["card_detection_time_ms", "rectification_time_ms", "total_time_ms"]
@@ -45,7 +54,13 @@ def card_documents(fields: DataFrame, cards: DataFrame, name: str = "json") -> D
     a card doesn't have.
 
     fields: the long table of extracted fields; cards: one row a card with the number's verdict and the checks, and with
-    the metrics' columns where there are any. One join by card, both sides grouped by it already."""
+    the metrics' columns where there are any. One join by card, both sides grouped by it already; where both come from the
+    same texts, plans.cards.documents_from_texts() does without it."""
+    return documents(cards.join(export_fields(fields), "card_id"), name)
+
+
+def documents(cards: DataFrame, name: str = "json") -> DataFrame:
+    """card_documents() of cards that have their maps of fields (fields, normalized_fields and raw_fields)."""
     had = [c for c in METRICS if c in cards.columns]
     kind = lambda c: "array" if c.endswith(("errors", "warnings", "recommendations", "fields")) else "string" if c.endswith(("status", "details", "summary")) else "value"
     part = lambda names, cut="": F.struct(*[truthy(F.col(c), kind(c)).alias(c.removeprefix(cut)) for c in names])
@@ -58,7 +73,7 @@ def card_documents(fields: DataFrame, cards: DataFrame, name: str = "json") -> D
         F.struct(part(verdict, "nid_").alias("nid")).alias("validation_results"), F.struct(*[figures_of[c].alias(c) for c in figures], checks.alias("checks")).alias("consistency_result"),
         *([part(had).alias("metrics")] if had else []), truthy(F.col("fields"), "map").alias("fields"),
     )
-    return cards.join(export_fields(fields), "card_id").select("card_id", F.to_json(document).alias(name))
+    return cards.select("card_id", F.to_json(document).alias(name))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -73,3 +73,9 @@ def test_steps_are_scored_in_compiled_projections(spark, name):
     """Neither inside a generator or a lambda, which are interpreted, nor in a stage's one method."""
     scored = [line for line in plan_of(spark, name).splitlines() if "% 97" in line and "8000.0" not in line and "greatest(struct" in line.lower()]
     assert scored and not any("*(" in line or "Generate" in line for line in scored)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_documents_choose_texts_once_and_parse_json_once(spark):
+    plan = plan_of(spark, "s5_document")
+    assert plan.count("Window [") == 1 and "get_json_object" not in plan and plan.count("from_json(") == 1
