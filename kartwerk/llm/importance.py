@@ -95,30 +95,34 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 class _Features:
-    """The features of a block, numbered by length, then by words."""
+    """The features of a block, numbered by length, then by words. Those of one round are looked at at a time, so that a
+    worker never holds more than their share of the block's runs."""
 
     def __init__(self, lens: bytes, seq: bytes, names: bytes):
         self.lens = common.unpacked(lens).astype(np.int64)
-        self.seq = common.unpacked(seq).astype(np.int64)
-        self.names = _unzip(names).split(b"\n") if len(self.seq) else []
-        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        self.n = len(self.names)
-        self.hashes = np.array([*map(zlib.crc32, self.names), 0], np.uint64)
-
-    def codes(self, k: int) -> tuple[np.ndarray, np.ndarray, list]:
-        """A number for the run of k words that begins at each place, its document, and what leads back to its words."""
+        self.seq = common.unpacked(seq).view(np.int32)  # below 2^31, as a block's words are
+        words = _unzip(names).split(b"\n") if len(self.seq) else []
+        self.names = pa.array(words, pa.binary())
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
+        self.n = len(words)
+        self.hashes = np.fromiter(map(zlib.crc32, words), np.uint64, self.n)
+
+    def codes(self, k: int, n: int, turn: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """A number for each run of k words whose partition is in this round, its document, and what leads back to its words."""
         m, back = len(self.seq) - k + 1, []
         if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), [None] * (k - 1)
-        inside = self.doc[:m] == self.doc[k - 1 :]
-        code = self.seq[:m]
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), [None] * (k - 1)
+        mine = self.parts(self.seq[:m], self.seq[1 : m + 1] if k > 1 else None, n) % ROUNDS == turn
+        mine &= self.doc[:m] == self.doc[k - 1 :]
+        at = np.nonzero(mine)[0]
+        code = self.seq[at].astype(np.int64)
         for i in range(1, k):
             dense = None
             if len(code) and int(code.max()) >= (1 << 62) // max(1, self.n):  # the next word would not fit
                 dense, code = np.unique(code, return_inverse=True)
             back.append(dense)
-            code = code * self.n + self.seq[i : i + m]
-        return code[inside], self.doc[:m][inside], back
+            code = code * self.n + self.seq[at + i]
+        return code, self.doc[at], back
 
     def columns(self, code: np.ndarray, back: list) -> list[np.ndarray]:
         """The word numbers behind codes."""
@@ -129,27 +133,36 @@ class _Features:
             code = code if dense is None else dense[code]
         return [code, *reversed(out)]
 
-    def parts(self, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
-        """The partition of each feature, from its first two words; second is -1 for none."""
-        h = self.hashes
-        mixed = (h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
-        return (mixed % np.uint64(n)).astype(np.int64)
-
-    def distinct(self, k: int, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Word numbers, counts and partition of each distinct run of k words in order of its number."""
-        code, _, back = self.codes(k)
-        distinct, counts = np.unique(code, return_counts=True)
-        return *self._parted(k, n, distinct, back)[::-1], counts
-
-    def occurrences(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Partition of each distinct run of k words, and of each occurrence its place among them and its document."""
-        code, doc, back = self.codes(k)
-        distinct, place = np.unique(code, return_inverse=True)
-        return self._parted(k, n, distinct, back)[0], place, doc
+    def parts(self, first: np.ndarray, second: np.ndarray | None, n: int) -> np.ndarray:
+        """The partition of each feature, from its first two words; second is None for features of one word."""
+        mixed = self.hashes[first]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        if second is not None:
+            other = self.hashes[second]
+            other *= np.uint64(0xC2B2AE3D27D4EB4F)
+            mixed += other
+        mixed >>= np.uint64(32)
+        mixed %= np.uint64(n)
+        return mixed.astype(np.int32)
+
+    def distinct(self, k: int, n: int, turn: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Word numbers, partition and count of each distinct run of k words of a round, in order of partition, then of its
+        number."""
+        code, _, back = self.codes(k, n, turn)
+        code, counts = np.unique(code, return_counts=True)
+        part, columns = self._parted(k, n, code, back)
+        order = _by_part(part)
+        return [c[order].astype(np.int32) for c in columns], part[order], counts[order].astype(np.uint32)
+
+    def occurrences(self, k: int, n: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Partition of each distinct run of k words of a round, and of each occurrence its place among them and its document."""
+        code, doc, back = self.codes(k, n, turn)
+        code, place = np.unique(code, return_inverse=True)
+        return self._parted(k, n, code, back)[0], place, doc
 
     def _parted(self, k: int, n: int, distinct: np.ndarray, back: list) -> tuple[np.ndarray, list[np.ndarray]]:
         columns = self.columns(distinct, back)
-        return self.parts(columns[0], columns[1] if k > 1 else np.full(len(distinct), -1), n), columns
+        return self.parts(columns[0], columns[1] if k > 1 else None, n), columns
 
 
 def _by_part(part: np.ndarray) -> np.ndarray:
@@ -165,23 +178,22 @@ def _strings(blocks: DataFrame, parts: int, turn: int) -> DataFrame:
             for i in range(batch.num_rows):
                 block, lens, seq, names = (batch.column(c)[i].as_py() for c in ("block", "lens", "seq", "names"))
                 f = _Features(lens, seq, names)
-                vocabulary = pa.array(f.names, pa.binary())
-                strings, counts, part = [], [], []
-                for k in (1, 2, 3):
-                    columns, p, n = f.distinct(k, parts)
-                    mine = np.nonzero(p % ROUNDS == turn)[0]
-                    taken = [vocabulary.take(pa.array(c[mine])) for c in columns]
-                    strings.append(pc.binary_join_element_wise(*taken, b" ") if k > 1 else taken[0])
-                    counts.append(n[mine])
-                    part.append(p[mine])
-                part = np.concatenate(part)
-                order = _by_part(part)
-                strings, counts, part = pa.concat_arrays(strings).take(pa.array(order)), np.concatenate(counts)[order], part[order]
-                runs = _runs(part)
-                if runs:
-                    packets = pc.binary_join(pa.ListArray.from_arrays(pa.array([a for a, _ in runs] + [len(part)], pa.int32()), strings), b"\n")
-                    row = [[int(part[a]) for a, _ in runs], [block] * len(runs), [_zip(x.as_py()) for x in packets], [common.packed(counts[a:b]) for a, b in runs]]
+                found = [f.distinct(k, parts, turn) for k in (1, 2, 3)]
+                runs = [{int(part[a]): (a, b) for a, b in _runs(part)} for _, part, _ in found]
+                row: list[list] = [[], [], [], []]
+                for p in sorted(set().union(*runs)):  # one packet's strings at a time
+                    strings, counts = [], []
+                    for (columns, _, n), own in zip(found, runs):
+                        a, b = own.get(p, (0, 0))
+                        taken = [f.names.take(pa.array(c[a:b])) for c in columns]
+                        strings.append(pc.binary_join_element_wise(*taken, b" ") if len(taken) > 1 else taken[0])
+                        counts.append(n[a:b])
+                    for x, y in zip(row, (p, block, _zip(_joined(pa.concat_arrays(strings))), common.packed(np.concatenate(counts)))):
+                        x.append(y)
+                if row[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "strings", "counts"])
+                del f, found, row
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "lens", "seq", "names").mapInArrow(send, _STRINGS)
 
@@ -256,18 +268,19 @@ def _weights(blocks: DataFrame, dictionary: list[DataFrame], parts: int, gains:
         for batch in batches:
             for i in range(batch.num_rows):
                 f = _Features(*(batch.column(c)[i].as_py() for c in ("lens", "seq", "names")))
-                known = {a["part"]: common.unpacked(a["answers"]) for r in rounds for a in batch.column(r)[i].as_py() or []}
-                begun = dict.fromkeys(known, 0)
                 weight, features = np.zeros(len(f.lens), np.int64), np.zeros(len(f.lens), np.int64)
-                for k in (1, 2, 3):
-                    part, place, doc = f.occurrences(k, parts)
-                    bucket, order = np.zeros(len(part), np.int64), _by_part(part)
-                    for a, b in _runs(part[order]):
-                        p = int(part[order[a]])
-                        bucket[order[a:b]] = known[p][begun[p] : begun[p] + b - a]
-                        begun[p] += b - a
-                    weight += np.bincount(doc, gains[bucket][place], len(f.lens)).astype(np.int64)
-                    features += np.bincount(doc, minlength=len(f.lens))
+                for turn, r in enumerate(rounds):
+                    known = {a["part"]: common.unpacked(a["answers"]) for a in batch.column(r)[i].as_py() or []}
+                    begun = dict.fromkeys(known, 0)
+                    for k in (1, 2, 3):
+                        part, place, doc = f.occurrences(k, parts, turn)
+                        bucket, order = np.zeros(len(part), np.int64), _by_part(part)
+                        for a, b in _runs(part[order]):
+                            p = int(part[order[a]])
+                            bucket[order[a:b]] = known[p][begun[p] : begun[p] + b - a]
+                            begun[p] += b - a
+                        weight += np.bincount(doc, gains[bucket][place], len(f.lens)).astype(np.int64)
+                        features += np.bincount(doc, minlength=len(f.lens))
                 yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(f.lens), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
     both = blocks
