@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
@@ -20,6 +20,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+#: Bits of a sieve for each key, its most bits in all (8 MB) and the bits of a chunk, as many as Spark's bitmaps have.
+SIEVE_BITS, SIEVE_MOST, SIEVE_CHUNK = 16, 1 << 26, 32768
+
 _own: dict = {}
 
 
@@ -108,6 +111,25 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in none of wanted's rows, all others and few besides), without moving a row.
+
+    A bit for each hashed key of wanted, in chunks that are broadcast: SIEVE_BITS bits a row up to SIEVE_MOST in all, beyond
+    which more rows pass for others. wanted is counted here, so it should be stored. Null keys don't occur (xxhash64)."""
+    bits = SIEVE_CHUNK
+    while bits < min(SIEVE_MOST, wanted.count() * SIEVE_BITS):
+        bits *= 2
+    at = F.pmod(wanted_key, F.lit(bits))
+    chunks = wanted.select(F.floor(at / SIEVE_CHUNK).cast("int").alias("__chunk"), (at % SIEVE_CHUNK).alias("__bit"))
+    chunks = chunks.repartition("__chunk").groupBy("__chunk").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    columns = rows.columns
+    placed = rows.withColumn("__at", F.pmod(key, F.lit(bits))).withColumn("__chunk", F.floor(F.col("__at") / SIEVE_CHUNK).cast("int"))
+    placed = placed.join(F.broadcast(chunks), "__chunk", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") % SIEVE_CHUNK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
+    return tuple(placed.where(x).select(*[F.col(f"`{c}`") for c in columns]) for x in (~found, found))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -185,10 +185,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, le
     close = common.stored(possible(pairs, nodes, least), "close")
     common.drop_stored(pairs)
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    ends = common.stored(nodes.join(ends, "node", "left_semi").select("node", F.col("own.doc_id").alias("id"), F.col("own.whole").alias("w")), "ends")
+    stored_ends = ends = common.stored(nodes.join(ends, "node", "left_semi").select("node", F.col("own.doc_id").alias("id"), F.col("own.whole").alias("w")), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_hash(docs).alias("whole"), F.col("text").cast("string").cast("binary").alias("text"))
-    known = texts.join(ends, texts["doc_id"].eqNullSafe(ends["id"]) & (texts["whole"] == ends["w"])).select("node", "text")
-    known = common.stored(known.dropDuplicates(["node"]), "texts")
+    # Only texts that may be wanted travel, once: rows alike in all columns meet where they are joined.
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "whole"))
+    ends = ends.withColumn("end_key", F.xxhash64("id", "w"))
+    _, texts = common.sieved(texts, F.col("key"), ends, F.col("end_key"))
+    known = texts.join(ends, (F.col("key") == F.col("end_key")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("whole") == F.col("w")))
+    known = common.stored(known.dropDuplicates(["key", "node"]).select("node", "text"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -215,7 +219,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, le
     one, other = (known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = close.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     out = common.stored(both.mapInArrow(run, "a long, b long"), "confirmed")
-    for table in (close, ends, known):
+    for table in (close, stored_ends, known):
         common.drop_stored(table)
     return out
 
@@ -301,15 +305,17 @@ def without_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radi
     found = common.stored(near_copies(docs, similarity, size, radius), "near_copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.withColumn("__whole", common.row_hash(docs))
+    key, other_key = F.xxhash64(F.col("doc_id").cast("long"), F.col("__whole")), F.xxhash64("__id", "__w")
+    same = (key == other_key) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__whole") == F.col("__w"))
 
-    def same(other: DataFrame):
-        return named["doc_id"].cast("long").eqNullSafe(other["__id"]) & (named["__whole"] == other["__w"])
-
-    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("whole").alias("__w")).distinct()
-    left = named.join(gone, same(gone), "left_anti")
+    # Rows that no sieve holds back stay where they are; the others travel to be compared.
+    gone = common.stored(found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("whole").alias("__w")).distinct(), "gone")
+    left, others = common.sieved(named, key, gone, other_key)
+    left = left.unionByName(others.join(gone, same, "left_anti"))
     again = found.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("whole").alias("__w")).count().where("count > 1").select("__id", "__w")
     if not again.limit(1).count():
         return left.select(*columns)
     again = common.stored(again, "repeated")
-    twice = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__whole"])
-    return left.join(again, same(again), "left_anti").unionByName(twice).select(*columns)
+    left, others = common.sieved(left, key, again, other_key)
+    twice = others.join(again, same, "left_semi").dropDuplicates(["doc_id", "__whole"])
+    return left.unionByName(others.join(again, same, "left_anti")).unionByName(twice).select(*columns)
