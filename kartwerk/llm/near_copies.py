@@ -19,7 +19,8 @@ themselves and none is lost:
    after their own, so that such a family isn't compared pair by pair.
 4. Candidates of all rounds are compared exactly. Before their texts are fetched, those go whose counts of shingles by
    bucket of the hash already keep them below the similarity; what two sets share is at most the sum of the smaller
-   counts, so no link is lost. Components of all links that hold are the groups.
+   counts, so no link is lost. Long texts have more buckets, else pairs of them would pass whatever they hold. Components
+   of all links that hold are the groups.
 
 Texts of equal sets are one node, named by 64 hashed bits of the set. Texts without words are equal.
 """
@@ -46,8 +47,9 @@ COUNTERS, CHUNKS, PARTS = 1 << 20, 16, 256
 COMMON = 8
 #: Texts of a large group that one text of another group is compared with for each shingle in common.
 TRIED = 4
-#: Buckets of a set's counts, by the top bits of its mixed hashes, and the shift that leaves those bits.
-BUCKETS, TOP = 128, np.uint64(57)
+#: Buckets of a set's counts, by the top bits of its mixed hashes: so many at least, a power of two, and no more than FILL
+#: shingles for each on average, since the counts of long texts tell nothing in few buckets.
+BUCKETS, FILL = 128, 8
 #: Words of 64 parities, and the shift that leaves the bits which number them.
 PARITIES, PARITY_TOP = 4, np.uint64(56)
 #: Odd factor that carries all bits of a hash to the top.
@@ -66,10 +68,25 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 def bucket_counts(s: np.ndarray) -> bytes | None:
     """How many shingles of a set each bucket has, a byte each; none where a count needs more than that."""
-    n = np.bincount(((s * MIX) >> TOP).astype(np.int64), minlength=BUCKETS)
+    bits = (max(BUCKETS, -(-len(s) // FILL)) - 1).bit_length()
+    n = np.bincount(((s * MIX) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
+def most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many shingles the sets of each pair share at most, by their counts. Where one set has more buckets, neighbours
+    of it are added up: their hashes differ in the last of the top bits."""
+    out = np.zeros(len(x), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (c, d) in enumerate(zip(x, y)):
+        kinds.setdefault((len(c), len(d)), []).append(i)
+    for sizes, rows in kinds.items():
+        k = min(sizes)
+        one, other = (np.frombuffer(b"".join(side[i] for i in rows), np.uint8).reshape(len(rows), k, -1).sum(axis=2, dtype=np.int64) for side in (x, y))
+        out[rows] = np.minimum(one, other).sum(axis=1)
+    return out
+
+
 def parities(s: np.ndarray) -> np.ndarray:
     """For 256 parts of the hashes whether a set has an odd number of shingles in it, as four numbers of 64 bits."""
     odd = np.bincount(((s * MIX) >> PARITY_TOP).astype(np.int64), minlength=64 * PARITIES) & 1
@@ -167,9 +184,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
         for batch in batches:
             n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
             x, y = (batch.column(i).to_pylist() for i in (4, 5))
-            counts = [np.frombuffer(b"".join(c or bytes(BUCKETS) for c in side), np.uint8).reshape(-1, BUCKETS) for side in (x, y)]
             unknown = np.array([c is None or d is None for c, d in zip(x, y)], bool)
-            both = np.where(unknown, np.minimum(n_a, n_b), np.minimum(*counts).sum(axis=1, dtype=np.int64))
+            both = np.where(unknown, np.minimum(n_a, n_b), most_shared(*([c or bytes(BUCKETS) for c in side] for side in (x, y))))
             keep = pa.array(both * least.denominator >= least.numerator * (n_a + n_b - both))
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(keep) for j in (0, 1)], names=["a", "b"])
 
@@ -191,7 +207,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, le
     texts = texts.withColumn("key", F.xxhash64("doc_id", "whole"))
     ends = ends.withColumn("end_key", F.xxhash64("id", "w"))
     _, texts = common.sieved(texts, F.col("key"), ends, F.col("end_key"))
-    known = texts.join(ends, (F.col("key") == F.col("end_key")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("whole") == F.col("w")))
+    # Ids and hashes are compared beside the key, not as keys of the join, so that rows lie by the key alone afterwards and
+    # dropDuplicates needn't move the texts again.
+    same_id = F.coalesce(F.col("doc_id").bitwiseXOR(F.col("id")) == 0, F.col("doc_id").isNull() & F.col("id").isNull())
+    known = texts.join(ends, (F.col("key") == F.col("end_key")) & same_id & (F.col("whole").bitwiseXOR(F.col("w")) == 0))
     known = common.stored(known.dropDuplicates(["key", "node"]).select("node", "text"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
