@@ -50,6 +50,8 @@ TRIED = 4
 #: Buckets of a set's counts, by the top bits of its mixed hashes: so many at least, a power of two, and no more than FILL
 #: shingles for each on average, since the counts of long texts tell nothing in few buckets.
 BUCKETS, FILL = 128, 8
+#: Bytes of counts that are compared at once.
+AT_ONCE = 1 << 20
 #: Words of 64 parities, and the shift that leaves the bits which number them.
 PARITIES, PARITY_TOP = 4, np.uint64(56)
 #: Odd factor that carries all bits of a hash to the top.
@@ -81,9 +83,10 @@ def most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
     for i, (c, d) in enumerate(zip(x, y)):
         kinds.setdefault((len(c), len(d)), []).append(i)
     for sizes, rows in kinds.items():
-        k = min(sizes)
-        one, other = (np.frombuffer(b"".join(side[i] for i in rows), np.uint8).reshape(len(rows), k, -1).sum(axis=2, dtype=np.int64) for side in (x, y))
-        out[rows] = np.minimum(one, other).sum(axis=1)
+        k, step = min(sizes), max(1, AT_ONCE // max(sizes))
+        for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+            one, other = (np.frombuffer(b"".join(side[i] for i in some), np.uint8).reshape(len(some), k, -1).sum(axis=2, dtype=np.int32) for side in (x, y))
+            out[some] = np.minimum(one, other).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -236,7 +239,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, le
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep)) for j in (0, 1)], names=["a", "b"])
 
     one, other = (known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = close.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    # With a number given, these partitions are not put together by their compressed size: a task takes its texts in one batch.
+    both = close.join(one, "a").repartition(common.partitions(docs.sparkSession), "b").join(other, "b").select("a", "b", "text_a", "text_b")
     out = common.stored(both.mapInArrow(run, "a long, b long"), "confirmed")
     for table in (close, stored_ends, known):
         common.drop_stored(table)

@@ -1,5 +1,6 @@
 """What keeps pairs of long texts from being fetched, and what keeps texts from travelling twice."""
 
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -55,3 +56,12 @@ def test_texts_lie_by_their_key_when_doubles_go(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert tuple(out) == (20, 20)
     assert "Exchange hashpartitioning(key" in plans["texts"] and plans["texts"].count("Exchange hashpartitioning(") == 2 + plans["texts"].count("Exchange hashpartitioning(__chunk")
+
+
+def test_counts_of_a_batch_are_compared_in_bounded_memory():
+    counts = near_copies.bucket_counts(hashes(np.random.default_rng(6), 30_000))
+    tracemalloc.start()
+    most = near_copies.most_shared([counts] * 5000, [counts] * 5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (most == 30_000).all() and peak < 30e6
