@@ -79,7 +79,7 @@ def named_rows(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row, line_no (from 0) and line for each line with a word."""
     rows = named_rows(docs).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.translate("line", common.SPACES, "") != "")
+    return rows.where(F.ltrim("line", F.lit(common.SPACES)) != "")  # it looks at no more than the first word's start
 
 
 def _place() -> Column:
@@ -97,30 +97,27 @@ def _parts(place: Column) -> Column:
     return F.struct(doc_id.alias("class_doc_id"), line.cast("int").alias("class_line_no"))
 
 
-def _keys(k: int) -> Column:
-    """Probes of a line of n characters: those that are its index entries too (role 1) and the others (role 0)."""
-    n, out = F.col("n"), []
+def _probes(rows: DataFrame, k: int) -> DataFrame:
+    """id, key and role for the probes of each line of rows (id, line, n): those that are its index entries too (role 1) and
+    the others (role 0). The rule of a probe is data: as one expression a probe, the method would be too large to compile."""
     parts = k + 1
-
-    def segment(length: Column, i: int) -> tuple[Column, Column]:
-        base, extra = F.floor(length / parts), length % parts
-        longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - extra))  # the last `extra` segments have one more
-        return F.lit(i) * base + longer, base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)
-
-    def entry(i: int, length: Column, at: Column, size: Column, role: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(i), length.cast("int"), F.substring("line", (at + 1).cast("int"), size.cast("int"))).alias("key"), F.lit(role).alias("role"))
-
-    for delta in range(k + 1):
-        length = n - delta
-        for i in range(parts):
-            at, size = segment(length, i)
-            for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
-                if delta == shift == 0:
-                    out.append(entry(i, n, at, size, 1))
-                    continue
-                inside = (at + shift >= 0) & (at + shift + size <= n) & (length >= parts)
-                out.append(F.when(inside, entry(i, length, at + shift, size, 0)))
-    return F.filter(F.array(*out), lambda e: e.isNotNull())
+    kinds = [(delta, i, shift) for delta in range(k + 1) for i in range(parts) for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1)]
+    kind = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in kinds])
+    third = F.floor(F.col("n") / parts).cast("int")
+    # Substrings count characters from the start, so each segment's surroundings are cut out once.
+    around = [F.substring("line", F.greatest(F.lit(1), third * i - 2 * k), third + 5 * k + 2) for i in range(parts)]
+    rows = rows.select("id", "n", *[a.alias(f"around_{i}") for i, a in enumerate(around)], F.explode(kind).alias("e")).select("*", "e.delta", "e.i", "e.shift")
+    length = F.col("n") - F.col("delta")
+    base, short = (length / parts).cast("int"), F.lit(parts) - length % parts  # the last segments have one more
+    size = base + F.when(F.col("i") >= short, 1).otherwise(0)
+    at = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - short) + F.col("shift")
+    rows = rows.select("id", "n", "delta", "i", "shift", length.alias("length"), at.alias("at"), size.alias("size"), third.alias("third"), *[f"around_{i}" for i in range(parts)])
+    inside = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")) & (F.col("length") >= parts)
+    role = F.when((F.col("delta") == 0) & (F.col("shift") == 0), 1).otherwise(0)
+    text = reduce(lambda rest, i: F.when(F.col("i") == i, F.col(f"around_{i}")).otherwise(rest), range(parts - 1), F.col(f"around_{parts - 1}"))
+    first = F.greatest(F.lit(1), F.col("third") * F.col("i") - 2 * k)
+    key = F.xxhash64("i", "length", F.substring(text, F.col("at") + 2 - first, F.col("size")))
+    return rows.where(inside | (role == 1)).select("id", key.alias("key"), role.alias("role"))
 
 
 def line_links(lines: DataFrame, k: int = EDITS) -> DataFrame:
@@ -128,7 +125,7 @@ def line_links(lines: DataFrame, k: int = EDITS) -> DataFrame:
     (long), line and first, each line once."""
     every = lines.select("id", "first", "line", F.char_length("line").alias("n"))
     rows = every.where(F.col("n") > k)
-    keyed = rows.select("id", F.explode(_keys(k)).alias("e")).select("id", "e.key", "e.role")
+    keyed = _probes(rows, k)
     w = Window.partitionBy("key")
     keyed = keyed.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi")
     keyed = common.stored(keyed.groupBy("key", "id").agg(F.max("role").alias("role")), "keys")
